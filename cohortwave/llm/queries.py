@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .language_id import op3_language_id
 from .near_dedup import op7_simhash_near_dedup
+from .quality import op10_quality_classifier
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
