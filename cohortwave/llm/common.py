@@ -62,3 +62,18 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Colu
     left = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Rows of a lookup table that may be broadcast; a larger one is joined by salted shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def checked_lookup(rows: DataFrame, facts: DataFrame, key: str, salt: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of ``rows`` to ``facts``, unique by ``key`` and already written.
+
+    ``facts`` is counted first: up to ``most`` rows are broadcast, more are
+    joined with hot keys spread by ``salt``. Both ways give the same rows.
+    """
+    if facts.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(facts), key, "left")
+    return salted_lookup(rows, facts, [key], salt)

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .language_id import op3_language_id
+from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
 from .quality import op10_quality_classifier
+from .sharding import op8_kd_sharding
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op4_source_mixing": op4_source_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_kd_sharding": op8_kd_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": OP4_SQL,
+}
