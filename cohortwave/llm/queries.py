@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_benchmark_decontamination
 from .language_id import op3_language_id
 from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
@@ -11,6 +12,7 @@ from .sharding import op8_kd_sharding
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_kd_sharding": op8_kd_sharding,
     "op10_quality_classifier": op10_quality_classifier,
