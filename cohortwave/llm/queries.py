@@ -8,11 +8,13 @@ from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
 from .quality import op10_quality_classifier
 from .sharding import op8_kd_sharding
+from .token_counts import op6_token_counts
 
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_kd_sharding": op8_kd_sharding,
     "op10_quality_classifier": op10_quality_classifier,
