@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op5_benchmark_decontamination
 from .language_id import op3_language_id
+from .line_dedup import op9_line_dedup
 from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
 from .quality import op10_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_kd_sharding": op8_kd_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
