@@ -10,8 +10,10 @@ from .near_dedup import op7_simhash_near_dedup
 from .quality import op10_quality_classifier
 from .sharding import op8_kd_sharding
 from .token_counts import op6_token_counts
+from .warc import OP1_SQL, op1_warc_index
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": OP1_SQL,
     "op4_source_mixing": OP4_SQL,
 }
