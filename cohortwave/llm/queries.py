@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_ivf_pq_search
 from .decontamination import op5_benchmark_decontamination
 from .language_id import op3_language_id
 from .line_dedup import op9_line_dedup
@@ -14,6 +15,7 @@ from .warc import OP1_SQL, op1_warc_index
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op2_ivf_pq_search": op2_ivf_pq_search,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
