@@ -1,0 +1 @@
+"""Signal alignment over many recordings, as Spark jobs."""
