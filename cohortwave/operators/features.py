@@ -6,35 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draws(features: DataFrame, n_boot: int, boot_size: int, seed: int = 1) -> DataFrame:
-    """(domain, label, boot, draw, trial_no): rows drawn with replacement for each bootstrap.
+#: Parts in which the rows of a class are numbered.
+PARTS = 64
+
+
+def _hash(*parts: Column) -> Column:
+    """48 bits of md5, as LONG: alike in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def draws(features: DataFrame, n_boot: int, boot_size: int, seed: int = 1, by: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """(..., label, boot, draw, trial_no): rows drawn with replacement for each bootstrap.
 
     The position drawn depends on the seed, the bootstrap and the draw alone, so
     bootstraps of equally large classes correspond across domains. Rows get
     their positions in parts, by a hash of the trial, so that a class of any size
     is numbered by many tasks.
     """
-    parts = 64
-    part = F.pmod(F.crc32(F.col("trial_no").cast("string").cast("binary")), F.lit(parts)).cast("int")
-    rows = features.select("domain", "label", "trial_no", part.alias("_part"))
-    sizes = rows.groupBy("domain", "label", "_part").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("domain", "label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).withColumn("n", F.sum("_n").over(Window.partitionBy("domain", "label")))
-    # positions wanted: few rows, whatever the size of the classes
-    classes = sizes.select("domain", "label", "n").distinct()
-    wanted = classes.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).select("*", F.explode(F.sequence(F.lit(1), F.lit(boot_size))).alias("draw"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("boot").cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
-    wanted = wanted.select("domain", "label", "boot", "draw", (F.pmod(key, F.col("n")) + 1).alias("_at"))
-    at = F.row_number().over(Window.partitionBy("domain", "label", "_part").orderBy("trial_no"))
-    placed = rows.withColumn("_in", at).join(F.broadcast(sizes.drop("_n", "n")), ["domain", "label", "_part"])  # 64 rows per class
-    placed = placed.select("domain", "label", "trial_no", (F.col("_in") + F.col("_ahead")).alias("_at"))
-    return placed.join(wanted, ["domain", "label", "_at"]).select("domain", "label", "boot", "draw", "trial_no")
-
-
-def bootstrap_means(features: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(domain, label, boot, coord, mean): the mean vector of every bootstrap, one row a coordinate."""
-    rows = drawn.join(features.select("domain", "label", "trial_no", "v"), ["domain", "label", "trial_no"])
-    return rows.select("domain", "label", "boot", F.posexplode("v").alias("_i", "_v")).groupBy("domain", "label", "boot", (F.col("_i") + 1).alias("coord")).agg(F.avg("_v").alias("mean"))
+    own = [*by, "label"]
+    rows = features.select(*own, "trial_no", (_hash(F.col("trial_no").cast("string")) % PARTS).cast("int").alias("_part"))
+    sizes = rows.groupBy(*own, "_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*own, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy(*own)).alias("n"))
+    wanted = sizes.groupBy(*own).agg(F.max("n").alias("n"))
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).select("*", F.explode(F.sequence(F.lit(1), F.lit(boot_size))).alias("draw"))
+    key = _hash(F.lit(str(seed)), F.col("boot").cast("string"), F.col("draw").cast("string"))
+    wanted = wanted.select(*own, "boot", "draw", (key % F.col("n") + 1).alias("_at"))
+    at = F.row_number().over(Window.partitionBy(*own, "_part").orderBy("trial_no"))
+    placed = rows.withColumn("_in", at).join(sizes.drop("n"), [*own, "_part"])
+    placed = placed.select(*own, "trial_no", (F.col("_in") + F.col("_ahead")).alias("_at"))
+    return placed.join(wanted, [*own, "_at"]).select(*own, "boot", "draw", "trial_no")
+
+
+def bootstrap_means(features: DataFrame, drawn: DataFrame, by: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """(..., label, boot, coord, mean): the mean vector of every bootstrap, one row a coordinate."""
+    own = [*by, "label"]
+    rows = drawn.join(features.select(*own, "trial_no", "v"), [*own, "trial_no"])
+    return rows.select(*own, "boot", F.posexplode("v").alias("_i", "_v")).groupBy(*own, "boot", (F.col("_i") + 1).alias("coord")).agg(F.avg("_v").alias("mean"))
 
 
 def centred(features: DataFrame) -> DataFrame:
@@ -43,7 +51,7 @@ def centred(features: DataFrame) -> DataFrame:
     Means are aggregates by coordinate; they come back as one short row per domain.
     """
     means = _mean_vectors(features)
-    rows = features.join(F.broadcast(means), "domain")  # a row per domain
+    rows = features.join(means, "domain")
     rows = rows.withColumn("v", F.zip_with("v", "_m", lambda a, b: a - b)).drop("_m")
     return norm_scaled(rows, ("domain",))
 
@@ -61,7 +69,7 @@ def norm(v: Column) -> Column:
 def norm_scaled(features: DataFrame, by: tuple[str, ...] = ("domain",)) -> DataFrame:
     """Vectors over the mean norm of their group: each set by its own."""
     scale = features.groupBy(*by).agg(F.avg(norm(F.col("v"))).alias("_s"))
-    rows = features.join(F.broadcast(scale), list(by))  # a row per group
+    rows = features.join(scale, list(by))
     return rows.withColumn("v", F.transform("v", lambda x: x / F.col("_s"))).drop("_s")
 
 
