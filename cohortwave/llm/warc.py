@@ -111,24 +111,19 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     is the response and all others revisit it. A null html is an empty payload.
     Rows that repeat the largest page_id are responses all.
     """
-    digest = base32_column(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    rows = pages.select("page_id", "url", "html", digest.alias("payload_digest"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"))
-    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_to"), F.min("page_id").alias("_from"))
-    groups = written(groups.where("_to <> _from").select("payload_digest", "_to"), "payloads")
-    rows = rows.join(groups, "payload_digest", "left")
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_hex"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"))
+    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("_hex").agg(F.max("page_id").alias("_to"), F.min("page_id").alias("_from"))
+    groups = written(groups.where("_to <> _from").select("_hex", "_to"), "payloads")
+    rows = rows.join(groups, "_hex", "left")
     revisit = F.coalesce(F.col("page_id") < F.col("_to"), F.lit(False)) & (F.col("payload_bytes") >= least_bytes)
-    return rows.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_to")).alias("refers_to"))
+    return rows.select("page_id", "url", "html", base32_column(F.col("_hex")).alias("payload_digest"), "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_to")).alias("refers_to"))
 
 
 def base32_column(hex_digest: Column) -> Column:
-    """A hexadecimal digest of a multiple of five digits in base32, four letters for each five."""
+    """A SHA-1 digest in hexadecimal as base32: four letters for each five digits."""
     letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-    def four(i: Column) -> Column:
-        value = F.conv(F.substring(hex_digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(letters, F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    parts = [F.conv(F.substring(hex_digest, at, 5), 16, 10).cast("int") for at in range(1, 41, 5)]
+    return F.concat(*[F.substring(letters, F.shiftright(v, bits).bitwiseAND(31) + 1, F.lit(1)) for v in parts for bits in (15, 10, 5, 0)])
 
 
 def record_column() -> Column:
@@ -149,7 +144,7 @@ def record_column() -> Column:
         ("WARC-Profile", F.when(~response, F.lit(PROFILE))),
         ("WARC-Refers-To", F.when(~response, name(F.col("refers_to")))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
-        ("Content-Length", F.octet_length(block).cast("string")),
+        ("Content-Length", (F.octet_length(http) + F.when(response, F.col("payload_bytes")).otherwise(0)).cast("string")),
     ]
     lines = [F.concat(F.lit(f"{k}: "), v, F.lit(BREAK)) for k, v in fields]
     return F.concat(F.lit(f"WARC/1.1{BREAK}"), *[F.coalesce(line, F.lit("")) for line in lines], F.lit(BREAK), block)
