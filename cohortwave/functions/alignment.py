@@ -73,11 +73,13 @@ def joint_alignment(t: list[np.ndarray], start: np.ndarray | None = None, tol: f
     last, change, before, diverging, done = None, 1.0, 1.0, False, 0
     for done in range(1, rounds + 1):
         for i in 2 * list(range(m)):
-            v = np.einsum("jab,jbd->daj", c[i, others[i]], u[others[i]])
+            v = (c[i, others[i]] @ u[others[i]]).transpose(2, 1, 0)
             r = v @ v.transpose(0, 2, 1)
-            ru = np.einsum("dab,bd->ad", r, u[i])
-            y = np.linalg.solve(r.sum(axis=0) + 1e-12 * np.trace(r.sum(axis=0)) * np.eye(d), ru)
-            u[i] = y / np.sqrt(np.maximum(np.einsum("ad,dab,bd->d", y, r, y), 1e-300))
+            total = r.sum(axis=0)
+            ru = (r @ u[i].T[:, :, None])[:, :, 0].T
+            y = np.linalg.solve(total + 1e-12 * np.trace(total) * np.eye(d), ru)
+            ry = (r @ y.T[:, :, None])[:, :, 0]
+            u[i] = y / np.sqrt(np.maximum((y.T * ry).sum(axis=1), 1e-300))
         level = float((u**2).sum() / (2 * d * d * m))
         change = 1.0 if last is None else abs((level - last) / last)
         diverging |= before < 1e-5 and change > before

@@ -85,7 +85,7 @@ def whitened(packed: DataFrame, by: tuple[str, ...], kind: str = "svd", size: in
     return packed.groupBy(*by).applyInPandas(one, _schema(packed, by) + "domain " + _kind(packed, "domain") + ", rank int, error double")
 
 
-def aligned(packed: DataFrame, by: tuple[str, ...], size: int = 16, whitening: str = "svd", start: str = "none") -> DataFrame:
+def aligned(packed: DataFrame, by: tuple[str, ...], size: int = 16, whitening: str = "svd", start: str = "none", tol: float = 1e-8) -> DataFrame:
     """(..., domain, rounds, change, before, after, b): the alignment matrix of each domain of a group.
 
     ``before`` and ``after`` are the mean non-diagonality of whitened and of
@@ -95,7 +95,7 @@ def aligned(packed: DataFrame, by: tuple[str, ...], size: int = 16, whitening: s
     def one(group: pd.DataFrame) -> pd.DataFrame:
         domains, w = _matrices(group)
         t, h = al.whiten(w, whitening, size)
-        found = al.joint_alignment(t, al.start_at(t, start))
+        found = al.joint_alignment(t, al.start_at(t, start), tol)
         u = al.ordered(al.normalised(found.u), t)
         eye = np.stack([np.eye(len(x)) for x in t])
         before, after = (_mean_off(al.non_diagonality(f, t)) for f in (eye, u))
@@ -105,7 +105,7 @@ def aligned(packed: DataFrame, by: tuple[str, ...], size: int = 16, whitening: s
     return packed.groupBy(*by).applyInPandas(one, _schema(packed, by) + f"domain {_kind(packed, 'domain')}, rounds int, change double, before double, after double, b array<array<double>>")
 
 
-def leave_one_out(packed: DataFrame, by: tuple[str, ...], size: int = 16, whitening: str = "svd") -> DataFrame:
+def leave_one_out(packed: DataFrame, by: tuple[str, ...], size: int = 16, whitening: str = "svd", tol: float = 1e-6) -> DataFrame:
     """(..., held_out, domain, rounds, after, b): each domain in turn fitted to a group aligned without it.
 
     One task per group and held-out domain. Whitening, too, knows nothing of the held-out domain.
@@ -123,7 +123,7 @@ def leave_one_out(packed: DataFrame, by: tuple[str, ...], size: int = 16, whiten
             new_t, new_h = w[at], np.eye(len(w[at]))
         else:
             (new_t,), (new_h,) = al.whiten([w[at]], "pca" if whitening == "pca" else "svd", len(t[0]))
-        found = al.joint_alignment(t)
+        found = al.joint_alignment(t, tol=tol)
         u = al.normalised(np.concatenate((found.u, al.fast_alignment(t, found.u, new_t)[None])))
         whole, names, filters = [*t, new_t], [*[domains[i] for i in rest], out], [*h, new_h]
         u = al.ordered(u, whole)
