@@ -70,9 +70,19 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int, int]]:
 
 
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks of each batch of texts, in frames of about a million bytes."""
+    kinds = {"doc_id": "Int64", "_version": "int64", "at": "int64", "size": "int64", "lines": "int32", "hash": "int64"}
     for batch in batches:
-        rows = [(i, v, at, n, lines, np.uint64(h).astype(np.int64), t[at : at + n]) for i, v, t in zip(batch["doc_id"], batch["_version"], batch["_text"], strict=True) for at, n, lines, h in chunks(t)]
-        yield pd.DataFrame(rows, columns=["doc_id", "_version", "at", "size", "lines", "hash", "body"]).astype({"doc_id": "Int64", "_version": "int64", "at": "int64", "size": "int64", "lines": "int32", "hash": "int64"})
+        rows: list[tuple] = []
+        held = 0
+        for i, v, t in zip(batch["doc_id"], batch["_version"], batch["_text"], strict=True):
+            for at, n, lines, h in chunks(t):
+                rows.append((i, v, at, n, lines, np.uint64(h).astype(np.int64), t[at : at + n]))
+                held += n
+            if held > 1 << 20:
+                yield pd.DataFrame(rows, columns=[*kinds, "body"]).astype(kinds)
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=[*kinds, "body"]).astype(kinds)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -88,10 +98,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     whole text, so that rows that repeat a doc_id with another text are told
     apart. Rows that repeat both are one document and keep the same lines.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     often = chunk_table(docs).groupBy("hash").count().where("count > 1").select("hash")
     often = written(often, "chunk-hashes")
-    met = written(chunk_table(docs).join(often, "hash", "left_semi"), "chunk-bodies")
+    # the same plan at every size: the hashes have no bound that would let them be broadcast
+    met = written(chunk_table(docs).join(often.hint("merge"), "hash", "left_semi"), "chunk-bodies")
     place = F.struct("doc_id", "_version", "at")
     first = met.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     # bodies that share a hash are told apart by their number
