@@ -30,13 +30,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has used; ``forget`` will delete it."""
+    _PATHS.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete what this process wrote to the shared folder, once no result needs it any more."""
+    while _PATHS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Hold Arrow batches to ``size`` bytes, so that long texts do not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_folder, written
+from .common import bounded_batches, new_path, written
 
 BREAK = "\r\n"
 #: Records in one archive, at most.
@@ -273,8 +272,7 @@ def capture_history(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFr
 def op1_warc_index(spark, sf_dir: str) -> DataFrame:
     """Every page's capture, read back from the archives, in the order of the merged index."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    return capture_history(pages, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return capture_history(pages, new_path(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

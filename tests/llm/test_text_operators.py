@@ -342,3 +342,14 @@ def test_vector_search(spark, small):
     few = table.where("vec_id < 6")
     assert ann.search(few, few).groupBy("query_id").count().toPandas()["count"].tolist() == [5] * 6
     assert ann.search(table.limit(0), table).count() == 0
+
+
+def test_forget_deletes_what_was_written(spark):
+    from cohortwave.llm import common
+
+    frame = common.written(spark.range(3), "trial")
+    assert frame.count() == 3
+    path = common._PATHS[-1]
+    common.forget(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
