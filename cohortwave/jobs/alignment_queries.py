@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, covariance, features, markers, spectra, splits, trials
 from ..sources.tables import EMBEDDING_FEATURES, LINE_SAMPLES, embedding_features, line_samples
+from . import pipeline
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,14 +180,7 @@ def train_group(spark, sf_dir):
 def train_fast(spark, sf_dir):
     rows = study_features(spark, sf_dir)
     model = alignment.leave_one_out(study_means(rows), GROUP, 12).select(*GROUP, "held_out", "domain", "b")
-    return _train_fast(rows, model)
-
-
-def _train_fast(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Features of each held-out model beside one another: rows multiply by the domains of their study."""
-    dot = lambda col: F.aggregate(F.zip_with("v", col, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    joined = rows.join(model, [*GROUP, "domain"]).withColumn("v", F.transform("b", dot)).drop("b")
-    return alignment.trained_without(joined, GROUP)
+    return alignment.trained_without(features.apply_models(rows, model, (*GROUP, "domain")), GROUP)
 
 
 @query()
@@ -194,6 +188,17 @@ def train_elastic_net(spark, sf_dir):
     return alignment.trained_alone(study_features(spark, sf_dir), GROUP, "enlr")
 
 
+@query()
+def cross_validation(spark, sf_dir):
+    return alignment.cross_validated(study_features(spark, sf_dir).where("role = 'train'"), GROUP, 5)
+
+
+@query()
+def group_pipeline(spark, sf_dir):
+    config = pipeline.Config(window=WL, channels=CHANNELS, n_splits=2, n_boot=40, boot_size=10, white_dim=12, study=STUDY)
+    return pipeline.run(pipeline.GROUP_PIPELINE, config, {"samples": line_samples(spark, sf_dir)})["summary"]
+
+
 @query()
 def train_at_scale(spark, sf_dir):
     rows = embedding_features(spark, sf_dir).withColumnRenamed("domain", "recording_id").withColumnRenamed("label", "class")

@@ -369,6 +369,13 @@ def select_first_subjects(spark, sf_dir):
     return selection.first_subjects(files, 4)
 
 
+@query("""SELECT o_custkey AS subject, o_orderkey AS session FROM orders
+WHERE o_custkey IN (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5('3|' || o_custkey), o_custkey LIMIT 4)""")
+def select_random_subjects(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("session"))
+    return selection.random_subjects(files, 4, seed=3)
+
+
 @query(f"""WITH {LABEL_PREDICTIONS}, r AS (
   SELECT split, domain, truth, avg((truth = predicted)::INT) AS recall, sum((truth = predicted)::INT) AS h, count(*) AS n FROM predictions GROUP BY ALL
 )

@@ -179,6 +179,19 @@ def _trained(features: DataFrame, group: tuple[str, ...], by: tuple[str, ...], c
     return features.groupBy(*group).applyInPandas(one, _schema(features, by) + f"domain {_kind(features, 'domain')}, acc double")
 
 
+def cross_validated(features: DataFrame, by: tuple[str, ...], folds: int = 10, classifier: str = "enlr") -> DataFrame:
+    """(..., domain, acc, place): mean balanced accuracy over folds of each domain's rows, best domain first.
+
+    A row's fold is its place within its class, modulo ``folds``. Folds run side by side.
+    """
+    place = F.row_number().over(Window.partitionBy(*by, "domain", "label").orderBy("trial_no")) - 1
+    rows = features.drop("role").withColumn("_own", place % folds).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rows = rows.withColumn("role", F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")).drop("_own")
+    found = _trained(rows, (*by, "fold", "domain"), by, classifier).groupBy(*by, "domain").agg(F.avg("acc").alias("acc"))
+    order = Window.partitionBy(*by).orderBy(F.desc("acc"), "domain")
+    return found.withColumn("place", F.row_number().over(order)) if by else found
+
+
 def trained_at_scale(features: DataFrame, rounds: int = 50) -> DataFrame:
     """(split, domain, acc): one classifier a split for features of any number, balanced accuracy by domain.
 

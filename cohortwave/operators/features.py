@@ -88,6 +88,12 @@ def apply_model(features: DataFrame, model: DataFrame, on: tuple[str, ...] = ("d
     return rows.withColumn("v", F.transform("b", dot)).drop("b")
 
 
+def apply_models(features: DataFrame, models: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """As ``apply_model``, for models with columns of their own (a held-out domain): a row for each model that fits."""
+    dot = lambda col: F.aggregate(F.zip_with("v", col, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return features.join(models, list(on)).withColumn("v", F.transform("b", dot)).drop("b")
+
+
 def column_normalised(samples: DataFrame) -> DataFrame:
     """Samples whose channels are divided by their sum over the recording."""
     long = samples.select("recording_id", F.posexplode("x").alias("_i", "_v")).groupBy("recording_id", "_i").agg(F.sum("_v").alias("_s"))

@@ -14,6 +14,13 @@ def first_subjects(files: DataFrame, n: int) -> DataFrame:
     return files.join(subjects, "subject", "left_semi")
 
 
+def random_subjects(files: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """All files of ``n`` subjects chosen by a hash of the seed and the subject, each once."""
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("subject").cast("string")).cast("binary"))
+    subjects = files.select("subject").distinct().orderBy(key, "subject").limit(n).select("subject")
+    return files.join(subjects, "subject", "left_semi")
+
+
 def best_files(scores: DataFrame, n: int, descending: bool = True) -> DataFrame:
     """The ``n`` files with the largest (or smallest) score; ties by file."""
     order = F.desc("score") if descending else F.asc("score")

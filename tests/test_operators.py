@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwave.jobs import alignment_queries as queries
+from cohortwave.jobs import pipeline
 from cohortwave.operators import alignment, covariance, features, markers, overlap, rejection, selection, spectra, splits, trials
 from cohortwave.sources import ascii as text
+from cohortwave.sources import recordings
 
 RNG = np.random.default_rng(2)
 SAMPLES = "recording_id long, t long, stim int, x array<double>"
@@ -164,7 +166,7 @@ def test_training_modes_on_planted_domains(spark):
     assert len(together) == 4 and together.acc.between(0, 1).all()
     held = alignment.leave_one_out(packed, queries.GROUP, 6)
     assert held.count() == 16
-    fast = queries._train_fast(rows, held.select(*queries.GROUP, "held_out", "domain", "b")).toPandas()
+    fast = alignment.trained_without(features.apply_models(rows, held.select(*queries.GROUP, "held_out", "domain", "b"), (*queries.GROUP, "domain")), queries.GROUP).toPandas()
     assert sorted(fast.domain) == [1, 2, 3, 4] and fast.acc.between(0, 1).all()
     assert alignment.trained_at_scale(rows).count() == 4
 
@@ -189,3 +191,37 @@ def test_band_pass_and_sources(spark):
     planted = [field[:, 3 * v : 3 * v + 3] @ RNG.normal(size=3) for v in range(8)]
     found = spectra.sources(_recording(spark, np.zeros(8), planted), field, "sloreta", 1e-9).orderBy("t").collect()
     assert len(found) == 8 and all(1 <= r.voxel <= 8 for r in found)
+
+
+def test_recordings_from_files(spark, tmp_path):
+    import yaml
+
+    for stem, subject in (("subject_01_session_01", 1), ("subject_02_session_01", 2), ("alone", None)):
+        np.savez(tmp_path / f"{stem}.npz", data=np.arange(12.0).reshape(6, 2) + (subject or 0), stim=[0, 1, 0, 2, 0, 0])
+        if subject:
+            meta = {"id": {"subject": subject, "session": 1, "run": 1, "database": "db"}, "acquisition": {"samplingrate": 512, "sensors": ["Fz", "Cz"]}, "stim": {"labels": {"NonTarget": 1, "Target": 2}, "windowlength": 512, "offset": 0}}
+            (tmp_path / f"{stem}.yml").write_text(yaml.safe_dump(meta))
+    (tmp_path / "note.TXT").write_text("x")
+    assert {r.stem for r in recordings.list_recordings(spark, str(tmp_path)).collect()} == {"subject_01_session_01", "subject_02_session_01"}
+    assert [r.name for r in recordings.list_files(spark, str(tmp_path), ".txt").collect()] == ["note.TXT"]
+    rows = recordings.read_samples(spark, str(tmp_path), block=4)
+    assert rows.count() == 12 and sorted(r.t for r in rows.where("stim > 0").collect()) == [2, 2, 4, 4]
+    assert rows.where("stem = 'subject_02_session_01' and t = 6").first().x == [12.0, 13.0]
+    meta = recordings.read_metadata(spark, str(tmp_path)).orderBy("subject").collect()
+    assert [(m.subject, m.sensors, m.labels["Target"], m.window_length) for m in meta] == [(1, ["Fz", "Cz"], 2, 512), (2, ["Fz", "Cz"], 2, 512)]
+
+
+def test_pipelines_leave_their_context_alone(spark, small):
+    from cohortwave.sources.tables import line_samples
+
+    samples = line_samples(spark, small).where("recording_id < 3")
+    config = pipeline.Config(window=8, channels=4, n_splits=2, n_boot=20, boot_size=10, white_dim=8, study=4)
+    context = {"samples": samples}
+    done = pipeline.run(pipeline.GROUP_PIPELINE, config, context)
+    assert set(context) == {"samples"}
+    summary = done["summary"].toPandas()
+    assert sorted(summary["mode"].unique()) == ["alone", "together"] and summary["mean"].between(0, 1).all()
+    held = pipeline.run(pipeline.HELD_OUT_PIPELINE, config, context)["summary"].toPandas()
+    assert sorted(held.domain) == [0, 1, 2]
+    folds = alignment.cross_validated(done["vectors"].where("role = 'train'"), queries.GROUP, 4).toPandas()
+    assert len(folds) == 6 and folds.acc.between(0, 1).all()
