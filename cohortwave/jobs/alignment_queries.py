@@ -171,14 +171,14 @@ def train_subject(spark, sf_dir):
 
 @query()
 def train_group(spark, sf_dir):
-    rows = study_features(spark, sf_dir)
+    rows = study_features(spark, sf_dir).persist()
     model = alignment.aligned(study_means(rows), GROUP, 12)
     return alignment.trained_together(features.apply_model(rows, model, (*GROUP, "domain")), GROUP)
 
 
 @query()
 def train_fast(spark, sf_dir):
-    rows = study_features(spark, sf_dir)
+    rows = study_features(spark, sf_dir).persist()
     model = alignment.leave_one_out(study_means(rows), GROUP, 12).select(*GROUP, "held_out", "domain", "b")
     return alignment.trained_without(features.apply_models(rows, model, (*GROUP, "domain")), GROUP)
 
