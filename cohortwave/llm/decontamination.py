@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 7
 #: Words of benchmark items that one pass over the documents takes.
-PASS_WORDS = 1 << 20
+PASS_WORDS = 1 << 16
 _CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 _BLOCK = [(b, low, (1 << (high - low)) - 1) for b, (low, high) in enumerate(zip(_CUTS, _CUTS[1:], strict=False))]
 _NEAR = [0, *(1 << i for i in range(10)), *((1 << i) | (1 << j) for i, j in combinations(range(10), 2))]

@@ -184,6 +184,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.withColumn("_language", predicted(F.col("text"), model))
 
 
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose language the model accepts."""
+    bounded_batches(docs.sparkSession)
+    return docs.where(predicted(F.col("text"), model)["accepted"])
+
+
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

@@ -120,10 +120,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     falls beside them, or on equal rows. An empty table gives an empty mix. A
     rerun over the same rows takes the same documents.
     """
-    rows = measured(docs.select("doc_id", "text", "source"), weight, seed).drop("text")
+    # the rows travel in a struct, so that columns of any name come out as they went in
+    own = [F.col("doc_id"), F.col("text"), F.col("source")] + ([] if weight is None else [weight.alias("_weight")])
+    weight = None if weight is None else F.col("_weight")
+    rows = measured(docs.select(*own), weight, seed).drop("text", "_weight")
     budget = budgets(written(rows, "mix-rows"), weights, share, most)
-    kept = with_copies(measured(docs, weight, seed), budget)
-    return kept.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).where("_copies > 0").select(*docs.columns)
+    kept = with_copies(measured(docs.select(F.struct(*docs.columns).alias("_row"), *own), weight, seed), budget)
+    return kept.where("_copies > 0").select("_row", F.explode(F.expr("sequence(1L, greatest(_copies, 1L))"))).select("_row.*")
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

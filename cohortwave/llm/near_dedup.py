@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,16 +175,12 @@ def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> Data
     Rows whose group has no doc_id at all stay.
     """
     found = near_duplicates(docs, shingle, radius)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
-    order = F.row_number().over(_by_id())
-    return kept.withColumn("_at", order).where("_at = 1").select(*[kept[c] for c in docs.columns]).unionByName(docs.where("doc_id is null"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    # the rows travel in a struct, so that columns of any name come out as they went in
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_version"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_version"))
+    kept = rows.join(first, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1")
+    return kept.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

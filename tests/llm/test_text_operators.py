@@ -165,6 +165,21 @@ def test_mix_repeats_rows(docs, nothing):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, again.collect()))
 
 
+def test_clashing_columns_come_out_as_they_went_in(spark, docs):
+    import corpus_pipeline
+
+    names = ("_size", "_key", "source_size", "target", "_copies", "_at", "_place", "_row", "_version", "_language", "size", "shard", "slot", "_shard")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "decontamination":
+            continue
+        got = stage(spark, odd, "")
+        kept = [n for n in names if name != "sharding" or n not in ("size", "shard", "slot", "_size", "_shard")]
+        rows = got.select(*kept).distinct().collect() if name != "language_id" else odd.where("false").collect()
+        assert set(odd.columns) <= set(got.columns)
+        assert all(r[n] == f"own {n}" for r in rows for n in kept)
+
+
 def test_targets_refill_what_caps_free(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, source_size long")
     target = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
