@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; it learns from those not held out."""
     model = language_id.learn(docs.where(~held_out("doc_id")))
-    return language_id.identify(docs, model).where("_language.accepted").select(*docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of 40 and its slot there."""
-    placed = sharding.shard(docs, sharding.SHARDS)
-    return placed.select(*docs.columns, F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """Every row with its size, its shard of 40 and its slot there; these replace columns of the same names."""
+    kept = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    placed = sharding.shard(docs.select(*kept), sharding.SHARDS)
+    return placed.select(*kept, F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 STAGES: list[tuple[str, Stage]] = [
