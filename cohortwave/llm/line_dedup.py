@@ -6,11 +6,16 @@ whatever stands before it. A line of 50 words or more is a passage by itself: it
 always makes a chunk of its own. Chunks of several lines, and such long lines,
 that occur more than once in the corpus are removed but for their first
 occurrence. Equal hashes only propose; the chunks' bytes decide.
+
+A chunk's edges need not be a passage's. So every shortest run of lines that
+reaches 50 words, from each line on and up to each line, is compared as well:
+these runs cover each repeated passage of 50 words or more from edge to edge,
+whatever stands around it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +32,8 @@ DIVISOR = 3
 #: Words that make a single line a chunk of its own.
 LONG_LINE = 50
 _BASE = 0x9E3779B97F4A7C15
+#: What proposes the runs of a text: (first byte, bytes, lines, hash) of each.
+Finder = Callable[[bytes | None], list[tuple[int, int, int, int]]]
 
 
 def boundaries(hashes: np.ndarray, long: np.ndarray, window: int = WINDOW, divisor: int = DIVISOR) -> np.ndarray:
@@ -69,40 +76,72 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunks of each batch of texts, in frames of about a million bytes."""
+def passages(text: bytes | None) -> list[tuple[int, int, int, int]]:
+    """(first byte, bytes, lines, hash) of the chunks and of all shortest runs of ``LONG_LINE`` words.
+
+    From each line with words on, the run to the first line that makes it
+    ``LONG_LINE`` words; up to each line with words, likewise. Any longer run
+    that begins and ends with words is the union of such runs within it, so a
+    line lies in a repeated run of ``LONG_LINE`` words or more exactly if it
+    lies in a repeated shortest one. Runs overlap.
+    """
+    found = {(at, n): (at, n, lines, h) for at, n, lines, h in chunks(text)}
+    if not text:
+        return []
+    lines = text.split(b"\n")
+    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)))
+    own = np.fromiter((len(line.split()) for line in lines), np.int64, len(lines))
+    words = np.concatenate(([0], np.cumsum(own)))
+    from_line, to_line = np.flatnonzero(own), np.flatnonzero(own) + 1
+    after = np.searchsorted(words, words[from_line] + LONG_LINE, "left")
+    before = np.searchsorted(words, words[to_line] - LONG_LINE, "right") - 1
+    some, also = after <= len(lines), before >= 0
+    for a, b in zip(np.append(from_line[some], before[also]).tolist(), np.append(after[some], to_line[also]).tolist(), strict=True):
+        at, n = int(starts[a]), int(starts[b] - starts[a]) - 1
+        if (at, n) not in found:
+            found[at, n] = (at, n, b - a, xxh64_intdigest(text[at : at + n]))
+    return list(found.values())
+
+
+def _chunk_rows(batches: Iterator[pd.DataFrame], find: Finder) -> Iterator[pd.DataFrame]:
+    """Chunks of each batch of texts, in frames of bounded size."""
     kinds = {"doc_id": "Int64", "_version": "int64", "at": "int64", "size": "int64", "lines": "int32", "hash": "int64"}
     for batch in batches:
         rows: list[tuple] = []
-        held = 0
         for i, v, t in zip(batch["doc_id"], batch["_version"], batch["_text"], strict=True):
-            for at, n, lines, h in chunks(t):
-                rows.append((i, v, at, n, lines, np.uint64(h).astype(np.int64), t[at : at + n]))
-                held += n
-            if held > 1 << 20:
-                yield pd.DataFrame(rows, columns=[*kinds, "body"]).astype(kinds)
-                rows, held = [], 0
-        yield pd.DataFrame(rows, columns=[*kinds, "body"]).astype(kinds)
+            for at, n, lines, h in find(t):
+                rows.append((i, v, at, n, lines, np.uint64(h).astype(np.int64)))
+            if len(rows) > 1 << 14:
+                yield pd.DataFrame(rows, columns=[*kinds]).astype(kinds)
+                rows = []
+        yield pd.DataFrame(rows, columns=[*kinds]).astype(kinds)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, _version, at, size, lines, hash, body) of every removable chunk."""
+def chunk_table(docs: DataFrame, find: Finder = chunks) -> DataFrame:
+    """(doc_id, _version, at, size, lines, hash) of every removable chunk, or run that ``find`` proposes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_version"), F.col("text").cast("binary").alias("_text"))
-    return rows.mapInPandas(_chunk_rows, "doc_id long, _version long, at long, size long, lines int, hash long, body binary")
+    return rows.mapInPandas(lambda it: _chunk_rows(it, find), "doc_id long, _version long, at long, size long, lines int, hash long")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, find: Finder = chunks) -> DataFrame:
     """(doc_id, _version, at, size, lines) of each occurrence to be removed: every one but the first.
 
     First is the smallest (doc_id, version, place); ``_version`` is a hash of the
     whole text, so that rows that repeat a doc_id with another text are told
-    apart. Rows that repeat both are one document and keep the same lines.
+    apart. Rows that repeat both are one document and keep the same lines. A run
+    that overlaps its own first occurrence is no other occurrence.
     """
     bounded_batches(docs.sparkSession, 4 << 20)
-    often = chunk_table(docs).groupBy("hash").count().where("count > 1").select("hash")
-    often = written(often, "chunk-hashes")
+    runs = written(chunk_table(docs, find), "chunk-hashes")
+    often = runs.groupBy("hash").count().where("count > 1").select("hash")
     # the same plan at every size: the hashes have no bound that would let them be broadcast
-    met = written(chunk_table(docs).join(often.hint("merge"), "hash", "left_semi"), "chunk-bodies")
+    own = runs.join(often.hint("merge"), "hash", "left_semi").groupBy("doc_id", "_version").agg(F.collect_set(F.struct("at", "size", "lines", "hash")).alias("_runs"))
+    own = own.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_v"), "_runs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_version"), F.col("text").cast("binary").alias("_text"))
+    texts = texts.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")))
+    # the bodies of repeated hashes alone travel; the texts stay behind
+    bodies = F.expr("transform(_runs, r -> struct(r.at, r.size, r.lines, r.hash, substring(_text, int(r.at) + 1, int(r.size)) AS body))")
+    met = written(texts.select("doc_id", "_version", F.explode(bodies).alias("_run")).select("doc_id", "_version", "_run.*"), "chunk-bodies")
     place = F.struct("doc_id", "_version", "at")
     first = met.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     # bodies that share a hash are told apart by their number
@@ -112,44 +151,50 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         pairs = met.drop("body").join(first.drop("body"), "hash")
     else:
         pairs = met.join(first, ["hash", "body"]).drop("body")
-    return pairs.where(place != F.col("first")).select("doc_id", "_version", "at", "size", "lines")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_version") == F.col("first._version"))
+    return pairs.where(~same | (F.col("at") > F.col("first.at") + F.col("size"))).select("doc_id", "_version", "at", "size", "lines")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, find: Finder = chunks) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text``, and ``_removed``: their lines.
 
-    A removed chunk takes its line breaks with it. A null text stays null; a
+    ``find`` proposes the runs that are compared: ``chunks``, or ``passages`` for
+    all of them. A line goes if it lies in a run that stands earlier in the
+    corpus, too. A removed chunk takes its line breaks with it. A null text stays null; a
     text of repeats alone becomes empty. An empty table stays empty.
     """
-    spans = repeated_chunks(docs).groupBy("doc_id", "_version").agg(F.collect_set(F.struct("at", "size", "lines")).alias("_spans"))
+    spans = repeated_chunks(docs, find).groupBy("doc_id", "_version").agg(F.collect_set(F.struct("at", "size")).alias("_spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_v"), "_spans")
     rows = docs.withColumn("_version", F.xxhash64("text"))
     rows = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(text: bytes | None, gone) -> str | None:
+    @F.pandas_udf("text string, lines int")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        def one(text: bytes | None, gone) -> tuple[str | None, int]:
             if text is None:
-                return None
-            kept, at = [], 0
-            for s in sorted(gone if gone is not None else (), key=lambda s: s["at"]):
+                return None, 0
+            kept, at, lines = [], 0, 0
+            for s in sorted(gone if gone is not None else (), key=lambda s: (s["at"], s["size"])):
                 kept.append(text[at : s["at"]])
-                at = s["at"] + s["size"] + 1
+                end = max(at, s["at"] + s["size"] + 1)
+                lines += text.count(b"\n", max(at, s["at"]), end) + (end > len(text) >= at)
+                at = end
             kept.append(text[at:])
             whole = b"".join(kept)
             if at > len(text) and whole.endswith(b"\n"):  # the last line went: so does the break before it
                 whole = whole[:-1]
-            return whole.decode("utf-8", "replace")
+            return whole.decode("utf-8", "replace"), lines
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        return pd.DataFrame([one(t, s) for t, s in zip(texts, spans, strict=True)], columns=["text", "lines"])
 
-    cleaned = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("binary"), F.col("_spans")))
-    removed = F.coalesce(F.aggregate("_spans", F.lit(0), lambda n, s: n + s["lines"]), F.lit(0))
+    rows = rows.withColumn("_cut", cut(F.col("text").cast("binary"), F.col("_spans")))
+    cleaned = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.col("_cut.text"))
+    removed = F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(F.col("_cut.lines"))
     return rows.withColumn("_removed", removed).withColumn("text", cleaned).select(*docs.columns, "_removed")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages, and how many lines went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = remove_repeats(docs)
+    found = remove_repeats(docs, passages)
     return found.select("doc_id", "text", F.col("_removed").alias("removed_lines"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("clean_crc32"))

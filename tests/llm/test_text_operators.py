@@ -306,6 +306,37 @@ def test_long_line_is_removed_wherever_it_stands(spark):
     assert got == {1: f"a\n{line}\nb", 2: "c d", 3: "", 4: "short\nshort"}
 
 
+def test_passages_equal_brute_force_over_runs(spark):
+    rng = random.Random(8)
+    pool = [_text(rng, rng.choice((3, 12, 25, 30, 55))) for _ in range(12)] + ["", "common"]
+    runs = [[rng.choice(pool) for _ in range(rng.randrange(2, 7))] for _ in range(8)]
+    texts = []
+    for i in range(50):
+        parts = [rng.choice(runs) if rng.random() < 0.5 else [rng.choice(pool) if rng.random() < 0.2 else f"{i} {k} " + _text(rng, 9)] for k in range(rng.randrange(2, 7))]
+        texts.append("\n".join(line for part in parts for line in part))
+    line = _text(rng, 30)
+    texts += ["\n".join([line] * 7), "a b\n" + "\n".join([line] * 2)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r["_removed"]) for r in line_dedup.remove_repeats(frame, line_dedup.passages).collect()}
+    seen, expected, late = {}, {}, 0
+    for i, t in enumerate(texts):
+        own, at, gone = t.split("\n"), {0: 0}, set()
+        for k, x in enumerate(own):
+            at[max(at) + len(x.encode()) + 1] = k + 1
+        cuts = {(at[a], at[a] + n) for a, _, n, _ in line_dedup.chunks(t.encode())}
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = tuple(own[a:b])
+                long = sum(len(x.split()) for x in run) >= 50 and run[0].split() and run[-1].split()
+                if long or (a, b) in cuts:
+                    where = seen.setdefault(run, (i, a, b))
+                    if where[0] != i or a >= where[2]:
+                        gone |= set(range(a, b))
+                        late += (a, b) not in cuts
+        expected[i] = ("\n".join(x for k, x in enumerate(own) if k not in gone), len(gone))
+    assert got == expected and late
+
+
 def test_loser_tree_merges_like_heapq():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 6, 9):
