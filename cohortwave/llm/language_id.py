@@ -64,13 +64,22 @@ def subword_counts(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Logits of a text are the mean of ``table`` over its subwords, plus ``bias``."""
+    """Logits of a text are the mean of ``table`` over its subwords, plus ``bias``.
+
+    ``familiar`` has the log-probability of each bucket in the training sample,
+    over that of even buckets, and ``spread`` its deviation there. A text whose
+    mean of it, plus three standard errors, is below ``least_familiar`` is in no
+    language of the sample, whatever the softmax makes of it.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     least_score: float
+    familiar: np.ndarray
+    spread: float
+    least_familiar: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, whether it is accepted)."""
@@ -82,7 +91,13 @@ class LanguageModel:
         p = np.exp(z - z.max())
         best = int(p.argmax())
         score = float(p[best] / p.sum())
-        return self.languages[best], score, score >= self.least_score
+        known = _familiarity(float(counts @ self.familiar), total, self.spread)
+        return self.languages[best], score, bool(score >= self.least_score and known >= self.least_familiar)
+
+
+def _familiarity(score, total, spread: float):
+    """Upper bound of a text's mean familiarity: three standard errors above, so that short texts are not judged by chance."""
+    return score / total + 3 * spread / np.sqrt(total)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -90,16 +105,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: list[str], seed: int = 7, reject: float = 0.002, certain: float = 1 / 3) -> LanguageModel:
+def fit(counts: np.ndarray, labels: list[str], seed: int = 7, reject: float = 0.002, certain: float = 1 / 3, slack: float = 0.5) -> LanguageModel:
     """Train on rows of bucket counts; a fifth of them sets temperature and rejection.
 
     A text is rejected below the score that ``reject`` of the rightly predicted
     calibration rows fail to reach, and never at ``certain`` or above: a text in
-    two languages halves its score and is no less clean for that.
+    two languages halves its score and is no less clean for that. The softmax
+    cannot tell a text in no learned language, so a text is rejected as well if
+    its subwords are less familiar than the same quantile of those rows, lowered
+    by ``slack`` of the quantile's distance from their median: the sample is
+    small, and its least rows are not the least of the corpus. That measure
+    pools all languages, does not depend on their number and keeps their mixtures.
     """
     languages = tuple(sorted(set(labels)))
     if len(counts) < 5 or not languages:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS), 0.0, 0.0)
     draw = np.random.default_rng(seed)
     x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     y = np.array([languages.index(v) for v in labels])
@@ -124,9 +144,20 @@ def fit(counts: np.ndarray, labels: list[str], seed: int = 7, reject: float = 0.
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.25, 20, 120), key=loss))
     p = _softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
+    hit = p.argmax(axis=1) == y[check]
+    right = p.max(axis=1)[hit]
     least = min(certain, float(np.quantile(right, reject))) if len(right) else certain
-    return LanguageModel(languages, (embed @ weight).astype(np.float32), bias.astype(np.float64), temperature, least)
+    # each row counts as a text of median length, so that no long one outweighs the rest
+    totals = counts.sum(axis=1).astype(np.float64)
+    seen = x[learn].sum(axis=0, dtype=np.float64) * np.median(totals)
+    share = (seen + 0.5) / (seen + 0.5).sum()
+    familiar = np.log(share * BUCKETS)
+    spread = float(np.sqrt(share @ (familiar - share @ familiar) ** 2))
+    own = check[hit]
+    known = _familiarity(x[own] @ familiar * totals[own], np.maximum(totals[own], 1), spread)
+    low, middle = np.quantile(known, [reject, 0.5]) if len(own) else (-np.inf, 0.0)
+    unknown_below = float(low - slack * (middle - low)) if len(own) else -np.inf
+    return LanguageModel(languages, (embed @ weight).astype(np.float32), bias.astype(np.float64), temperature, least, familiar, spread, unknown_below)
 
 
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -177,6 +208,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with the column ``_language``: struct(lang, score, accepted) of each whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, rejected. A
+    text in no learned language, or of letter junk, gets the likeliest language
+    and is rejected, unless it is too short to tell. A
     tie goes to the language first in code-point order. Repeated rows get equal
     results; an empty table stays empty; a model without languages says ``und``.
     """

@@ -120,6 +120,20 @@ def test_language_edges_and_accuracy(spark, docs, nothing, small):
     assert language_id.learn(nothing).predict("some words")[:2] == ("und", 0.0)
 
 
+@pytest.mark.parametrize("languages", [("en", "fr"), ("de", "en", "es"), ("de", "en", "es", "fr")])
+def test_foreign_and_junk_texts_are_rejected_and_mixtures_stay(spark, small, languages):
+    table = spark.read.parquet(f"{small}/documents.parquet").where(F.col("lang").isin(*languages))
+    model = language_id.learn(table.where(~held_out("doc_id")))
+    rng = random.Random(4)
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(60))
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心"]
+    for text in [junk, "a" * 500, *[3 * (t + " ") for t in foreign]]:
+        assert not model.predict(text)[2]
+    held = [r for r in table.where(held_out("doc_id")).collect() if any(c.isalpha() for c in r.text or "")]
+    texts = [r.text for r in held] + [a.text + "\n" + b.text for a, b in zip(held, held[1:], strict=False) if a.lang != b.lang]
+    assert np.mean([model.predict(t)[2] for t in texts]) > 0.98
+
+
 def test_subword_blocks_do_not_change_counts(monkeypatch):
     text = "Größe und Länge, élève déjà vu " * 50
     whole = language_id.subword_counts(text)
