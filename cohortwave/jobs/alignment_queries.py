@@ -53,10 +53,10 @@ def embedding_means(spark, sf_dir: str) -> DataFrame:
     return features.bootstrap_means(rows, features.draws(rows, N_BOOT, BOOT_SIZE, seed=7))
 
 
-def embedding_groups(spark, sf_dir: str) -> DataFrame:
+def embedding_groups(spark, sf_dir: str, n_boot: int = 60) -> DataFrame:
     """Packed means of three bootstrap seeds: each seed is one group of domains."""
     rows = embedding_features(spark, sf_dir)
-    parts = [features.bootstrap_means(rows, features.draws(rows, 60, BOOT_SIZE, seed=s)).withColumn("seed", F.lit(s)) for s in (1, 2, 3)]
+    parts = [features.bootstrap_means(rows, features.draws(rows, n_boot, BOOT_SIZE, seed=s)).withColumn("seed", F.lit(s)) for s in (1, 2, 3)]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return alignment.packed_means(whole, ("seed",))
 
@@ -208,7 +208,8 @@ def train_at_scale(spark, sf_dir):
 
 @query()
 def cca_rank_sources(spark, sf_dir):
-    return alignment.canonical_ranking(embedding_groups(spark, sf_dir), ("seed",))
+    # two classes of 320 means: five times the 64 + 64 dimensions of a pair
+    return alignment.canonical_ranking(embedding_groups(spark, sf_dir, 320), ("seed",))
 
 
 @query()

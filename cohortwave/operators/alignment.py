@@ -217,13 +217,18 @@ def trained_at_scale(features: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def canonical_ranking(packed: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(..., target, source, correlation, place): sources of each target by first canonical correlation."""
+    """(..., target, source, correlation, place): sources of each target by first canonical correlation.
+
+    Of whole vectors. Two domains need more columns, and more trials behind
+    them, than the dimensions of both together; with fewer, two vectors always
+    agree on some direction and the correlation is 1.
+    """
     a = packed.select(*by, F.col("domain").alias("target"), F.col("w").alias("_a"))
     b = packed.select(*by, F.col("domain").alias("source"), F.col("w").alias("_b"))
 
     @F.pandas_udf("double")
     def first(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(al.canonical(np.stack(p).T[:8], np.stack(q).T[:8])[0]) for p, q in zip(x, y, strict=True)])
+        return pd.Series([float(al.canonical(np.stack(p).T, np.stack(q).T)[0]) for p, q in zip(x, y, strict=True)])
 
     rows = a.join(b, list(by)).where("target <> source").select(*by, "target", "source", first("_a", "_b").alias("correlation"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by, "target").orderBy(F.desc("correlation"), "source")))

@@ -1,5 +1,7 @@
 """Operators on small recordings, where plain Python can say what must come out."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +227,27 @@ def test_pipelines_leave_their_context_alone(spark, small):
     assert sorted(held.domain) == [0, 1, 2]
     folds = alignment.cross_validated(done["vectors"].where("role = 'train'"), queries.GROUP, 4).toPandas()
     assert len(folds) == 6 and folds.acc.between(0, 1).all()
+
+
+def test_canonical_ranking_takes_whole_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3, 300, 12))
+    x[1, :, 10] = x[0, :, 11] + 0.1 * rng.normal(size=300)  # the tie lies beyond the eighth coordinate
+    frame = spark.createDataFrame([(1, d + 1, w.tolist()) for d, w in enumerate(x)], "seed int, domain int, w array<array<double>>")
+    got = {(r.target, r.source): (r.correlation, r.place) for r in alignment.canonical_ranking(frame, ("seed",)).collect()}
+    for (t, s), (value, _) in got.items():
+        a, b = (x[k - 1] - x[k - 1].mean(axis=0) for k in (t, s))
+        squares = np.linalg.eigvals(np.linalg.solve(a.T @ a, a.T @ b) @ np.linalg.solve(b.T @ b, b.T @ a)).real
+        assert np.isclose(value, np.sqrt(squares.max()))
+    assert got[1, 2][0] > 0.9 and got[1, 2][1] == got[2, 1][1] == 1
+
+
+def test_source_ranking_has_columns_for_whole_vectors(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no generated tables here")
+    groups = {(r.seed, r.domain): np.stack(r.w) for r in queries.embedding_groups(spark, folder, 320).collect()}
+    assert all(w.shape == (640, 64) for w in groups.values())
+    for r in queries.cca_rank_sources(spark, folder).collect():
+        a, b = (np.linalg.qr(w - w.mean(axis=0))[0] for w in (groups[r.seed, r.target], groups[r.seed, r.source]))
+        assert np.isclose(r.correlation, np.linalg.svd(a.T @ b, compute_uv=False)[0]) and r.correlation < 0.999
