@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,26 +13,28 @@ from pyspark.sql import functions as F
 #: One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bytes of text that one Arrow batch may carry into a Python worker.
-BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is read from ``spark.checkpoint.dir`` (or the context's checkpoint
-    folder). Only where neither is set, as in local tests, a new temporary
-    folder is made and set.
+    folder). Where neither is set, a session inside one process, as in tests,
+    gets a new temporary folder; on a cluster that is an error, as each machine
+    would write to a disk of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwave-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
 _PATHS: list[str] = []
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -43,19 +47,41 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables from which nothing will be read any more."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            _delete(table.sparkSession, path)
+            _PATHS.remove(path)
 
 
 def forget(spark: SparkSession) -> None:
     """Delete what this process wrote to the shared folder, once no result needs it any more."""
     while _PATHS:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _PATHS.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def packed(df: DataFrame, name: str = "_row") -> Column:
+    """All columns in one struct, so that an operator's own columns clash with none: ``select("_row.*")`` unpacks them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias(name)
 
-def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Hold Arrow batches to ``size`` bytes, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -69,6 +95,29 @@ def held_out(key: Column | str) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: A key of more than this part of all rows is hot.
+HOT_SHARE = 1e-3
+#: Rows of a lookup table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def hot_lookup(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """Left join of ``rows`` to ``facts``, unique by ``key`` and already written.
+
+    ``count`` is the column of ``facts`` that says how many rows bear the key.
+    Fewer than ``1 / HOT_SHARE`` keys can each have over ``HOT_SHARE`` of all
+    rows: these are broadcast, so that no task meets a hot key; all others go by
+    shuffle. The column ``count`` does not come out; ``rows`` is read twice.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.where(F.col(count) > total * HOT_SHARE).drop(count)
+    met = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    facts = facts.where(F.col(count) <= total * HOT_SHARE).drop(count)
+    others = [c for c in facts.columns if c != key]
+    cold = met.where("_hot is null").drop("_hot", *others).join(facts, key, "left")
+    return met.where("_hot").drop("_hot").unionByName(cold)
+
+
 def salted_lookup(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, salts: int = 64, how: str = "left") -> DataFrame:
     """Join ``rows`` to ``facts`` (unique by ``keys``), a hot key spread over ``salts`` tasks.
 
@@ -80,10 +129,6 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Colu
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-#: Rows of a lookup table that may be broadcast; a larger one is joined by salted shuffle.
-BROADCAST_ROWS = 100_000
-
-
 def checked_lookup(rows: DataFrame, facts: DataFrame, key: str, salt: Column, most: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of ``rows`` to ``facts``, unique by ``key`` and already written.
 

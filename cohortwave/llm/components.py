@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -24,14 +24,15 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     roots = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node")), "roots")
     for _ in range(max_rounds):
         if links.isEmpty():
+            release(links)
             return roots
         both = links.union(links.select("b", "a"))
         hooks = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("up")), "hooks")
-        step = hooks.select(F.col("n").alias("up"), F.col("up").alias("up2"))
-        hooks = written(hooks.join(step, "up").select("n", F.col("up2").alias("up")), "hooks")
-        step = hooks.select(F.col("n").alias("up"), F.col("up").alias("up2"))
-        hooks = written(hooks.join(step, "up").select("n", F.col("up2").alias("up")), "hooks")
-        links = written(
+        for _ in range(2):
+            step = hooks.select(F.col("n").alias("up"), F.col("up").alias("up2"))
+            last, hooks = hooks, written(hooks.join(step, "up").select("n", F.col("up2").alias("up")), "hooks")
+            release(last)
+        last, links = links, written(
             links.join(hooks.select(F.col("n").alias("a"), F.col("up").alias("ua")), "a")
             .join(hooks.select(F.col("n").alias("b"), F.col("up").alias("ub")), "b")
             .where("ua <> ub")
@@ -39,6 +40,8 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
             .distinct(),
             "links",
         )
-        hooks = hooks.select(F.col("n").alias("root"), "up")
-        roots = written(roots.join(hooks, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        release(last)
+        up = hooks.select(F.col("n").alias("root"), "up")
+        last, roots = roots, written(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        release(last, hooks)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
