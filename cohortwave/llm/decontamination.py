@@ -1,16 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
-A window of a document has as many words as a benchmark item. Its SimHash over
-5-word shingles is looked up in a multi-index of the items' fingerprints of that
-length: 64 bits in seven blocks, each item filed under every block value within
-two bits of its own. Two fingerprints within the radius of 20 bits differ by at most
-two bits in one block at least, so the index misses none. What it finds is
-verified by the exact weighted similarity of both shingle multisets.
-
-Windows that share no shingle with any item have similarity 0 and are not
-fingerprinted: a table of the items' shingles shows where the others can be.
-That rule loses nothing. The items must be few beside the corpus; they are
-counted, and reach the tasks in groups of bounded size, one pass for each.
+Every window of a document that has as many words as a benchmark item gets the
+SimHash of its 5-word shingles, by running sums over the shingles' bits. The items'
+fingerprints of that length are in a multi-index: 64 bits in four blocks, each
+item filed under every block value within three bits of its own. Two fingerprints
+within 15 bits differ by three at most in one block at least, so the index misses
+none of them, while an unrelated window meets one item in twenty-five. What it
+proposes within the radius is verified by the exact weighted similarity of both
+shingle multisets, together with the windows a few words to either side.
+
+The items must be few beside the corpus; they are counted, and reach the tasks in
+groups of bounded size, one pass for each.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations, repeat
+from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,69 +27,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bounded_batches
 from .simhash import SEED, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Similarity 0.8 is a cosine of 0.89 or more, 9.7 of 64 bits on average and 20 at 3.6 deviations.
-RADIUS = 20
-BLOCKS = 7
+#: Similarity 0.8 is a cosine of 0.89 or more: 9.7 of 64 bits on average, over 15 in 2 of 100 windows at exactly 0.8.
+RADIUS = 15
+#: Blocks of 16 bits, and the bits in which one block may differ: RADIUS differing bits leave one block with no more.
+BLOCKS, FLIPS = 4, 3
 #: Words of benchmark items that one pass over the documents takes.
-PASS_WORDS = 1 << 16
-_CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-_BLOCK = [(b, low, (1 << (high - low)) - 1) for b, (low, high) in enumerate(zip(_CUTS, _CUTS[1:], strict=False))]
-_NEAR = [0, *(1 << i for i in range(10)), *((1 << i) | (1 << j) for i, j in combinations(range(10), 2))]
+PASS_WORDS = 1 << 17
+#: Windows that are fingerprinted in one step, and bytes of text that are cut into words at a time.
+STEP, SEGMENT = 1 << 14, 1 << 22
+#: Word codes that a task keeps; then it starts anew.
+KEPT = 1 << 20
+_NEAR = np.array([sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(16), n)], np.uint16)
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 
 
+class _Codes(dict):
+    """Codes of words, made when first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxh64_intdigest(word, SEED)
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KEPT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def _shingles(codes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` neighbouring word codes."""
-    many = len(codes) - size + 1
-    total = np.zeros(max(many, 0), np.uint64)
+    many = max(len(codes) - size + 1, 0)
+    total = np.zeros(many, np.uint64)
     for i in range(size):
-        total += codes[i : i + many] * _MIX[i] if many > 0 else total
+        total += codes[i : i + many] * _MIX[i]
     total ^= total >> np.uint64(31)
-    return total * np.uint64(0xBF58476D1CE4E5B9)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ total >> np.uint64(32)
 
 
-def _fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of every ``width`` neighbouring shingles: a bit is 1 if set in over half of them."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    upto = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
-    major = 2 * (upto[width:] - upto[:-width]) > width
-    return np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-@dataclass
-class _Length:
-    """The items of one length: ids, words, fingerprints, block table."""
+def _running(hashes: np.ndarray, kind: type = np.int32) -> np.ndarray:
+    """How many of the hashes before each place set each of the 64 bits; differences are right below the kind's bound."""
+    upto = np.zeros((len(hashes) + 1, 64), kind)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    np.cumsum(bits, axis=0, dtype=kind, out=upto[1:])
+    return upto
 
-    ids: list[int] = field(default_factory=list)
-    words: list[tuple[bytes, ...]] = field(default_factory=list)
 
-    def seal(self, code) -> None:
-        self.size = min(SHINGLE, len(self.words[0]))
-        self.width = len(self.words[0]) - self.size + 1
-        self.prints = np.array([_fingerprints(_shingles(code(w), self.size), self.width)[0] for w in self.words], np.uint64)
-        self.shingles = [Counter(_grams(w, self.size)) for w in self.words]
-        self.blocks: dict[tuple[int, int], list[int]] = {}
-        for i, p in enumerate(self.prints.tolist()):
-            for b, low, mask in _BLOCK:
-                for flip in _NEAR:
-                    if flip <= mask:
-                        self.blocks.setdefault((b, (p >> low) & mask ^ flip), []).append(i)
+def _fingerprints(upto: np.ndarray, width: int, room: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of every ``width`` neighbouring shingles: a bit is 1 if set in over half of them.
 
-    def near(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) pairs within the radius, by the block index."""
-        own = self.prints.tolist()
-        for row, p in enumerate(prints.tolist()):
-            met = {i for b, low, mask in _BLOCK for i in self.blocks.get((b, (p >> low) & mask), ())}
-            yield from ((row, i) for i in sorted(met) if (p ^ own[i]).bit_count() <= RADIUS)
+    ``room`` of the counts' kind is used anew by each call.
+    """
+    set_ = np.subtract(upto[width:], upto[:-width], out=None if room is None else room[: len(upto) - width])
+    return np.packbits(np.greater(set_, width // 2, out=set_.view(bool) if set_.itemsize == 1 else None), bitorder="little").view(np.uint64)
 
 
-def _grams(words: tuple[bytes, ...] | list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
-    return zip(*(words[i:] for i in range(size)), strict=False)
+def _grams(words: list[bytes] | tuple[bytes, ...], size: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(size)), strict=False))
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -97,93 +96,151 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return common / (a.total() + b.total() - common)
 
 
-def _held(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted array ``known``, which is not empty."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
+@dataclass
+class _Length:
+    """The items of one length: ids, shingles, fingerprints and the block index."""
 
-def _crowded(anchors: np.ndarray, width: int, last: int) -> np.ndarray:
-    """Starts of the windows of which the anchors hold ``SIMILARITY`` or more of ``width`` shingles."""
-    need = int(np.ceil(SIMILARITY * width - 1e-9))
-    if len(anchors) < need:
-        return np.zeros(0, np.int64)
-    # a window holds the anchors i .. i + need - 1 if it starts at most there and ends at least there
-    first, final = anchors[: len(anchors) - need + 1], anchors[need - 1 :]
-    low, high = np.maximum(final - width + 1, 0), np.minimum(first, last)
-    some = low <= high
-    if not some.any():
-        return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low[some].tolist(), high[some].tolist(), strict=True)]))
+    words: int
+    ids: list[int] = field(default_factory=list)
+    grams: list[Counter] = field(default_factory=list)
+    prints: list[int] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.size = min(SHINGLE, self.words)
+        self.width = self.words - self.size + 1
+
+    def add(self, item: int, words: tuple[bytes, ...], codes: np.ndarray) -> None:
+        self.ids.append(item)
+        self.grams.append(_grams(words, self.size))
+        self.prints.append(int(_fingerprints(_running(_shingles(codes, self.size)), self.width)[0]))
+
+    @cached_property
+    def index(self) -> np.ndarray:
+        """A bit for each block value under which any item is filed: small enough to stay in a core's cache."""
+        filed = np.zeros((BLOCKS, 1 << 16), bool)
+        for values in np.array(self.prints, np.uint64).view(np.uint16).reshape(-1, BLOCKS):
+            for block, value in enumerate(values):
+                filed[block, value ^ _NEAR] = True
+        return np.packbits(filed, axis=1, bitorder="little")
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item's number, windows within the radius of it), by the block index."""
+        values = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)
+        at, bit = values >> np.uint16(3), np.left_shift(np.uint8(1), (values & np.uint16(7)).astype(np.uint8))
+        met = np.zeros(len(prints), np.uint8)
+        for block in range(BLOCKS):
+            met |= self.index[block].take(at[block]) & bit[block]
+        some = np.flatnonzero(met != 0)
+        if len(some):
+            own = prints[some]
+            for item, print_ in enumerate(self.prints):
+                close = np.bitwise_count(own ^ np.uint64(print_)) <= RADIUS
+                if close.any():
+                    yield item, some[close]
 
 
 class Benchmark:
     """Items ready to be searched for. Items without words cannot occur and are left out."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.lengths: dict[int, _Length] = {}
-        self.codes: dict[bytes, int] = {}
-        for item, text in items:
-            words = tuple(words_of(text.encode() if text else None))
-            if words:
-                own = self.lengths.setdefault(len(words), _Length())
-                own.ids.append(item)
-                own.words.append(words)
-                self.codes.update((w, xxh64_intdigest(w, SEED) | 1) for w in words if w not in self.codes)
-        known = [[], []]
-        for own in self.lengths.values():
-            own.seal(self._code)
-            known[own.size == SHINGLE] += [_shingles(self._code(w), own.size) for w in own.words]
-        self.known = np.unique(np.concatenate(known[1])) if known[1] else np.zeros(0, np.uint64)
-        self.short = np.unique(np.concatenate(known[0])) if known[0] else np.zeros(0, np.uint64)
-        #: Anchors that the shortest item's window has at least, if it is similar enough.
-        self.least = min((SIMILARITY * own.width for own in self.lengths.values() if own.size == SHINGLE), default=0) - 1e-9
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.known >> np.uint64(44)).astype(np.int64)] = True
-
-    def _code(self, words) -> np.ndarray:
-        """Codes of words; 0 for a word that no item has."""
-        return np.fromiter(map(self.codes.get, words, repeat(0)), np.uint64, len(words))
-
-    def _anchors(self, codes: np.ndarray, own: _Length) -> np.ndarray:
-        hashes = _shingles(codes, own.size)
-        if own.size < SHINGLE:
-            return np.flatnonzero(_held(hashes, self.short))
-        return self._long_anchors(hashes)
-
-    def _long_anchors(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.sieve[(hashes >> np.uint64(44)).astype(np.int64)])
-        return at[_held(hashes[at], self.known)]
-
-    def search(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
-        """(item, first word, Hamming distance, similarity): the best window of every item that a text holds."""
-        words = words_of(text)
-        if not words or not self.lengths:
-            return []
-        codes = self._code(words)
-        long_anchors = self._long_anchors(_shingles(codes, SHINGLE)) if len(self.known) else np.zeros(0, np.int64)
-        if len(long_anchors) < self.least and not len(self.short):
-            return []
-        best: dict[int, tuple[float, int, int]] = {}
-        for length, own in self.lengths.items():
-            anchors = long_anchors if own.size == SHINGLE else self._anchors(codes, own)
-            last = len(words) - length
-            if last < 0 or not len(anchors):
-                continue
-            starts = _crowded(anchors, own.width, last)
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
-                for at in range(0, len(run), 4096):
-                    part = run[at : at + 4096]
-                    span = words[part[0] : part[-1] + length]
-                    hashed = np.fromiter((self.codes.get(w) or xxh64_intdigest(w, SEED) | 1 for w in span), np.uint64, len(span))
-                    prints = _fingerprints(_shingles(hashed, own.size), own.width)
-                    for row, item in own.near(prints):
-                        window = Counter(_grams(span[row : row + length], own.size))
-                        alike = weighted_similarity(window, own.shingles[item])
-                        if alike >= SIMILARITY:
-                            found = (-alike, int(part[0]) + row, int(np.bitwise_count(prints[row] ^ own.prints[item])))
-                            key = own.ids[item]
-                            best[key] = min(best.get(key, found), found)
-        return sorted((item, at, far, -alike) for item, (alike, at, far) in best.items())
+        self.items = items
+        self._lengths: dict[int, _Length] | None = None
+
+    def __getstate__(self):
+        return {"items": self.items, "_lengths": None}  # a task makes its own index
+
+    @property
+    def lengths(self) -> dict[int, _Length]:
+        if self._lengths is None:
+            self._lengths, self.codes = {}, _Codes()
+            for item, text in self.items:
+                words = tuple(words_of(text.encode() if text else None))
+                if words:
+                    self._lengths.setdefault(len(words), _Length(len(words))).add(item, words, self.codes.of(words))
+        return self._lengths
+
+    def _segments(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[tuple[int, int, int, bool]]]]:
+        """Words of about ``SEGMENT`` bytes of text, and the stretches there: (text, its first word, words, whether that is all).
+
+        A longer text comes in several stretches, each with the last words of
+        the one before, so that every window lies in one of them.
+        """
+        words: list[bytes] = []
+        stretches: list[tuple[int, int, int, bool]] = []
+        held, overlap = 0, max(self.lengths) - 1
+        for number, text in enumerate(texts):
+            text, before, first, at = text or b"", [], 0, 0
+            while at < len(text) or at == 0:
+                end = at + SEGMENT
+                while end < len(text) and not text[end : end + 1].isspace():
+                    end += 1
+                own = before + words_of(text[at:end])
+                stretches.append((number, first, len(own), at == 0 and end >= len(text)))
+                words += own
+                held += end - at if end < len(text) else len(text) - at
+                before = own[max(0, len(own) - overlap) :]
+                first, at = first + len(own) - len(before), end
+                if held >= SEGMENT:
+                    yield words, stretches
+                    words, stretches, held = [], [], 0
+        if words:
+            yield words, stretches
+
+    def search(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int, float]]]:
+        """(item, first word, Hamming distance, similarity) of every item that each text holds: its best window."""
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        if self.lengths:
+            for words, stretches in self._segments(texts):
+                self._search(words, stretches, best)
+        return [sorted((item, at, far, -alike) for item, (alike, at, far) in own.items()) for own in best]
+
+    def _search(self, words: list[bytes], stretches: list[tuple[int, int, int, bool]], best: list[dict]) -> None:
+        codes = self.codes.of(words)
+        many = np.array([n for _, _, n, _ in stretches])
+        start = np.concatenate(([0], np.cumsum(many)))
+        left = np.repeat(start[1:], many) - np.arange(len(words))  # words from here to the stretch's end
+
+        def keep(own: _Length, item: int, at: int, size: int) -> None:
+            """Verify a window, and those beside it, of the stretch in which it lies."""
+            part = int(np.searchsorted(start, at, "right")) - 1
+            reach = own.width // 8 if size == own.words else 0
+            number, first = stretches[part][:2]
+            alike = weighted_similarity(_grams(words[at : at + size], own.size), own.grams[item])
+            if alike < 0.75 * SIMILARITY:
+                return
+            for now in range(max(at - reach, int(start[part])), min(at + reach, int(start[part + 1]) - size) + 1):
+                alike = weighted_similarity(_grams(words[now : now + size], own.size), own.grams[item])
+                if alike >= SIMILARITY:
+                    print_ = _fingerprints(_running(_shingles(codes[now : now + size], own.size)), size - own.size + 1)
+                    found = (-alike, first + now - int(start[part]), int(np.bitwise_count(print_[0] ^ np.uint64(own.prints[item]))))
+                    best[number][own.ids[item]] = min(best[number].get(own.ids[item], found), found)
+
+        for size in {own.size for own in self.lengths.values()}:
+            lengths = [own for own in self.lengths.values() if own.size == size]
+            widest = max(own.width for own in lengths)
+            hashes, kind = _shingles(codes, size), np.int8 if widest < 1 << 7 else np.int16 if widest < 1 << 15 else np.int32
+            room = np.empty((STEP, 64), kind)
+            for at in range(0, len(hashes), STEP):
+                upto = _running(hashes[at : at + STEP + widest - 1], kind)
+                for own in lengths:
+                    if len(upto) > own.width:
+                        prints = _fingerprints(upto[: STEP + own.width], own.width, room)
+                        for item, rows in own.near(prints):
+                            done = -1  # windows side by side are verified once, with what lies beside them
+                            for row in rows[left[at + rows] >= own.words].tolist():
+                                if row > done:
+                                    keep(own, item, at + row, own.words)
+                                    done = row + own.width // 8
+        # a text that is shorter than an item is one window
+        for part, (_, _, n, whole) in enumerate(stretches):
+            if whole and SHINGLE <= n < max(self.lengths):
+                at, width = int(start[part]), n - SHINGLE + 1
+                fitting = [own for own in self.lengths.values() if own.words > n and width >= SIMILARITY * own.width - 1e-9]
+                if fitting:
+                    print_ = _fingerprints(_running(_shingles(codes[at : at + n], SHINGLE)), width)
+                    for own in fitting:
+                        for item, _ in own.near(print_):
+                            keep(own, item, at, n)
 
 
 def benchmarks(items: DataFrame, pass_words: int = PASS_WORDS) -> list[Benchmark]:
@@ -200,25 +257,25 @@ def benchmarks(items: DataFrame, pass_words: int = PASS_WORDS) -> list[Benchmark
 
 def matches_column(text: Column, benchmark: Benchmark) -> Column:
     """array<struct(item_id, at, distance, similarity)>: the items that a text holds."""
+
     @F.pandas_udf("array<struct<item_id:long,at:long,distance:int,similarity:double>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        search = benchmark.search
         for texts in batches:
-            yield pd.Series([[dict(zip(("item_id", "at", "distance", "similarity"), m, strict=True)) for m in search(t)] for t in texts], dtype=object)
+            found = benchmark.search(texts.tolist())
+            yield pd.Series([[dict(zip(("item_id", "at", "distance", "similarity"), m, strict=True)) for m in own] for own in found], dtype=object)
 
     return of(text.cast("binary"))
 
 
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, at, distance, similarity) for each item that a document holds.
 
     ``at`` is the first word, from 0, of the item's most similar window, the
     first of equals. Items of fewer than five words are one shingle, found only
-    word for word. Null, empty and blank texts and items match nothing. Rows that
-    repeat get a result each; empty tables give an empty result.
+    word for word. A text shorter than an item is one window, compared as a
+    whole. Null, empty and blank texts and items match nothing. Rows that repeat
+    get a result each; empty tables give an empty result.
     """
-    bounded_batches(docs.sparkSession)
     parts = []
     for group in benchmarks(items):
         found = docs.select("doc_id", F.explode(matches_column(F.col("text"), group)).alias("m"))
@@ -232,8 +289,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bounded_batches(docs.sparkSession)
+    """``docs``, of any columns, without the documents that hold a benchmark item."""
     for group in benchmarks(items):
         docs = docs.where(F.size(matches_column(F.col("text"), group)) == 0)
     return docs
