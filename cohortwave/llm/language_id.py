@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import free_name, held_out
 
 BUCKETS = 1 << 13
 ORDERS = (2, 3, 4)
@@ -166,7 +166,6 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     The sample goes by a hash of doc_id, so it is the same at each run, and all
     languages weigh alike in it. Rows without a language do not count.
     """
-    bounded_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
@@ -204,22 +203,22 @@ def predicted(text: Column, model: LanguageModel) -> Column:
     return of(text.cast("string"))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with the column ``_language``: struct(lang, score, accepted) of each whole text.
+def identify(docs: DataFrame, model: LanguageModel, name: str = "_language") -> DataFrame:
+    """``docs`` with the column ``name``: struct(lang, score, accepted) of each whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, rejected. A
     text in no learned language, or of letter junk, gets the likeliest language
     and is rejected, unless it is too short to tell. A
     tie goes to the language first in code-point order. Repeated rows get equal
     results; an empty table stays empty; a model without languages says ``und``.
+    If ``docs`` has a column ``name``, that stays and the result's name gets
+    underscores before it.
     """
-    bounded_batches(docs.sparkSession)
-    return docs.withColumn("_language", predicted(F.col("text"), model))
+    return docs.select("*", predicted(F.col("text"), model).alias(free_name(docs, name)))
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` whose language the model accepts."""
-    bounded_batches(docs.sparkSession)
+    """The rows of ``docs``, of any columns, whose language the model accepts."""
     return docs.where(predicted(F.col("text"), model)["accepted"])
 
 

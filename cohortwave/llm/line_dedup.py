@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bounded_batches, written
+from .common import free_name, hot_lookup, packed, release, written
 
 #: Neighbouring lines that the rolling hash covers.
 WINDOW = 2
@@ -131,42 +131,44 @@ def repeated_chunks(docs: DataFrame, find: Finder = chunks) -> DataFrame:
     apart. Rows that repeat both are one document and keep the same lines. A run
     that overlaps its own first occurrence is no other occurrence.
     """
-    bounded_batches(docs.sparkSession, 4 << 20)
     runs = written(chunk_table(docs, find), "chunk-hashes")
-    often = runs.groupBy("hash").count().where("count > 1").select("hash")
-    # the same plan at every size: the hashes have no bound that would let them be broadcast
-    own = runs.join(often.hint("merge"), "hash", "left_semi").groupBy("doc_id", "_version").agg(F.collect_set(F.struct("at", "size", "lines", "hash")).alias("_runs"))
+    often = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    often = written(often.withColumn("often", F.lit(True)), "chunk-often")
+    # one plan at every size, a run that stands in very many documents no exception
+    own = hot_lookup(runs, often, "hash", "n").where("often").groupBy("doc_id", "_version").agg(F.collect_set(F.struct("at", "size", "lines", "hash")).alias("_runs"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_v"), "_runs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_version"), F.col("text").cast("binary").alias("_text"))
     texts = texts.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")))
     # the bodies of repeated hashes alone travel; the texts stay behind
     bodies = F.expr("transform(_runs, r -> struct(r.at, r.size, r.lines, r.hash, substring(_text, int(r.at) + 1, int(r.size)) AS body))")
     met = written(texts.select("doc_id", "_version", F.explode(bodies).alias("_run")).select("doc_id", "_version", "_run.*"), "chunk-bodies")
+    release(runs, often)
     place = F.struct("doc_id", "_version", "at")
-    first = met.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    # bodies that share a hash are told apart by their number
-    first = written(first.select("hash", "body", "first"), "chunk-firsts")
-    clash = written(first.groupBy("hash").count().where("count > 1").select("hash"), "chunk-clashes")
-    if clash.isEmpty():
-        pairs = met.drop("body").join(first.drop("body"), "hash")
+    first = met.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last")
+    # bodies that share a hash are told apart by themselves
+    first = written(first.select("hash", "body", "first", "n"), "chunk-firsts")
+    if first.groupBy("hash").count().where("count > 1").isEmpty():
+        pairs = hot_lookup(met.drop("body"), first.drop("body"), "hash", "n").where("first is not null")
     else:
-        pairs = met.join(first, ["hash", "body"]).drop("body")
+        pairs = met.join(first.drop("n"), ["hash", "body"]).drop("body")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_version") == F.col("first._version"))
     return pairs.where(~same | (F.col("at") > F.col("first.at") + F.col("size"))).select("doc_id", "_version", "at", "size", "lines")
 
 
-def remove_repeats(docs: DataFrame, find: Finder = chunks) -> DataFrame:
-    """``docs`` with the repeated passages cut from ``text``, and ``_removed``: their lines.
+def remove_repeats(docs: DataFrame, find: Finder = chunks, name: str = "_removed") -> DataFrame:
+    """``docs`` with the repeated passages cut from ``text``, and the number of their lines in the column ``name``.
 
     ``find`` proposes the runs that are compared: ``chunks``, or ``passages`` for
     all of them. A line goes if it lies in a run that stands earlier in the
     corpus, too. A removed chunk takes its line breaks with it. A null text stays null; a
-    text of repeats alone becomes empty. An empty table stays empty.
+    text of repeats alone becomes empty. An empty table stays empty. All other
+    columns come out as they went in; if one is called ``name``, the new one's
+    name gets underscores before it.
     """
     spans = repeated_chunks(docs, find).groupBy("doc_id", "_version").agg(F.collect_set(F.struct("at", "size")).alias("_spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_version").alias("_v"), "_spans")
-    rows = docs.withColumn("_version", F.xxhash64("text"))
-    rows = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_version"), F.col("text").alias("_text"))
+    rows = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
 
     @F.pandas_udf("text string, lines int")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -187,10 +189,11 @@ def remove_repeats(docs: DataFrame, find: Finder = chunks) -> DataFrame:
 
         return pd.DataFrame([one(t, s) for t, s in zip(texts, spans, strict=True)], columns=["text", "lines"])
 
-    rows = rows.withColumn("_cut", cut(F.col("text").cast("binary"), F.col("_spans")))
-    cleaned = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.col("_cut.text"))
+    rows = rows.withColumn("_cut", cut(F.col("_text").cast("binary"), F.col("_spans")))
+    cleaned = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.col("_cut.text"))
     removed = F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(F.col("_cut.lines"))
-    return rows.withColumn("_removed", removed).withColumn("text", cleaned).select(*docs.columns, "_removed")
+    own = lambda c: cleaned if c == "text" else F.col("_row")[c]
+    return rows.select(*[own(c).alias(c) for c in docs.columns], removed.alias(free_name(docs, name)))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

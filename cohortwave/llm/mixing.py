@@ -7,7 +7,7 @@ weight, and the smallest keys are taken until their sizes reach the budget.
 
 The order inside a source is never sorted in one task. Keys fall into narrow
 bins; the bins' sums, few rows, show the bin in which the budget ends, and only
-that bin's documents are put in order.
+that bin's documents are put in order. There are as many bins as keep one small.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked_lookup, written
+from .common import WORD, checked_lookup, packed, written
 
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (3, 1, 2)
@@ -23,8 +23,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: No document is taken more often.
 MOST = 2
-#: Bins of a source's keys.
-BINS = 4096
+#: Bins of the keys: at least so many, and one for each so many rows, so that a bin is put in order by one task at any size.
+LEAST_BINS, BIN_ROWS = 4096, 50_000
 SEED = "mix-1"
 
 
@@ -72,21 +72,24 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _key (the sampling key), _bin and _source (never null)."""
+    """``docs`` with _size, _key (the sampling key), _place (of the key between 0 and 1) and _source (never null)."""
     docs = docs.withColumn("_size", word_count(F.col("text")))
     weight = quality_weight(F.col("text"), F.col("_size")) if weight is None else weight
     docs = docs.withColumn("_key", sampling_key(F.col("doc_id"), weight, seed))
-    docs = docs.withColumn("_bin", F.least(F.floor((1 - F.exp(-F.col("_key"))) * BINS), F.lit(BINS - 1)).cast("int"))
+    docs = docs.withColumn("_place", 1 - F.exp(-F.col("_key")))
     return docs.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
 
 
 def budgets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row per source: _source, source_size, target, _epochs and _last.
 
-    ``rows`` has doc_id, source, _source, _size, _key and _bin. ``_last`` is the
-    place (key, doc_id, size) of the last document that the partial epoch takes:
-    null if it takes none.
+    ``rows``, already written, has doc_id, source, _source, _size, _key and _place.
+    ``_last`` is the place (key, doc_id, size) of the last document that the partial
+    epoch takes: null if it takes none. ``_bins`` is the number of bins, ``_end``
+    the bin in which the budget ends. The number changes no result.
     """
+    bins = max(LEAST_BINS, rows.count() // BIN_ROWS)
+    rows = rows.withColumn("_bin", _bin(F.lit(bins)))
     sums = written(rows.groupBy("source", "_source", "_bin").agg(F.sum("_size").alias("_sum")), "mix-bins")
     sizes = sums.groupBy("source", "_source").agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source")
@@ -101,13 +104,17 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     upto = F.sum("_size").over(Window.partitionBy("_source").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_ahead")
     cut = cut.withColumn("_over", upto - F.col("_rest"))
     cut = cut.where("_size > 0 and _over <= _size - _over").groupBy("_source").agg(F.max(place).alias("_in"))
-    last = ends.join(cut, "_source", "left").select("_source", F.coalesce("_in", F.struct((F.col("_end") / F.lit(BINS)).alias("_key"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(-1).cast("long").alias("_size"))).alias("_last"), "_end")
-    return written(targets.join(last, "_source", "left").drop("_rest"), "mix-budgets")
+    last = ends.join(cut, "_source", "left").select("_source", F.coalesce("_in", F.struct((F.col("_end") / F.lit(bins)).alias("_key"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(-1).cast("long").alias("_size"))).alias("_last"), "_end")
+    return written(targets.join(last, "_source", "left").drop("_rest").withColumn("_bins", F.lit(bins)), "mix-budgets")
+
+
+def _bin(bins: Column) -> Column:
+    return F.least(F.floor(F.col("_place") * bins), bins - 1).cast("int")
 
 
 def with_copies(rows: DataFrame, budget: DataFrame) -> DataFrame:
     """``rows`` with source_size, target and _copies: how often the mix takes each."""
-    rows = checked_lookup(rows, budget, "_source", F.xxhash64("doc_id"))
+    rows = checked_lookup(rows, budget, "_source", F.xxhash64("doc_id")).withColumn("_bin", _bin(F.col("_bins")))
     part = (F.col("_bin") < F.col("_end")) | ((F.col("_bin") == F.col("_end")) & (F.struct("_key", "doc_id", "_size") <= F.col("_last")))
     return rows.withColumn("_copies", (F.col("_epochs") + F.coalesce(part, F.lit(False)).cast("int")).cast("long"))
 
@@ -115,7 +122,8 @@ def with_copies(rows: DataFrame, budget: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """``docs`` with one row for each time that the mix takes it.
 
-    A null or empty text has size 0; a null source is a source of its own, last
+    ``weight`` is a quality weight of a row, above 0: any column of ``docs``, such
+    as a classifier's score. A null or empty text has size 0; a null source is a source of its own, last
     in order. Repeated rows share a key and are told apart by nothing: the cut
     falls beside them, or on equal rows. An empty table gives an empty mix. A
     rerun over the same rows takes the same documents.
@@ -125,14 +133,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     weight = None if weight is None else F.col("_weight")
     rows = measured(docs.select(*own), weight, seed).drop("text", "_weight")
     budget = budgets(written(rows, "mix-rows"), weights, share, most)
-    kept = with_copies(measured(docs.select(F.struct(*docs.columns).alias("_row"), *own), weight, seed), budget)
+    kept = with_copies(measured(docs.select(packed(docs), *own), weight, seed), budget)
     return kept.where("_copies > 0").select("_row", F.explode(F.expr("sequence(1L, greatest(_copies, 1L))"))).select("_row.*")
 
 
-def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
-    """For every document the words that the mix takes of it."""
+def op4_source_mixing(spark, sf_dir: str, weight: Column | None = None) -> DataFrame:
+    """For every document the words that the mix takes of it.
+
+    ``weight`` is a quality weight above 0 from the columns of documents; without
+    one it is ``quality_weight``, which the text alone decides.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    rows = written(measured(docs).drop("text"), "mix-rows")
+    rows = written(measured(docs, weight).drop("text"), "mix-rows")
     found = with_copies(rows, budgets(rows))
     return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
 

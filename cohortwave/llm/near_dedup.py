@@ -142,8 +142,9 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE,
             release(large)
             break
         found.append(dealt.join(large, ["mask", "kept"], "left_anti"))
-        nexts = {_signed(m): [f | b for b in block_masks(f, radius)] for m, f in again.items() if large.where(F.col("mask") == _signed(m)).limit(1).count()}
         # one row for each mask dealt again: at most the number of masks, whatever the number of fingerprints
+        met = {r["mask"] for r in large.select("mask").distinct().collect()}
+        nexts = {_signed(m): [f | b for b in block_masks(f, radius)] for m, f in again.items() if _signed(m) in met}
         rows = prints.sparkSession.createDataFrame([(m, _signed(n)) for m, ns in nexts.items() for n in ns], "mask long, next long")
         over = dealt.join(large, ["mask", "kept"], "left_semi").join(F.broadcast(rows), "mask")
         dealt = written(over.select("print", F.col("next").alias("mask"), F.col("print").bitwiseAND(F.col("next")).alias("kept")).distinct(), "dealt-again")

@@ -2,10 +2,10 @@
 
 One dictionary is built from good and one from bad labelled text. A text that
 resembles the good text compresses better with the first. The difference of
-both sizes, divided by their sum, is calibrated by a logistic curve fitted on
-rows that built no dictionary. As the same difference means less in a text that
-compresses to almost nothing with either, the curve also takes the logarithm of
-the compression ratio and its square.
+both sizes, divided by the square root of the text's length, is the one measure;
+a logistic curve fitted on rows that built no dictionary turns it into a
+probability. Both dictionaries save some bytes of nearly every word, so the
+difference grows with the length and its noise with the length's root.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import free_name, held_out
 
 #: Labelled rows of each class, about, that a model is fitted on: the bound of the sample.
 SAMPLE_ROWS = 1600
 #: A text is compressed in pieces of so many bytes: each meets the dictionary anew, and memory stays bounded.
-PIECE = 1 << 12
-DICTIONARY_BYTES = 1 << 16
+PIECE = 1 << 11
+DICTIONARY_BYTES = 1 << 18
 LEVEL = 3
+#: Bytes of one sampled text that the driver gets, at most: with SAMPLE_ROWS, the bound of the sample in bytes.
+SAMPLE_BYTES = 1 << 15
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -35,7 +37,7 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 @dataclass
 class QualityModel:
-    """``good`` and ``bad`` are dictionaries; ``curve`` weighs 1 and the three measures of a text."""
+    """``good`` and ``bad`` are dictionaries; ``curve`` is the offset and the slope of a text's measure."""
 
     good: bytes
     bad: bytes
@@ -47,19 +49,22 @@ class QualityModel:
     def __getstate__(self):
         return self.__dict__ | {"_own": None}
 
-    def measures(self, text: bytes | None) -> tuple[float, float, float]:
-        """(size with the bad dictionary - size with the good) / their sum, log ratio, its square; 0 for an empty text."""
-        if not text or not self.good or not self.bad:
-            return 0.0, 0.0, 0.0
+    def sizes(self, text: bytes) -> tuple[int, int]:
+        """Compressed bytes with the good and with the bad dictionary."""
         if self._own is None:
             self._own = [_compressor(self.good), _compressor(self.bad)]
-        good, bad = (sum(len(c.compress(p)) for p in pieces(text)) for c in self._own)
-        ratio = float(np.log(2 * len(text) / (bad + good)))
-        return (bad - good) / (bad + good), ratio, ratio * ratio
+        return tuple(sum(len(c.compress(p)) for p in pieces(text)) for c in self._own)
+
+    def measure(self, text: bytes | None) -> float:
+        """(size with the bad dictionary - size with the good) / root of the length; 0 for an empty text."""
+        if not text or not self.good or not self.bad:
+            return 0.0
+        good, bad = self.sizes(text)
+        return (bad - good) / len(text) ** 0.5
 
     def score(self, text: bytes | None) -> float:
         """The chance that a reader marks the text as good."""
-        z = float(self.curve @ (1.0, *self.measures(text)))
+        z = float(self.curve @ (1.0, self.measure(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -96,11 +101,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit(texts: list[bytes], labels: list[int], prior: float) -> QualityModel:
     """Dictionaries from three of five rows, the curve from the others; ``prior`` is the share of good rows."""
     if len(set(labels)) < 2:
-        return QualityModel(b"", b"", np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0, 0]))
+        return QualityModel(b"", b"", np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0.0]))
     build = [i % 5 < 3 for i in range(len(texts))]
-    model = QualityModel(*(_dictionary([t for t, v, b in zip(texts, labels, build, strict=True) if b and v == k]) for k in (1, 0)), np.zeros(4))
+    model = QualityModel(*(_dictionary([t for t, v, b in zip(texts, labels, build, strict=True) if b and v == k]) for k in (1, 0)), np.zeros(2))
     rest = [i for i, b in enumerate(build) if not b] or list(range(len(texts)))
-    x, y = np.array([model.measures(texts[i]) for i in rest]), np.array([float(labels[i]) for i in rest])
+    x, y = np.array([[model.measure(texts[i])] for i in rest]), np.array([float(labels[i]) for i in rest])
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     model.curve = _logistic(x, y, weight)
     return model
@@ -109,7 +114,9 @@ def fit(texts: list[bytes], labels: list[int], prior: float) -> QualityModel:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fit on about ``sample_rows`` labelled documents of each class, chosen by a hash of doc_id.
 
-    Of a document that is labelled more than once, the largest label counts.
+    Of a document that is labelled more than once, the largest label counts; of
+    one that comes with several texts, the text of the smallest hash. A sampled
+    text that is longer than ``SAMPLE_BYTES`` gives so many from its middle.
     Without labels of both classes every score is the share of good rows.
     """
     labels = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -119,8 +126,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = F.when(F.col("quality") == 1, min(1.0, sample_rows / sizes.get(1, 1))).otherwise(min(1.0, sample_rows / sizes.get(0, 1)))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = labels.where(chance < share).withColumnRenamed("doc_id", "_id")  # its size is bound by sample_rows
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("length(body) > 0")
-    rows = sorted(((r["doc_id"], bytes(r["body"]), r["quality"]) for r in rows.select("doc_id", "body", "quality").collect()), key=lambda r: (r[2], r[0], r[1]))
+    body = F.col("text").cast("binary")
+    middle = F.greatest(F.lit(1), F.floor((F.length(body) - SAMPLE_BYTES) / 2) + 1).cast("int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text <> ''")
+    rows = rows.select("doc_id", "quality", F.struct(F.xxhash64("text").alias("hash"), F.substring(body, middle, F.lit(SAMPLE_BYTES)).alias("body")).alias("b"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("b")["body"].alias("body"))
+    rows = sorted(((r["doc_id"], bytes(r["body"]), r["quality"]) for r in rows.collect()), key=lambda r: (r[2], r[0], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows], sizes.get(1, 0) / sum(sizes.values()))
 
 
@@ -135,14 +146,14 @@ def score_column(text: Column, model: QualityModel) -> Column:
     return of(text.cast("binary"))
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``_quality``, the score of each whole text.
+def score(docs: DataFrame, model: QualityModel, name: str = "_quality") -> DataFrame:
+    """``docs`` with the score of each whole text in the column ``name``.
 
     A null or empty text has difference 0, so it gets the curve's value there.
-    Repeated rows get equal scores; an empty table stays empty.
+    Repeated rows get equal scores; an empty table stays empty. If ``docs`` has
+    a column ``name``, that stays and the score's name gets underscores before it.
     """
-    bounded_batches(docs.sparkSession)
-    return docs.withColumn("_quality", score_column(F.col("text"), model))
+    return docs.select("*", score_column(F.col("text"), model).alias(free_name(docs, name)))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

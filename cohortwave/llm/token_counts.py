@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 #: The mark that stands for a space in a piece.
 SPACE = "▁"
@@ -152,7 +151,6 @@ def count_tokens(docs: DataFrame, pieces: Pieces) -> DataFrame:
     character as many as its UTF-8 bytes. Repeated rows get equal counts; an
     empty table stays empty.
     """
-    bounded_batches(docs.sparkSession, 4 << 20)
     return docs.withColumn("_tokens", token_count(F.col("text"), pieces))
 
 

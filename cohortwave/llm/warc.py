@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, written
+from .common import new_path, written
 
 BREAK = "\r\n"
 #: Records in one archive, at most.
@@ -216,7 +216,6 @@ _ORDER = ["urlkey", "captured", "page_id"]
 
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     """One sorted run of index rows for each archive under ``path``, written to the shared folder."""
-    bounded_batches(spark)
     lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("_metadata.file_name").alias("archive"), "value")
     return written(lines.mapInPandas(_captures, _INDEX).sortWithinPartitions("archive", *_ORDER), "capture-runs")
 

@@ -72,7 +72,7 @@ def test_large_shards_are_cut_and_lose_nothing(spark):
     base = rng.integers(0, 1 << 62, 3)
     values = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 4), replace=False)) for b in base for _ in range(150)})
     frame = spark.createDataFrame([(v,) for v in values], "print long")
-    for part in (1000, 7):
+    for part in (1000, 60):
         links = near_dedup.fingerprint_links(frame, part=part).toPandas()
         root = {v: v for v in values}
 
