@@ -6,7 +6,12 @@ The distinct pre-tokens of a batch form a trie. Its forward scores (the best sco
 of a prefix, the tokens of that best path, the pieces still open) are computed
 once for each shared prefix, by a depth-first walk that keeps the states of one
 path; what is stored is the count at each terminal. Words met before in the same
-task are looked up.
+task are looked up. A pre-token of very many characters shares no prefix worth
+keeping: it is scored with one state at a time.
+
+The vocabulary is a given file. A piece's score is the logarithm of its share of all
+pieces in the corpus, which one pass counts: the file's own segmentation of each
+distinct pre-token, times the number of its occurrences.
 """
 
 from __future__ import annotations
@@ -19,12 +24,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 
 #: The mark that stands for a space in a piece.
 SPACE = "▁"
 #: Terminal counts that a task keeps; then it starts anew.
 KEPT = 1 << 20
+#: Characters of a pre-token beyond which no states and no count are kept.
+LONG = 256
 UNKNOWN_PENALTY = 10.0
+#: What stands before a word that begins a line, where pre-tokens are counted.
+LINE = "\x01"
 
 
 @dataclass(frozen=True)
@@ -35,20 +46,58 @@ class Pieces:
     unknown: float
 
     @staticmethod
-    def load(path: str) -> Pieces:
-        """The pieces and scores of a sentencepiece model file, as the file states them."""
+    def of(model: bytes, counts: dict[str, int] | None = None) -> Pieces:
+        """The ordinary pieces of a sentencepiece model, scored by the logarithm of their share of ``counts``.
+
+        Half an occurrence is added to each. A line break and an unknown
+        character are no pieces here.
+        """
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        scores = {model.id_to_piece(i): float(model.get_score(i)) for i in ids}
-        if any(SPACE in p.lstrip(SPACE) for p in scores):
+        given = sentencepiece.SentencePieceProcessor(model_proto=model)
+        ids = [i for i in range(given.get_piece_size()) if not (given.is_byte(i) or given.is_control(i) or given.is_unknown(i) or given.is_unused(i))]
+        pieces = [given.id_to_piece(i) for i in ids]
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece with a space inside would cross pre-tokens")
-        # runs of spaces are scored so low that single spaces always win
-        scores = {p: s for p, s in scores.items() if len(p) == 1 or not p.startswith(SPACE * 2)}
+        pieces = [p for p in pieces if len(p) == 1 or not p.startswith(SPACE * 2)]  # single spaces are pre-tokens of their own
+        seen = np.array([(counts or {}).get(p, 0) + 0.5 for p in pieces])
+        scores = dict(zip(pieces, np.log(seen / seen.sum()).tolist(), strict=True))
         return Pieces(scores, min(scores.values(), default=0.0) - UNKNOWN_PENALTY)
 
 
+def piece_counts(docs: DataFrame, model: bytes) -> dict[str, int]:
+    """How often each piece of a sentencepiece model occurs in all texts of ``docs``.
+
+    Spark counts the distinct pre-tokens; each is segmented once. The driver
+    gets one row per piece of the vocabulary.
+    """
+    marked = F.replace(F.replace("text", F.lit(SPACE), F.lit(" ")), F.lit("\n"), F.lit(f" {LINE}"))
+    words = docs.where("text <> ''").select(F.explode(F.split(marked, " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sentencepiece
+
+        given = sentencepiece.SentencePieceProcessor(model_proto=model)
+        total: dict[str, int] = {}
+        for b in batches:
+            # a word after a line break is segmented behind one, which takes two pieces
+            texts = ["\n" + w[1:] if w.startswith(LINE) else w for w in b["word"]]
+            for word, pieces, n in zip(texts, given.encode(texts, out_type=str), b["n"], strict=True):
+                for p in pieces[2:] if word.startswith("\n") else pieces:
+                    total[p] = total.get(p, 0) + n
+        yield pd.DataFrame({"piece": list(total), "n": list(total.values())}, columns=["piece", "n"]).astype({"piece": "str", "n": "int64"})
+
+    found = words.mapInPandas(segmented, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return {r["piece"]: r["n"] for r in found.collect()}
+
+
+def fit(docs: DataFrame, vocabulary: str) -> Pieces:
+    """The pieces of a vocabulary file, scored by a pass over all of ``docs``. An empty table scores all alike."""
+    with open(vocabulary, "rb") as file:
+        model = file.read()
+    return Pieces.of(model, piece_counts(docs, model))
+
+
 class TrieCounter:
     """Counts of pre-tokens; ``mark`` is what precedes each of them (a space mark or nothing)."""
 
@@ -86,6 +135,12 @@ class TrieCounter:
             self.counts.clear()
         path, before = [self.start], ""
         for word in sorted(words):
+            if len(word) > LONG:
+                state = self.start
+                for c in word:
+                    state = self._step(state, c)
+                self.counts[word] = state[1]
+                continue
             same = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
@@ -129,6 +184,10 @@ class TokenCounter:
         for text in texts:
             a, b, breaks = self.cut(text) if text else ((), (), 0)
             totals.append(sum(map(spaced, a)) + sum(map(bare, b)) + breaks)
+        for new, trie in zip(fresh, (self.spaced, self.bare), strict=True):
+            for word in new:
+                if len(word) > LONG:
+                    del trie.counts[word]
         return totals
 
 
@@ -144,14 +203,15 @@ def token_count(text: Column, pieces: Pieces) -> Column:
     return of(text.cast("string"))
 
 
-def count_tokens(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """``docs`` with ``_tokens``: tokens of each whole text.
+def count_tokens(docs: DataFrame, pieces: Pieces, name: str = "_tokens") -> DataFrame:
+    """``docs`` with the tokens of each whole text in the column ``name``.
 
     Null and empty texts have none. A line break is one token, an unknown
     character as many as its UTF-8 bytes. Repeated rows get equal counts; an
-    empty table stays empty.
+    empty table stays empty. If ``docs`` has a column ``name``, that stays and
+    the count's name gets underscores before it.
     """
-    return docs.withColumn("_tokens", token_count(F.col("text"), pieces))
+    return docs.select("*", token_count(F.col("text"), pieces).alias(free_name(docs, name)))
 
 
 def default_vocabulary() -> str:
@@ -163,5 +223,5 @@ def default_vocabulary() -> str:
 def op6_token_counts(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Tokens and bytes of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = count_tokens(docs, Pieces.load(vocabulary or default_vocabulary()))
+    found = count_tokens(docs, fit(docs, vocabulary or default_vocabulary()))
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("text_bytes"), F.col("_tokens").alias("tokens"))
