@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortwave.llm import decontamination, language_id, mixing, near_dedup, sharding
 from cohortwave.llm.common import held_out, new_path
@@ -25,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id."""
+    """One document of each near-duplicate group: that of the smallest id, however many texts an id has."""
     return near_dedup.deduplicate(docs)
 
 
@@ -40,10 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its size, its shard of 40 and its slot there; these replace columns of the same names."""
-    kept = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
-    placed = sharding.shard(docs.select(*kept), sharding.SHARDS)
-    return placed.select(*kept, F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """Every row with size, text_crc32, shard (of 40) and slot; a column of docs of such a name stays beside them."""
+    return sharding.shard(docs, sharding.SHARDS, names=("size", "text_crc32", "shard", "slot"))
 
 
 STAGES: list[tuple[str, Stage]] = [
