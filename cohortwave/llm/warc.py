@@ -6,14 +6,18 @@ not split, so a task reads an archive from its start, line by line, and holds
 one record at a time.
 
 Index: each archive gives a capture run, sorted by URL key and timestamp where
-it is read. Runs are dealt to key ranges, and each range merges its slices of
-all runs with a loser tree. Ranges follow one another, so the whole is in order.
+it is read, and written. Runs are dealt to key ranges of bounded size. Nothing is
+sorted again: what a range receives are slices of runs, each in the order of its
+run, and a loser tree merges them. Ranges follow one another, so the whole is in
+order. Captures of equal URL, time and page are told apart by their place in the
+archives, so that no range is filled by one of them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import hot_lookup, new_path, written
 
 BREAK = "\r\n"
 #: Records in one archive, at most.
@@ -111,9 +115,9 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Rows that repeat the largest page_id are responses all.
     """
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_hex"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"))
-    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("_hex").agg(F.max("page_id").alias("_to"), F.min("page_id").alias("_from"))
-    groups = written(groups.where("_to <> _from").select("_hex", "_to"), "payloads")
-    rows = rows.join(groups, "_hex", "left")
+    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("_hex").agg(F.max("page_id").alias("_to"), F.min("page_id").alias("_from"), F.count("*").alias("_n"))
+    groups = written(groups.where("_to <> _from").select("_hex", "_to", "_n"), "payloads")
+    rows = hot_lookup(rows, groups, "_hex", "_n")
     revisit = F.coalesce(F.col("page_id") < F.col("_to"), F.lit(False)) & (F.col("payload_bytes") >= least_bytes)
     return rows.select("page_id", "url", "html", base32_column(F.col("_hex")).alias("payload_digest"), "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_to")).alias("refers_to"))
 
@@ -126,17 +130,23 @@ def base32_column(hex_digest: Column) -> Column:
 
 
 def record_column() -> Column:
-    """The WARC record of a planned page, without the two line breaks that end it."""
+    """The WARC record of a planned page, without the two line breaks that end it.
+
+    A record's id is made of its page and its payload: rows that repeat both are
+    one record, captured again.
+    """
     response = F.col("record_type") == "response"
     html = F.coalesce(F.col("html"), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(BREAK * 2))
     block = F.concat(http, F.when(response, html).otherwise(""))
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
-    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    # of no time zone, so that a session's own changes nothing
+    moment = F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {FIRST_CAPTURE} + coalesce(page_id, 0))")
+    date = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(":"), "payload_digest", F.lit(">"))
     fields = [
         ("WARC-Type", F.col("record_type")),
-        ("WARC-Record-ID", F.coalesce(name(F.col("page_id")), F.lit("<urn:page:none>"))),
+        ("WARC-Record-ID", name(F.coalesce(F.col("page_id").cast("string"), F.lit("none")))),
         ("WARC-Date", date),
         ("WARC-Target-URI", F.when(target != "", target)),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
@@ -191,11 +201,12 @@ def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Index rows of archives; a payload that is there is measured and hashed anew."""
     lines = ((a, v) for batch in batches for a, v in zip(batch["archive"], batch["value"], strict=True))
     rows: list[tuple] = []
-    number = lambda name: None if (text := (name or "").removeprefix("<urn:page:").removesuffix(">")) in ("", "none") else int(text)
+    number = lambda name: None if (text := (name or "").removeprefix("<urn:page:").split(":")[0]) in ("", "none") else int(text)
+    places: Counter[str] = Counter()
 
     def frame() -> pd.DataFrame:
-        kinds = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"}
-        return pd.DataFrame(rows, columns=["archive", "urlkey", "captured", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]).astype(kinds)
+        kinds = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "record": "int64"}
+        return pd.DataFrame(rows, columns=["archive", "record", "urlkey", "captured", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]).astype(kinds)
 
     for archive, head, block in records(lines):
         http, _, payload = block.partition((BREAK * 2).encode())
@@ -203,58 +214,61 @@ def _captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = int(dict(f.split(": ", 1) for f in http.decode().split(BREAK)[1:])["Content-Length"])
         if head["warc-type"] == "response" and (len(payload) != size or base32_sha1(payload) != stated):
             raise ValueError(f"{head['warc-record-id']} in {archive} does not hold the payload that it states")
-        rows.append((archive, url_key(head.get("warc-target-uri")), head["warc-date"], number(head["warc-record-id"]), head["warc-type"], size, stated, number(head.get("warc-refers-to"))))
+        places[archive] += 1
+        rows.append((archive, places[archive], url_key(head.get("warc-target-uri")), head["warc-date"], number(head["warc-record-id"]), head["warc-type"], size, stated, number(head.get("warc-refers-to"))))
         if len(rows) >= 2048:
             yield frame()
             rows.clear()
     yield frame()
 
 
-_INDEX = "archive string, urlkey string, captured string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
-_ORDER = ["urlkey", "captured", "page_id"]
+_INDEX = "archive string, record long, urlkey string, captured string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
+_ORDER = ["urlkey", "captured", "page_id", "archive", "record"]
 
 
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     """One sorted run of index rows for each archive under ``path``, written to the shared folder."""
     lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("_metadata.file_name").alias("archive"), "value")
-    return written(lines.mapInPandas(_captures, _INDEX).sortWithinPartitions("archive", *_ORDER), "capture-runs")
+    return written(lines.mapInPandas(_captures, _INDEX).sortWithinPartitions("archive", *[c for c in _ORDER if c != "archive"]), "capture-runs")
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One range: its slices of all runs, each in order, through the loser tree."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True)
-    columns = list(rows.columns)
-    place = [columns.index(c) for c in _ORDER]
-    slices = [part.itertuples(index=False, name=None) for _, part in rows.groupby("archive", sort=True)]
-    tree = LoserTree(slices, lambda r: tuple((0, "") if pd.isna(r[i]) else (1, r[i]) for i in place))
+    """One range: the slices of runs that it receives, each in order, through the loser tree.
+
+    Slices come one after another; a new one begins where the archive changes or
+    the order breaks off.
+    """
+    slices: list[list[tuple]] = []
+    last: tuple | None = None
+    columns, kinds = [], {}
+    for batch in batches:
+        columns, kinds = list(batch.columns), {"page_id": "Int64", "refers_to": "Int64"}
+        place, archive = [columns.index(c) for c in _ORDER], columns.index("archive")
+        for row in batch.astype(kinds).itertuples(index=False, name=None):
+            key = tuple((0, "") if row[i] is pd.NA else (1, row[i]) for i in place)
+            if last is None or slices[-1][-1][1][archive] != row[archive] or key < last:
+                slices.append([])
+            slices[-1].append((key, row))
+            last = key
     block: list[tuple] = []
-    for row in tree:
+    for _, row in LoserTree(slices, lambda item: item[0]):
         block.append(row)
         if len(block) == 4096:
-            yield pd.DataFrame(block, columns=columns).astype(rows.dtypes.to_dict())
+            yield pd.DataFrame(block, columns=columns).astype(kinds)
             block = []
-    yield pd.DataFrame(block, columns=columns).astype(rows.dtypes.to_dict())
+    if block:
+        yield pd.DataFrame(block, columns=columns).astype(kinds)
 
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """All runs as one history in the order of URL key, time and page.
+    """All runs as one history in the order of URL key, time, page and place in the archives.
 
-    Ranges are cut on the whole place (URL key, time, page), so that one much
-    visited URL is spread over as many of them as its captures need.
+    Ranges are cut on the whole order, so that one much visited URL, or one page
+    repeated, is spread over as many of them as its captures need. A task holds
+    one range.
     """
     count = max(1, -(-runs.count() // range_rows))
-    ranges = runs.repartitionByRange(count, *_ORDER).sortWithinPartitions("archive", *_ORDER)
-    return ranges.mapInPandas(_typed(_merged), _INDEX)
-
-
-def _typed(merge):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return merge(b.astype({"page_id": "Int64", "refers_to": "Int64"}) for b in batches)
-
-    return run
+    return runs.repartitionByRange(count, *_ORDER).mapInPandas(_merged, _INDEX)
 
 
 def capture_history(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
