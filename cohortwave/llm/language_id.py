@@ -47,7 +47,7 @@ def subword_counts(text: str | None) -> np.ndarray:
     if not letter.any():
         return counts
     kept = letter | np.append(False, letter[:-1])  # of a run without letters, one mark stays
-    codes = np.concatenate(([0], np.where(letter, codes, 0)[kept], [0])).astype(np.uint32)
+    codes = np.concatenate(([0], np.where(letter, codes, 0)[kept], [0] if letter[-1] else [])).astype(np.uint32)
     for at in range(0, len(codes), BLOCK):
         part = codes[at : at + BLOCK + max(ORDERS) - 1]
         inner = part != 0
