@@ -270,8 +270,8 @@ def matches_column(text: Column, benchmark: Benchmark) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, at, distance, similarity) for each item that a document holds.
 
-    ``at`` is the first word, from 0, of the item's most similar window, the
-    first of equals. Items of fewer than five words are one shingle, found only
+    ``at`` is the first word, from 0, of the item's most similar window among those
+    that the index proposes and those beside them, the first of equals. Items of fewer than five words are one shingle, found only
     word for word. A text shorter than an item is one window, compared as a
     whole. Null, empty and blank texts and items match nothing. Rows that repeat
     get a result each; empty tables give an empty result.

@@ -29,5 +29,5 @@ def test_stages(spark, small, tmp_path):
 
 def test_run_gives_the_last_stage(spark, small):
     whole = corpus_pipeline.run(spark, small)
-    assert {"doc_id", "text", "lang", "source", "n_chars", "size", "shard", "slot"} == set(whole.columns)
+    assert {"doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot"} == set(whole.columns)
     assert whole.count() > 0

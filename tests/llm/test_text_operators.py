@@ -3,12 +3,15 @@
 import base64
 import hashlib
 import heapq
+import math
 import random
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -89,13 +92,45 @@ def test_large_shards_are_cut_and_lose_nothing(spark):
                     assert find(a) == find(b)
 
 
-def test_deduplicate_keeps_one_of_each_group(docs, nothing):
+def test_deduplicate_keeps_one_of_each_group(spark, docs, nothing):
     kept = near_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     groups = near_dedup.near_duplicates(docs).toPandas()
     assert sorted(i for i in ids if i is not None) == sorted({int(c) for c in groups.component_id.dropna()})
     assert near_dedup.deduplicate(nothing).count() == 0
+    rng = random.Random(9)
+    a, b, c, d, e = (_text(rng, 40) for _ in range(5))
+    rows = [(3, b), (5, a), (5, b), (5, c), (5, c), (None, c), (None, d), (None, d), (None, e), (7, e)]
+    found = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter([(3, b), (5, a), (5, c), (None, d), (7, e)])
+
+
+def test_trees_do_the_search_and_their_size_changes_nothing(spark, small):
+    texts = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.1')}/documents.parquet").select("text")
+    values = np.unique([r[0] for r in texts.select(near_dedup.fingerprint_column(F.col("text"), 3)).collect()])
+    masks = near_dedup.block_masks(0)
+    assert sum(masks) == (1 << 64) - 1 and all(near_dedup._head(m, 2).bit_count() == 2 for m in masks)
+    width = max(0, math.ceil(math.log2(len(values) / near_dedup.TREE)))
+    sizes = [n for m in masks for n in Counter(int(v) & near_dedup._head(m, width) for v in values.view(np.uint64).tolist()).values()]
+    assert np.median(sizes) > 100
+    frame = spark.createDataFrame([(int(v),) for v in values], "print long").cache()
+    found = set()
+    for how in ({}, {"width": 0, "part": 100_000}, {"width": 6, "part": 60}):
+        root = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in near_dedup.fingerprint_links(frame, **how).toPandas().itertuples(index=False):
+            root[find(a)] = find(b)
+        groups = {}
+        for v in list(root):
+            groups.setdefault(find(v), set()).add(v)
+        found.add(frozenset(map(frozenset, groups.values())))
+    assert len(found) == 1 and next(iter(found))
 
 
 def test_bk_tree_finds_all_within_radius():
@@ -134,6 +169,31 @@ def test_foreign_and_junk_texts_are_rejected_and_mixtures_stay(spark, small, lan
     assert np.mean([model.predict(t)[2] for t in texts]) > 0.98
 
 
+def test_subword_counts_equal_plain_ones():
+    for text in ("Größe, déjà-vu 42 a", "  x ", "ab1cd", "no\nline"):
+        plain = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            marked = [0, *map(ord, word), 0]
+            for n in language_id.ORDERS:
+                for part in (marked[i : i + n] for i in range(len(marked) - n + 1)):
+                    h = part[0] * 0x9E3779B1 % 2**32
+                    for k, c in enumerate(part[1:], 2):
+                        h = ((h ^ c) * 0x85EBCA6B + k) % 2**32
+                    plain[h >> 19] += 1
+        got = language_id.subword_counts(text)
+        assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(plain)
+
+
+def test_quality_score_equals_plain_compression(spark, small):
+    table, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.learn(table, labels.where(~held_out("doc_id")))
+    for r in quality.score(table.limit(60), model).collect():
+        body = (r["text"] or "").encode()
+        size = [sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(body[a : a + quality.PIECE])) for a in range(0, len(body), quality.PIECE)) for d in (model.good, model.bad)]
+        z = model.curve[0] + model.curve[1] * ((size[1] - size[0]) / math.sqrt(len(body)) if body else 0)
+        assert r["_quality"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
 def test_subword_blocks_do_not_change_counts(monkeypatch):
     text = "Größe und Länge, élève déjà vu " * 50
     whole = language_id.subword_counts(text)
@@ -179,19 +239,35 @@ def test_mix_repeats_rows(docs, nothing):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, again.collect()))
 
 
-def test_clashing_columns_come_out_as_they_went_in(spark, docs):
+#: Every name that an operator uses inside, or gives to a result, and some that need quoting.
+NAMES = """_size _key _place _places _source _bin _bins _end _last _epochs _copies source_size target _row _id _doc _version _v _at _text _spans
+_runs _run _cut _removed _language _quality _tokens _crc _shard _slot _part _start _within _lang _group _node size shard slot text_crc32 law print
+first n none version component_id mask kept root hash at lines body often salt _salt _hot m item_id similarity a.b odd`name""".split()
+
+
+def test_columns_of_any_name_come_out_as_they_went_in(spark, docs, small):
     import corpus_pipeline
 
-    names = ("_size", "_key", "source_size", "target", "_copies", "_at", "_place", "_row", "_version", "_language", "size", "shard", "slot", "_shard")
-    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {n}").alias(n) for n in names])
-    for name, stage in corpus_pipeline.STAGES:
-        if name == "decontamination":
-            continue
-        got = stage(spark, odd, "")
-        kept = [n for n in names if name != "sharding" or n not in ("size", "shard", "slot", "_size", "_shard")]
-        rows = got.select(*kept).distinct().collect() if name != "language_id" else odd.where("false").collect()
-        assert set(odd.columns) <= set(got.columns)
-        assert all(r[n] == f"own {n}" for r in rows for n in kept)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {n}").alias(n) for n in NAMES])
+    pieces, model = token_counts.Pieces({"a": -1.0}, -9.0), language_id.learn(spark.read.parquet(f"{small}/documents.parquet").where(~held_out("doc_id")))
+    runs = {name: lambda df, stage=stage: stage(spark, df, small) for name, stage in corpus_pipeline.STAGES if name != "language_id"}
+    runs |= {
+        "accepted": lambda df: language_id.accepted(df, model),
+        "identify": lambda df: language_id.identify(df, model),
+        "tokens": lambda df: token_counts.count_tokens(df, pieces),
+        "lines": lambda df: line_dedup.remove_repeats(df, line_dedup.passages),
+        "quality": lambda df: quality.score(df, quality.QualityModel(b"", b"", np.zeros(2))),
+    }
+    for name, run in runs.items():
+        want, got = run(plain), run(odd)
+        assert got.columns[: len(odd.columns)] == odd.columns
+        new = len(got.columns) - len(odd.columns)
+        assert new == len(want.columns) - len(plain.columns) and len(set(map(str.lower, got.columns))) == len(got.columns)
+        rows = got.collect()
+        assert rows and all(r[len(plain.columns) + i] == f"own {n}" for r in rows for i, n in enumerate(NAMES))
+        part = lambda r, n=new: str((*r[:5], *(r[len(r) - n :] if n else ())))
+        assert Counter(map(part, rows)) == Counter(map(part, want.collect())), name
 
 
 def test_targets_refill_what_caps_free(spark):
@@ -214,6 +290,44 @@ def test_sharding_law_and_slots(docs, nothing, spark, small):
     assert sharding.shard(docs, target_bytes=50_000).select("_shard").distinct().count() > 1
 
 
+def test_sharding_equals_brute_force(spark, docs, small):
+    for frame, leaves in ((spark.read.parquet(f"{small}/documents.parquet"), 13), (docs, 4)):
+        narrow, _, tree = sharding._grown(frame, leaves, 0)
+        rows = narrow.withColumn("shard", tree.shard()).collect()
+
+        def split(own, node, rows=rows, tree=tree):
+            """Every split is along the widest dimension and at the place nearest to its share of the bytes."""
+            if tree.many[node] < 2:
+                assert all(r["shard"] == tree.first[node] for r in own)
+                return
+            low = [r for r in own if r["_places"][tree.axis[node]] < tree.cut[node]]
+            high = [r for r in own if r["_places"][tree.axis[node]] >= tree.cut[node]]
+            if own:
+                wide = [max(r["_places"][a] for r in own) // 2**32 - min(r["_places"][a] for r in own) // 2**32 for a in range(3)]
+                assert tree.axis[node] == wide.index(max(wide))
+                order = sorted((r["_places"][tree.axis[node]], r["_size"]) for r in own)
+                goal, held = sum(s for _, s in order) * (tree.many[node] // 2) / tree.many[node], 0
+                best = math.inf
+                for i, (p, size) in enumerate(order):
+                    if not i or p != order[i - 1][0]:
+                        best = min(best, abs(goal - held))
+                    held += size
+                best = min(best, abs(goal - held))
+                miss = abs(goal - sum(r["_size"] for r in low))
+                assert miss <= max(best, sharding.TOLERANCE * sum(r["_size"] for r in rows) / leaves) + 1e-6
+            split(low, 2 * node + 1)
+            split(high, 2 * node + 2)
+
+        split(rows, 0)
+
+
+def test_equal_texts_share_a_shard_whatever_their_source(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source")
+    again = table.where("doc_id % 10 = 0").select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit(None).cast("string").alias("source"))
+    got = sharding.shard(table.union(again), 6).groupBy("text").agg(F.countDistinct("_shard").alias("n")).toPandas()
+    assert (got["n"] > 1).sum() <= 5  # a cut may fall into a group: five cuts for six shards
+
+
 def test_equal_copies_can_be_cut(spark):
     frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     sums = sharding.shard(frame, 8).groupBy("_shard").sum("_size").toPandas()["sum(_size)"]
@@ -251,6 +365,41 @@ def test_contamination_equals_brute_force(spark, docs, nothing):
     assert decontamination.decontaminate(frame, bench.limit(0)).count() == frame.count()
 
 
+def test_windows_recall_on_whole_tables(spark, small):
+    table, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    rng = random.Random(6)
+    texts = {r.doc_id: (r.text or "").lower().split() for r in table.collect()}
+    bench = {r.item_id: r.text.lower().split() for r in items.collect()}
+    edited = {}
+    for n, (item, words) in enumerate(bench.items()):  # each item with some words exchanged, in the middle of other text
+        own = list(words)
+        for _ in range(rng.randrange(0, 3)):
+            own[rng.randrange(len(own))] = "exchanged"
+        edited[100_000 + n] = [*_text(rng, 30).split(), *own, *_text(rng, 30).split()]
+        edited[200_000 + n] = words[: len(words) - rng.randrange(1, 6)]  # a text shorter than its item
+    frame = table.select("doc_id", "text").union(spark.createDataFrame([(i, " ".join(w)) for i, w in edited.items()], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(frame, items).collect()}
+    expected, seen = {}, {}
+    for item, words in bench.items():
+        for g in zip(*(words[i:] for i in range(5)), strict=False):
+            seen.setdefault(g, set()).add(item)
+    for doc, words in (texts | edited).items():
+        near = {i for g in zip(*(words[k:] for k in range(5)), strict=False) for i in seen.get(g, ())}
+        for item in near:
+            b = Counter(zip(*(bench[item][i:] for i in range(5)), strict=False))
+            size = min(len(words), len(bench[item]))
+            for at in range(len(words) - size + 1):
+                a = Counter(zip(*(words[at : at + size][i:] for i in range(5)), strict=False))
+                both = sum((a & b).values())
+                alike = both / (a.total() + b.total() - both)
+                if alike >= 0.8:
+                    expected[doc, item] = max(alike, expected.get((doc, item), 0))
+    assert set(got) <= set(expected) and len(set(got) & set(expected)) >= 0.9 * len(expected)
+    assert all(0.8 <= s <= expected[k] + 1e-9 for k, s in got.items())
+    assert np.mean([s == pytest.approx(expected[k]) for k, s in got.items()]) >= 0.9
+    assert sum(k[0] >= 200_000 for k in got) > 10
+
+
 def test_token_counts_equal_plain_dynamic_programming(docs, nothing):
     pieces = token_counts.Pieces({"▁": -9.0, "▁the": -1.0, "▁t": -4.0, "he": -2.0, "the": -3.0, "h": -5.0, "e": -5.0, "t": -5.0, "o": -5.0, "of": -2.0, "f": -5.0, "▁of": -1.5, "an": -2.5, "a": -5.0, "n": -5.0, "d": -5.0, "and": -2.0}, -30.0)
 
@@ -278,6 +427,32 @@ def test_token_counts_equal_plain_dynamic_programming(docs, nothing):
     assert counter.count(odd) == [brute(t.replace("▁", " ")) for t in odd]
 
 
+def test_long_words_keep_one_state_and_count_alike(monkeypatch):
+    pieces = token_counts.Pieces({"ab": -1.0, "a": -2.0, "b": -2.5, "▁": -3.0, "aba": -1.2}, -30.0)
+    word = "abbaabab" * 400
+    counter = token_counts.TokenCounter(pieces)
+    got = counter.count([word, word + " ab", "x" * 3])
+    assert not any(len(w) > token_counts.LONG for w in counter.spaced.counts)
+    monkeypatch.setattr(token_counts, "LONG", 10**9)
+    assert token_counts.TokenCounter(pieces).count([word, word + " ab", "x" * 3]) == got
+    assert token_counts.TokenCounter(pieces).count(["ab" * 500_000]) == [500_001]
+
+
+def test_scores_are_shares_of_the_files_own_pieces(spark, docs, nothing):
+    import sentencepiece
+
+    path = token_counts.default_vocabulary()
+    with open(path, "rb") as file:
+        model = file.read()
+    given = sentencepiece.SentencePieceProcessor(model_proto=model)
+    few = docs.where("length(text) < 3000 and text not like '%\n%'")
+    want = Counter(p for r in few.collect() for w in (r.text.split(" ") if r.text else ()) for p in given.encode(w, out_type=str))
+    assert token_counts.piece_counts(few, model) == dict(want)
+    pieces = token_counts.Pieces.of(model, want)
+    assert sum(math.exp(s) for s in pieces.scores.values()) == pytest.approx(1)
+    assert len(set(token_counts.fit(nothing, path).scores.values())) == 1
+
+
 def test_shared_prefixes_are_scored_once():
     pieces = token_counts.Pieces({c: -1.0 for c in "abc"}, -30.0)
     trie = token_counts.TrieCounter(pieces, "")
@@ -376,6 +551,12 @@ def test_archives_round_trip(spark, tmp_path):
     assert Counter((name(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, name(r.refers_to)) for r in got.itertuples()) == expected
     keys = [(r.urlkey, r.captured) for r in got.itertuples()]
     assert keys == sorted(keys)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    again = warc.capture_history(frame, str(tmp_path / "again")).toPandas()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert again["captured"].tolist() == got["captured"].tolist() and got["captured"].max() == "2023-11-14T22:13:29Z"
+    many = warc.merge_runs(warc.capture_runs(spark, str(tmp_path / "warc")), 2).toPandas()
+    assert many[got.columns].equals(got) and many["record"].tolist() == got["record"].tolist()
     assert warc.url_key("http://b.example.com/x?b=2&a=1") == "com,example,b)/x?a=1&b=2"
     assert warc.capture_history(frame.limit(0), str(tmp_path / "none")).count() == 0
 
@@ -399,6 +580,9 @@ def test_vector_search(spark, small):
             assert own.vec_id.tolist() == best
         hits, total = hits + len(set(best) & set(own.vec_id)), total + 20
     assert hits / total >= 0.9
+    twice = table.union(spark.createDataFrame([(7, [0.9] * 64), (7, [0.8] * 64), (20, [0.7] * 64), (20, [0.7] * 64)], "vec_id long, embedding array<float>"))
+    again = ann.search(twice, twice.where("vec_id % 20 = 0")).toPandas()
+    assert not again.duplicated(["query_id", "vec_id"]).any() and again.groupby("query_id").size().max() == 20
     few = table.where("vec_id < 6")
     assert ann.search(few, few).groupBy("query_id").count().toPandas()["count"].tolist() == [5] * 6
     assert ann.search(table.limit(0), table).count() == 0
