@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -39,23 +40,15 @@ BLOCKS, FLIPS = 4, 3
 PASS_WORDS = 1 << 17
 #: Windows that are fingerprinted in one step, and bytes of text that are cut into words at a time.
 STEP, SEGMENT = 1 << 14, 1 << 22
-#: Word codes that a task keeps; then it starts anew.
-KEPT = 1 << 20
 _NEAR = np.array([sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(16), n)], np.uint16)
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 
 
-class _Codes(dict):
-    """Codes of words, made when first met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = xxh64_intdigest(word, SEED)
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > KEPT:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _codes(words: list[bytes] | tuple[bytes, ...]) -> np.ndarray:
+    """XXH64 of each word; words that repeat are hashed once."""
+    known = pa.array(words, pa.binary()).dictionary_encode()
+    unique = np.fromiter((xxh64_intdigest(w, SEED) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
+    return unique[known.indices.to_numpy()]
 
 
 def _shingles(codes: np.ndarray, size: int) -> np.ndarray:
@@ -116,21 +109,20 @@ class _Length:
 
     @cached_property
     def index(self) -> np.ndarray:
-        """A bit for each block value under which any item is filed: small enough to stay in a core's cache."""
+        """Whether any item is filed under a block value: small enough to stay in a core's cache for a step."""
         filed = np.zeros((BLOCKS, 1 << 16), bool)
         for values in np.array(self.prints, np.uint64).view(np.uint16).reshape(-1, BLOCKS):
             for block, value in enumerate(values):
                 filed[block, value ^ _NEAR] = True
-        return np.packbits(filed, axis=1, bitorder="little")
+        return filed
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item's number, windows within the radius of it), by the block index."""
-        values = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)
-        at, bit = values >> np.uint16(3), np.left_shift(np.uint8(1), (values & np.uint16(7)).astype(np.uint8))
-        met = np.zeros(len(prints), np.uint8)
-        for block in range(BLOCKS):
-            met |= self.index[block].take(at[block]) & bit[block]
-        some = np.flatnonzero(met != 0)
+        values = prints.view(np.uint16).reshape(-1, BLOCKS)
+        met = self.index[0].take(values[:, 0])
+        for block in range(1, BLOCKS):
+            met |= self.index[block].take(values[:, block])
+        some = np.flatnonzero(met)
         if len(some):
             own = prints[some]
             for item, print_ in enumerate(self.prints):
@@ -152,11 +144,11 @@ class Benchmark:
     @property
     def lengths(self) -> dict[int, _Length]:
         if self._lengths is None:
-            self._lengths, self.codes = {}, _Codes()
+            self._lengths = {}
             for item, text in self.items:
                 words = tuple(words_of(text.encode() if text else None))
                 if words:
-                    self._lengths.setdefault(len(words), _Length(len(words))).add(item, words, self.codes.of(words))
+                    self._lengths.setdefault(len(words), _Length(len(words))).add(item, words, _codes(words))
         return self._lengths
 
     def _segments(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[tuple[int, int, int, bool]]]]:
@@ -195,7 +187,7 @@ class Benchmark:
         return [sorted((item, at, far, -alike) for item, (alike, at, far) in own.items()) for own in best]
 
     def _search(self, words: list[bytes], stretches: list[tuple[int, int, int, bool]], best: list[dict]) -> None:
-        codes = self.codes.of(words)
+        codes = _codes(words)
         many = np.array([n for _, _, n, _ in stretches])
         start = np.concatenate(([0], np.cumsum(many)))
         left = np.repeat(start[1:], many) - np.arange(len(words))  # words from here to the stretch's end
