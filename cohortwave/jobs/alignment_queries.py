@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, covariance, features, markers, spectra, splits, trials
 from ..sources.tables import EMBEDDING_FEATURES, LINE_SAMPLES, embedding_features, line_samples
+from ..functions import filters
 from . import pipeline
+from .signal_queries import _trials
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -222,27 +224,56 @@ def band_pass(spark, sf_dir):
     return spectra.band_pass(line_samples(spark, sf_dir), 1.0, 16.0, 128.0)
 
 
-@query()
+@query(f"""WITH {_trials(LINE_SAMPLES, 16)}, centred AS (
+  SELECT recording_id, trial_no, class, dt, pow(sin(pi() * (dt + 0.5) / 16), 2) AS w, {", ".join(f"x[{i}] - avg(x[{i}]) OVER (PARTITION BY recording_id, trial_no) AS y{i}" for i in range(1, 5))} FROM trials
+), waves AS (
+  SELECT recording_id, trial_no, class, bin, sum(w * w) AS energy, {", ".join(f"sum(w * y{i} * cos(2 * pi() * bin * dt / 16)) AS a{i}, sum(w * y{i} * sin(2 * pi() * bin * dt / 16)) AS b{i}" for i in range(1, 5))}
+  FROM (SELECT *, unnest(range(0, 9))::INT AS bin FROM centred) GROUP BY recording_id, trial_no, class, bin
+)
+SELECT recording_id, class, bin, {", ".join(f"round(avg((a{i} * a{j} + b{i} * b{j}) / energy), 7) + 0.0 AS c{i}{j}" for i in range(1, 5) for j in range(1, 5))} FROM waves GROUP BY recording_id, class, bin""")
 def mean_cospectra(spark, sf_dir):
     samples = line_samples(spark, sf_dir)
     cut = trials.extract(samples, trials.numbered(markers.stim_to_marks(samples, 16)), 16)
-    return spectra.mean_cospectra(covariance.packed_trials(cut))
+    rows = spectra.mean_cospectra(covariance.packed_trials(cut))
+    return rows.select("recording_id", "class", "bin", *[(F.round(F.col("c")[4 * i + j], 7) + 0.0).alias(f"c{i + 1}{j + 1}") for i in range(4) for j in range(4)])
 
 
-def _leadfield(channels: int = CHANNELS, voxels: int = 12) -> np.ndarray:
+def _leadfield(channels: int = 64, voxels: int = 12) -> np.ndarray:
     return np.random.default_rng(5).normal(size=(channels, 3 * voxels))
 
 
-@query()
+def _inverse_sql(maker) -> str:
+    """The strongest voxel of each vector, taken as a sample of 64 channels, the inverse of the fixed lead field as literals."""
+    k = _leadfield()
+    inverse = maker(k - k.mean(axis=0), 1.0)
+    dot = lambda r: f"pow(list_inner_product(y, {inverse[r].tolist()}::DOUBLE[]), 2)"
+    powers = ", ".join(" + ".join(dot(3 * v + a) for a in range(3)) for v in range(len(inverse) // 3))
+    return f"""WITH {EMBEDDING_FEATURES}, m AS (SELECT domain AS recording_id, trial_no AS t, v, list_avg(v) AS m FROM features),
+c AS (SELECT recording_id, t, list_transform(v, lambda a: a - m) AS y FROM m), p AS (SELECT recording_id, t, [{powers}] AS p FROM c)
+SELECT recording_id, t, list_position(p, list_max(p))::INT AS voxel, round(list_max(p), 8) AS power FROM p"""
+
+
+def _strongest(spark, sf_dir, method: str) -> DataFrame:
+    samples = embedding_features(spark, sf_dir).select(F.col("domain").alias("recording_id"), F.col("trial_no").alias("t"), F.col("v").alias("x"))
+    return spectra.sources(samples, _leadfield(), method).withColumn("power", F.round("power", 8))
+
+
+@query(_inverse_sql(filters.standardised_low_resolution))
 def inverse_sloreta(spark, sf_dir):
-    return spectra.sources(line_samples(spark, sf_dir), _leadfield(), "sloreta")
+    return _strongest(spark, sf_dir, "sloreta")
 
 
-@query()
+@query(_inverse_sql(filters.exact_low_resolution))
 def inverse_eloreta(spark, sf_dir):
-    return spectra.sources(line_samples(spark, sf_dir), _leadfield(), "eloreta")
+    return _strongest(spark, sf_dir, "eloreta")
 
 
-@query()
+@query(_inverse_sql(filters.minimum_norm))
 def inverse_minimum_norm(spark, sf_dir):
-    return spectra.sources(line_samples(spark, sf_dir), _leadfield(), "minimum_norm")
+    return _strongest(spark, sf_dir, "minimum_norm")
+
+
+@query()
+def group_pipeline_raw(spark, sf_dir):
+    config = pipeline.Config(window=WL, channels=CHANNELS, n_splits=2, n_boot=40, boot_size=10, white_dim=12, study=STUDY, band=(1.0, 16.0, 128.0), reject=1.0)
+    return pipeline.run([pipeline.prepare, *pipeline.GROUP_PIPELINE], config, {"samples": line_samples(spark, sf_dir)})["summary"]

@@ -37,10 +37,10 @@ def _marks(of: str, wl: int = WL) -> str:
 def _trials(of: str, wl: int = WL) -> str:
     return f"""{_marks(of, wl)}, numbered AS (
   SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY class, t) AS trial_no, class, t AS onset FROM marks
+), windows AS (
+  SELECT *, onset + dt AS t FROM (SELECT *, unnest(range(0, {wl}))::INT AS dt FROM numbered)
 ), trials AS (
-  SELECT n.recording_id, n.trial_no, n.class, n.onset, d.dt, s.x
-  FROM numbered n CROSS JOIN (SELECT unnest(range(0, {wl}))::INT AS dt) d
-  JOIN samples s ON s.recording_id = n.recording_id AND s.t = n.onset + d.dt
+  SELECT w.recording_id, w.trial_no, w.class, w.onset, w.dt, s.x FROM windows w JOIN samples s ON s.recording_id = w.recording_id AND s.t = w.t
 )"""
 
 
@@ -116,6 +116,16 @@ def resample_stim(spark, sf_dir):
     return markers.downsample_stim(event_samples(spark, sf_dir), 4)
 
 
+@query(f"""WITH {LINE_SAMPLES}, b AS (
+  SELECT recording_id, (t - 1) // 4 AS b, count(*) AS n, count(*) FILTER (stim > 0) AS k, arg_min(stim, t) FILTER (stim > 0) AS s,
+    {", ".join(f"avg(x[{i}]) AS m{i}" for i in range(1, 5))} FROM samples GROUP BY ALL
+)
+SELECT recording_id, b + 1 AS t, coalesce(s, 0)::INT AS stim, {", ".join(f"round(m{i}, 8) AS x{i}" for i in range(1, 5))} FROM b WHERE n = 4""")
+def resample_signal(spark, sf_dir):
+    rows = markers.downsample(line_samples(spark, sf_dir), 4, 4)
+    return rows.select("recording_id", "t", "stim", *[F.round(F.col("x")[i], 8).alias(f"x{i + 1}") for i in range(4)])
+
+
 @query(f"""WITH {LINE_SAMPLES}
 SELECT recording_id, t, round(x[1] - list_avg(x), 8) AS x1, round(x[2] - list_avg(x), 8) AS x2, round(x[3] - list_avg(x), 8) AS x3, round(x[4] - list_avg(x), 8) AS x4 FROM samples""")
 def rereference_car(spark, sf_dir):
@@ -220,9 +230,18 @@ def reject_scan(spark, sf_dir):
     return rejection.reject(event_samples(spark, sf_dir), WL, 1.0)
 
 
-@query()
+@query(f"""WITH {LINE_SAMPLES}, cells AS (SELECT recording_id, unnest(x) AS v FROM samples), ranked AS (
+  SELECT recording_id, v, row_number() OVER (PARTITION BY recording_id ORDER BY v) AS r, count(*) OVER (PARTITION BY recording_id) AS n FROM cells
+), ends AS (
+  SELECT recording_id, n, min(v) FILTER (r > floor(n * 0.25) AND r <= n - floor(n * 0.25)) AS low, max(v) FILTER (r > floor(n * 0.25) AND r <= n - floor(n * 0.25)) AS high,
+    stddev_samp(v) FILTER (r > floor(n * 0.25) AND r <= n - floor(n * 0.25)) AS spread FROM ranked GROUP BY recording_id, n
+), centre AS (
+  SELECT recording_id, avg(greatest(low, least(high, v))) AS middle, any_value(spread) AS spread FROM cells JOIN ends USING (recording_id) GROUP BY recording_id
+)
+SELECT recording_id, t, stim, {", ".join(f"round((x[{i}] - middle) / spread, 8) + 0.0 AS x{i}" for i in range(1, 5))} FROM samples JOIN centre USING (recording_id)""")
 def standardise(spark, sf_dir):
-    return rejection.standardise(line_samples(spark, sf_dir))
+    rows = rejection.standardise(line_samples(spark, sf_dir))
+    return rows.select("recording_id", "t", "stim", *[(F.round(F.col("x")[i], 8) + 0.0).alias(f"x{i + 1}") for i in range(4)])
 
 
 SPLITS = f"""{EVENT_MARKS}, numbered AS (
@@ -339,9 +358,27 @@ def cov_regularised_tyler(spark, sf_dir):
     return _estimated(spark, sf_dir, "nrtme")
 
 
-@query()
+def _determinant() -> str:
+    """The determinant of the packed 4 by 4 triangle c1 .. c10, by the first column of every minor."""
+    name = lambda i, j: f"c{max(i, j) * (max(i, j) + 1) // 2 + min(i, j) + 1}"
+
+    def minor(rows: list[int], cols: list[int]) -> str:
+        if len(rows) == 1:
+            return name(rows[0], cols[0])
+        terms = [f"{'-' if k % 2 else '+'} {name(r, cols[0])} * ({minor([q for q in rows if q != r], cols[1:])})" for k, r in enumerate(rows)]
+        return " ".join(terms)
+
+    return minor([0, 1, 2, 3], [0, 1, 2, 3])
+
+
+@query(f"""WITH {LINE_COVS}, s AS (SELECT *, {_TRACE} AS tr, {_SQUARE} AS sq FROM covs), r AS (
+  SELECT *, CASE WHEN (n + 1 - 0.5) * (sq - tr * tr / 4) > 0 THEN least(1.0, ((1 - 0.5) * sq + tr * tr) / ((n + 1 - 0.5) * (sq - tr * tr / 4))) ELSE 1.0 END AS rho FROM s
+), o AS (
+  SELECT recording_id, trial_no, class, n, {", ".join(f"(1 - rho) * c{k}" + (" + rho * tr / 4" if k in _DIAGONAL else "") + f" AS c{k}" for k in range(1, 11))} FROM r
+), d AS (SELECT *, sqrt(sqrt({_determinant()})) AS root FROM o)
+SELECT recording_id, trial_no, class, n, {", ".join(f"round(c{k} / root, 6) + 0.0 AS c{k}" for k in range(1, 11))} FROM d""")
 def det_normalise(spark, sf_dir):
-    return _estimated(spark, sf_dir, "oas", det=True)
+    return _spread(_estimated(spark, sf_dir, "oas", det=True), 4, 6)
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")

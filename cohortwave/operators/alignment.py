@@ -147,7 +147,10 @@ def _schema(df: DataFrame, by: tuple[str, ...]) -> str:
 
 
 def trained_alone(features: DataFrame, by: tuple[str, ...], classifier: str = "svc") -> DataFrame:
-    """(..., domain, acc): a classifier for each domain, balanced accuracy on its own test rows."""
+    """(..., domain, acc): a classifier for each domain, balanced accuracy on its own test rows.
+
+    Null, here and below, where a domain has no rows to train on or none to test.
+    """
     return _trained(features, (*by, "domain"), by, classifier)
 
 
@@ -169,8 +172,8 @@ def _trained(features: DataFrame, group: tuple[str, ...], by: tuple[str, ...], c
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         columns = [*by, "domain", "acc"]
         train, test = rows[rows["role"] == "train"], rows[rows["role"] == "test"]
-        if not len(train) or not len(test):
-            return pd.DataFrame(columns=columns)
+        if not len(train) or not len(test):  # nothing to learn from, or to test: no accuracy
+            return pd.DataFrame([[*[rows[c].iloc[0] for c in by], d, None] for d in sorted(set((test if len(test) else rows)["domain"]))], columns=columns)
         train = train.sort_values(["domain", "trial_no"])
         model = linear.train(np.stack(train["v"].to_numpy()), train["label"].to_numpy(), classifier)
         keys = [rows[c].iloc[0] for c in by]

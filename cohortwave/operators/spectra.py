@@ -28,19 +28,16 @@ def mean_cospectra(trials: DataFrame) -> DataFrame:
     Spectra are made batch by batch where the trials lie; their means are Spark's.
     """
 
-    @F.pandas_udf("array<struct<bin:int,i:int,v:double>>")
+    @F.pandas_udf("array<array<double>>")
     def spectra(x: pd.Series) -> pd.Series:
-        def one(v) -> list[dict]:
-            s = filters.cospectra(np.stack(v))
-            flat = s.reshape(len(s), -1)
-            return [{"bin": b, "i": i, "v": float(flat[b, i])} for b in range(len(flat)) for i in range(flat.shape[1])]
-
-        return pd.Series([one(v) for v in x], dtype=object)
-
-    long = trials.select("recording_id", "class", F.explode(spectra("x")).alias("s"))
-    means = long.groupBy("recording_id", "class", "s.bin", "s.i").agg(F.avg("s.v").alias("v"))
-    rows = means.groupBy("recording_id", "class", "bin").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_a"))
-    return rows.select("recording_id", "class", "bin", F.transform("_a", lambda s: s["v"]).alias("c"))
+        return pd.Series([[b.ravel() for b in filters.cospectra(np.stack(v))] for v in x], dtype=object)
+
+    size = F.size(F.col("x")[0])
+    rows = trials.select("recording_id", "class", size.alias("_n"), F.posexplode(spectra("x")).alias("bin", "_c"))
+    # means by place in the array: one row a spectrum, and only running sums are shuffled
+    n = (rows.agg(F.max("_n")).first()[0] or 0) ** 2
+    means = rows.groupBy("recording_id", "class", "bin").agg(*[F.avg(F.col("_c")[i]).alias(f"_{i}") for i in range(n)])
+    return means.select("recording_id", "class", "bin", F.array(*[F.col(f"_{i}") for i in range(n)]).alias("c"))
 
 
 def sources(samples: DataFrame, leadfield: np.ndarray, method: str = "sloreta", alpha: float = 1.0) -> DataFrame:

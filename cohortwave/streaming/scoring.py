@@ -29,18 +29,16 @@ def score_stream(stream: DataFrame, model: DataFrame, out: str, checkpoint: str)
     return aligned.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """(start, class, n): stimuli in tumbling windows; events later than ``late`` do not count."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("event_type").alias("class"), "n")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; without one, an error on a cluster."""
+    import re
     import tempfile
 
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwave-"))
         folder = context.getCheckpointDir()
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -251,3 +251,27 @@ def test_source_ranking_has_columns_for_whole_vectors(spark):
     for r in queries.cca_rank_sources(spark, folder).collect():
         a, b = (np.linalg.qr(w - w.mean(axis=0))[0] for w in (groups[r.seed, r.target], groups[r.seed, r.source]))
         assert np.isclose(r.correlation, np.linalg.svd(a.T @ b, compute_uv=False)[0]) and r.correlation < 0.999
+
+
+def test_short_recordings_are_not_rejected(spark):
+    from cohortwave.operators import rejection
+
+    rows = [(1, t, int(t in (2, 5)), [float(t)]) for t in range(1, 9)]
+    frame = spark.createDataFrame(rows, "recording_id long, t long, stim int, x array<double>")
+    assert [r.clean for r in rejection.reject(frame, 8).orderBy("t").collect()] == [r[2] for r in rows]
+
+
+def test_downsampling_takes_block_means(spark):
+    from cohortwave.operators import markers
+
+    frame = spark.createDataFrame([(1, t, 2 if t == 6 else 0, [float(t), 1.0]) for t in range(1, 11)], "recording_id long, t long, stim int, x array<double>")
+    got = [(r.t, r.stim, r.x) for r in markers.downsample(frame, 4, 2).orderBy("t").collect()]
+    assert got == [(1, 0, [2.5, 1.0]), (2, 2, [6.5, 1.0])]
+
+
+def test_no_accuracy_without_rows_to_train_on(spark):
+    from cohortwave.operators import alignment
+
+    rows = [(1, 1, "test", i, 1 + i % 2, [float(i)]) for i in range(4)] + [(1, 2, role, i, 1 + i % 2, [float(i % 2)]) for i in range(4) for role in ("train", "test")]
+    frame = spark.createDataFrame(rows, "study int, domain int, role string, trial_no int, label int, v array<double>")
+    assert {r.domain: r.acc for r in alignment.trained_alone(frame, ("study",)).collect()} == {1: None, 2: 1.0}
