@@ -89,6 +89,44 @@ def joint_alignment(t: list[np.ndarray], start: np.ndarray | None = None, tol: f
     return Aligned(u, done, change, diverging)
 
 
+def orthogonal_alignment(t: list[np.ndarray], components: int, tol: float = 1e-8, rounds: int = 2500) -> Aligned:
+    """Filters with orthonormal columns that make the sum of shared covariances largest, any number of domains.
+
+    Domains are visited in turn: with M the sum over the others j of
+    C_ij u_j diag(u_i' C_ij u_j), u_i becomes the orthogonal polar factor of M (as
+    in joint diagonalisation by orthogonal matrices). For two domains these are singular vectors.
+    """
+    m = len(t)
+    if m < 2:
+        raise ValueError("alignment needs two domains or more")
+    rank = min(components, *(min(x.shape) for x in t))
+    c = [[x @ y.T / x.shape[1] for y in t] for x in t]
+    u = []
+    for i in range(m):
+        shared = np.concatenate([c[i][j] for j in range(m) if j != i], axis=1)
+        u.append(np.linalg.svd(shared, full_matrices=False)[0][:, :rank])
+    # signs that agree with the first domain, or terms of the sum would cancel
+    for i in range(1, m):
+        sign = np.sign(np.einsum("ak,ab,bk->k", u[0], c[0][i], u[i]))
+        u[i] = u[i] * np.where(sign == 0, 1, sign)
+    shared_of = lambda i, j: np.einsum("ak,ab,bk->k", u[i], c[i][j], u[j])
+    last, change, done = None, 1.0, 0
+    for done in range(1, rounds + 1):
+        for i in range(m):
+            left, _, right = np.linalg.svd(sum(c[i][j] @ u[j] * shared_of(i, j) for j in range(m) if j != i), full_matrices=False)
+            u[i] = left @ right
+        level = float(sum((shared_of(i, j) ** 2).sum() for i in range(m) for j in range(m) if i != j))
+        change = 1.0 if last is None else abs(level - last) / max(abs(last), 1e-300)
+        last = level
+        if change <= tol:
+            break
+    total = sum(shared_of(i, j) for i in range(m) for j in range(m) if i != j)
+    order = np.argsort(-total, kind="stable")
+    first = u[0][:, order]
+    sign = np.sign(first[np.abs(first).argmax(axis=0), np.arange(rank)])
+    return Aligned(np.stack([x[:, order] * sign for x in u]), done, change, False)
+
+
 def fast_alignment(t: list[np.ndarray], u: np.ndarray, new: np.ndarray) -> np.ndarray:
     """The filter of a new domain for a group whose filters stay as they are."""
     v = np.stack([new @ x.T @ f for x, f in zip(t, u, strict=True)]).transpose(2, 1, 0)

@@ -25,10 +25,29 @@ def fisher_mean(c: np.ndarray, weights: np.ndarray | None = None, tol: float = 1
     return g
 
 
+def fisher_means(c: np.ndarray, start: np.ndarray, tol: float = 1e-8, rounds: int = 100) -> np.ndarray:
+    """``fisher_mean`` of each run of a stack; runs begin at ``start`` and are solved side by side."""
+    size = np.diff(np.append(start, len(c)))
+    g = np.add.reduceat(c, start) / size[:, None, None]
+    owner, open_ = np.repeat(np.arange(len(start)), size), np.arange(len(start))
+    for _ in range(rounds):
+        own = c if len(open_) == len(start) else c[np.isin(owner, open_)]
+        root, back = spectral(g[open_], np.sqrt), spectral(g[open_], lambda v: 1 / np.sqrt(v))
+        each = np.repeat(back, size[open_], axis=0)
+        first = np.append(0, np.cumsum(size[open_])[:-1])
+        step = np.add.reduceat(spectral(each @ own @ each, np.log), first) / size[open_, None, None]
+        new = root @ spectral(step, np.exp) @ root
+        g[open_] = (new + np.swapaxes(new, -1, -2)) / 2
+        open_ = open_[np.linalg.norm(step, axis=(-2, -1)) > tol * np.sqrt(c.shape[-1])]
+        if not len(open_):
+            break
+    return g
+
+
 def tangent_vectors(c: np.ndarray, base: np.ndarray, columns: int | None = None) -> np.ndarray:
     """(k, features): lower triangles of log(base^-1/2 C base^-1/2), off-diagonals times sqrt 2.
 
-    Column by column; ``columns`` keeps the first ones only.
+    Column by column; ``columns`` keeps the first ones only. ``base`` is one matrix, or one for each.
     """
     back = spectral(base, lambda v: 1 / np.sqrt(v))
     s = spectral(back @ c @ back, np.log)

@@ -38,7 +38,7 @@ def study_features(spark, sf_dir: str) -> DataFrame:
     numbered = trials.numbered(markers.stim_to_marks(samples, WL))
     cut = trials.extract(samples, numbered, WL)
     sets = splits.stratified(numbered, 2, 50, seed=1)
-    found = alignment.tangent_features(covariance.packed_trials(cut), alignment.prototypes(cut, sets, 2), sets, CHANNELS)
+    found = alignment.tangent_features(covariance.packed_trials(cut), alignment.prototypes(cut, sets, 2, CHANNELS), sets, CHANNELS)
     study = F.floor(F.col("recording_id") / STUDY).cast("int")
     return found.select(study.alias("study"), F.col("recording_id").alias("domain"), "split", "role", "trial_no", "label", "v")
 
@@ -47,18 +47,18 @@ def study_means(rows: DataFrame) -> DataFrame:
     """Packed bootstrap means of the training features of every (study, split, domain)."""
     train, own = rows.where("role = 'train'"), (*GROUP, "domain")
     drawn = features.draws(train, 40, 10, seed=1, by=own)
-    return alignment.packed_means(features.bootstrap_means(train, drawn, own), GROUP)
+    return alignment.packed_means(features.bootstrap_vectors(train, drawn, own), GROUP)
 
 
 def embedding_means(spark, sf_dir: str) -> DataFrame:
     rows = embedding_features(spark, sf_dir)
-    return features.bootstrap_means(rows, features.draws(rows, N_BOOT, BOOT_SIZE, seed=7))
+    return features.bootstrap_vectors(rows, features.draws(rows, N_BOOT, BOOT_SIZE, seed=7), size=64)
 
 
 def embedding_groups(spark, sf_dir: str, n_boot: int = 60) -> DataFrame:
     """Packed means of three bootstrap seeds: each seed is one group of domains."""
     rows = embedding_features(spark, sf_dir)
-    parts = [features.bootstrap_means(rows, features.draws(rows, n_boot, BOOT_SIZE, seed=s)).withColumn("seed", F.lit(s)) for s in (1, 2, 3)]
+    parts = [features.bootstrap_vectors(rows, features.draws(rows, n_boot, BOOT_SIZE, seed=s), size=64).withColumn("seed", F.lit(s)) for s in (1, 2, 3)]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return alignment.packed_means(whole, ("seed",))
 
@@ -83,14 +83,15 @@ def bootstrap_draws(spark, sf_dir):
 
 @query(f"WITH {DRAWS} SELECT domain, label, boot, coord, round(mean, 8) AS mean FROM means")
 def bootstrap_means(spark, sf_dir):
-    return embedding_means(spark, sf_dir).withColumn("mean", F.round("mean", 8))
+    rows = embedding_means(spark, sf_dir).select("domain", "label", "boot", F.posexplode("v").alias("coord", "mean"))
+    return rows.withColumns({"coord": F.col("coord") + 1, "mean": F.round("mean", 8)})
 
 
 @query(f"""WITH {DRAWS}
 SELECT a.domain AS domain_a, b.domain AS domain_b, a.coord AS coord_a, b.coord AS coord_b, round(sum(a.mean * b.mean), 8) AS c
 FROM means a JOIN means b ON a.label = b.label AND a.boot = b.boot AND a.domain > b.domain GROUP BY ALL""")
 def cross_domain_cov(spark, sf_dir):
-    return features.cross_covariances(embedding_means(spark, sf_dir)).withColumn("c", F.round("c", 8))
+    return features.cross_covariances(alignment.packed_means(embedding_means(spark, sf_dir))).withColumn("c", F.round("c", 8))
 
 
 def _long(rows: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ z AS (SELECT *, x - avg(x) OVER (PARTITION BY domain, coord) AS y FROM l),
 n AS (SELECT domain, avg(norm) AS scale FROM (SELECT domain, trial_no, sqrt(sum(y * y)) AS norm FROM z GROUP BY domain, trial_no) GROUP BY domain)
 SELECT z.domain, z.trial_no, z.label, z.coord, round(z.y / n.scale, 8) AS value FROM z JOIN n USING (domain)""")
 def center_features(spark, sf_dir):
-    return _long(features.centred(embedding_features(spark, sf_dir)))
+    return _long(features.centred(embedding_features(spark, sf_dir), 64))
 
 
 @query(f"""WITH {EMBEDDING_FEATURES}, s AS (SELECT domain, trial_no, label, list_transform(v, lambda x: x * (1 + label)) AS v FROM features),
@@ -127,7 +128,7 @@ def apply_fixed_projection(spark, sf_dir):
 @query(f"""WITH {LINE_SAMPLES}, s AS (SELECT recording_id, sum(x[1]) AS s1, sum(x[2]) AS s2, sum(x[3]) AS s3, sum(x[4]) AS s4 FROM samples GROUP BY recording_id)
 SELECT recording_id, t, round(x[1] / s1, 10) AS x1, round(x[2] / s2, 10) AS x2, round(x[3] / s3, 10) AS x3, round(x[4] / s4, 10) AS x4 FROM samples JOIN s USING (recording_id)""")
 def col_sum_normalise(spark, sf_dir):
-    rows = features.column_normalised(line_samples(spark, sf_dir))
+    rows = features.column_normalised(line_samples(spark, sf_dir), 4)
     return rows.select("recording_id", "t", *[F.round(F.col("x")[i], 10).alias(f"x{i + 1}") for i in range(4)])
 
 
@@ -201,6 +202,84 @@ def group_pipeline(spark, sf_dir):
     return pipeline.run(pipeline.GROUP_PIPELINE, config, {"samples": line_samples(spark, sf_dir)})["summary"]
 
 
+@query()
+def group_pipeline_corrected(spark, sf_dir):
+    """Prototypes freed of overlap, of weighted trials, two components; covariances of unit determinant."""
+    config = pipeline.Config(window=WL, channels=CHANNELS, n_splits=2, n_boot=40, boot_size=10, white_dim=12, study=STUDY, overlapping=True, adaptive=True, components=2, det=True)
+    return pipeline.run(pipeline.GROUP_PIPELINE, config, {"samples": line_samples(spark, sf_dir)})["summary"]
+
+
+@query()
+def group_pipeline_mi(spark, sf_dir):
+    config = pipeline.Config(window=WL, channels=CHANNELS, n_splits=2, n_boot=40, boot_size=10, white_dim=8, study=STUDY, paradigm="mi")
+    return pipeline.run(pipeline.GROUP_PIPELINE, config, {"samples": line_samples(spark, sf_dir)})["summary"]
+
+
+def _cut_and_sets(spark, sf_dir):
+    samples = line_samples(spark, sf_dir)
+    numbered = trials.numbered(markers.stim_to_marks(samples, WL))
+    return trials.extract(samples, numbered, WL), splits.stratified(numbered, 2, 50, seed=1)
+
+
+@query()
+def prototype_corrected(spark, sf_dir):
+    return alignment.prototypes(*_cut_and_sets(spark, sf_dir), 2, CHANNELS, wl=WL, adaptive=True)
+
+
+@query()
+def prototype_components(spark, sf_dir):
+    return alignment.prototypes(*_cut_and_sets(spark, sf_dir), 2, CHANNELS, components=2)
+
+
+@query()
+def tangent_vectors_whole(spark, sf_dir):
+    """Vectors of whole recordings: one prototype of all target trials, all trials mapped at one mean."""
+    samples = line_samples(spark, sf_dir)
+    numbered = trials.numbered(markers.stim_to_marks(samples, WL))
+    cut = trials.extract(samples, numbered, WL)
+    whole = numbered.select("recording_id", "trial_no", "class", F.lit(0).alias("split"), F.lit("train").alias("role"))
+    return alignment.tangent_features(covariance.packed_trials(cut), alignment.prototypes(cut, whole, 2, CHANNELS), whole, CHANNELS)
+
+
+@query()
+def tangent_vectors_mi(spark, sf_dir):
+    cut, sets = _cut_and_sets(spark, sf_dir)
+    return alignment.tangent_features(covariance.packed_trials(cut), None, sets, CHANNELS)
+
+
+#: Rows of a mixing matrix, and the filters (one a row) that undo it, of four channels.
+MIXING = np.array([[1.0, 0.5, 0.0, 0.0], [0.0, 1.0, 0.5, 0.0], [0.0, 0.0, 1.0, 0.5], [0.5, 0.0, 0.0, 1.0]])
+FILTERS = np.linalg.inv(MIXING).T
+
+
+def _variance_sql() -> str:
+    quadratic = lambda b: " + ".join(f"({b[j] * b[k]!r})::DOUBLE * c{min(j, k)}{max(j, k)}" for j in range(4) for k in range(4))
+    plain = [f"({float((MIXING[i] ** 2).sum())!r})::DOUBLE * ({quadratic([float(v) for v in FILTERS[i]])})" for i in range(4)]
+    unit = [f"({quadratic([float(v) for v in FILTERS[i] / np.linalg.norm(FILTERS[i])])})" for i in range(4)]
+    sums = ", ".join(f"covar_pop(x[{j + 1}], x[{k + 1}]) AS c{j}{k}" for j in range(4) for k in range(j, 4))
+    rows = " UNION ALL ".join(f"SELECT recording_id, {i + 1} AS source, round({plain[i]}, 8) AS variance, round({unit[i]}, 8) AS unit_variance FROM c" for i in range(4))
+    return f"WITH {LINE_SAMPLES}, c AS (SELECT recording_id, {sums} FROM samples GROUP BY recording_id) {rows}"
+
+
+@query(_variance_sql())
+def explained_variance(spark, sf_dir):
+    covs = covariance.moments(line_samples(spark, sf_dir), CHANNELS, ("recording_id",))
+    rows = covariance.explained_variance(covs, MIXING, FILTERS)
+    return rows.withColumns({"variance": F.round("variance", 8), "unit_variance": F.round("unit_variance", 8)})
+
+
+@query()
+def covariance_sets(spark, sf_dir):
+    return alignment.covariance_sets(embedding_groups(spark, sf_dir), ("seed",))
+
+
+@query()
+def covariance_sets_applied(spark, sf_dir):
+    """Vectors of all domains in the common components of the first bootstrap seed."""
+    model = alignment.covariance_sets(embedding_groups(spark, sf_dir), ("seed",)).where("seed = 1")
+    return _long(features.apply_model(embedding_features(spark, sf_dir), model))
+
+
 @query()
 def train_at_scale(spark, sf_dir):
     rows = embedding_features(spark, sf_dir).withColumnRenamed("domain", "recording_id").withColumnRenamed("label", "class")

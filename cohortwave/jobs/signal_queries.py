@@ -155,7 +155,7 @@ def trial_channel_projection(spark, sf_dir):
 @query(f"""WITH {EVENT_TRIALS}
 SELECT recording_id, class, dt, 1 AS channel, round(avg(x), 8) AS mean FROM trials GROUP BY recording_id, class, dt""")
 def class_mean(spark, sf_dir):
-    return trials.class_mean(event_trials(spark, sf_dir)).withColumn("mean", F.round("mean", 8))
+    return trials.class_mean(event_trials(spark, sf_dir), channels=1).withColumn("mean", F.round("mean", 8))
 
 
 @query(f"""WITH {LINE_WEIGHTS}
@@ -163,8 +163,7 @@ SELECT t.recording_id, t.class, t.dt, c.channel::INT AS channel, round(sum(w.wei
 FROM trials t JOIN weights w USING (recording_id, trial_no) CROSS JOIN (SELECT unnest(range(1, 5)) AS channel) c
 GROUP BY t.recording_id, t.class, t.dt, c.channel""")
 def class_mean_weighted(spark, sf_dir):
-    rows = line_trials(spark, sf_dir)
-    return trials.class_mean(rows, trials.adaptive_weights(rows)).withColumn("mean", F.round("mean", 8))
+    return trials.adaptive_mean(line_trials(spark, sf_dir), channels=4).withColumn("mean", F.round("mean", 8))
 
 
 @query(f"WITH {LINE_WEIGHTS} SELECT recording_id, trial_no, class, round(weight, 8) AS weight FROM weights")
@@ -190,13 +189,13 @@ def lag_histogram(spark, sf_dir):
 @query(f"""WITH {EVENT_TRIALS}
 SELECT recording_id, class, dt, 1 AS channel, round(sum(x), 8) AS total FROM trials GROUP BY recording_id, class, dt""")
 def toeplitz_rhs(spark, sf_dir):
-    return trials.toeplitz_rhs(event_trials(spark, sf_dir)).withColumn("total", F.round("total", 8))
+    return trials.toeplitz_rhs(event_trials(spark, sf_dir), 1).withColumn("total", F.round("total", 8))
 
 
 @query()
 def overlap_corrected_mean(spark, sf_dir):
     samples, marks = _event_marks(spark, sf_dir)
-    totals = trials.toeplitz_rhs(trials.extract(samples, trials.numbered(marks), WL))
+    totals = trials.toeplitz_rhs(trials.extract(samples, trials.numbered(marks), WL), 1)
     return overlap.corrected_means(trials.lag_histogram(marks, WL), totals, WL)
 
 

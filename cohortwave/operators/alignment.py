@@ -8,58 +8,159 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as al
 from ..functions import covariances as cov
 from ..functions import linear, manifold
+from . import arrays, overlap
+from . import trials as trial_ops
+from .features import domain_pairs
 from .selection import balanced_accuracy
 
-_ESTIMATE = {"scm": cov.scm, "oas": cov.oas, "lw": cov.ledoit_wolf}
+_ESTIMATE = {"scm": cov.scm, "oas": cov.oas, "lw": cov.ledoit_wolf, "tme": cov.tyler, "nrtme": cov.regularised_tyler}
+#: Cells of super-trials and of covariances that one call holds at a time.
+CELLS = 4_000_000
 
 
-def tangent_features(trials: DataFrame, prototypes: DataFrame, splits: DataFrame, channels: int, estimator: str = "lw") -> DataFrame:
-    """(recording_id, split, role, trial_no, label, v): tangent vectors of super-trial covariances.
+def super_covariances(trials: DataFrame, prototypes: DataFrame | None, splits: DataFrame, estimator: str = "lw", det: bool = False) -> DataFrame:
+    """(recording_id, split, role, trial_no, label, c): packed covariances of each split's trials.
 
-    A super-trial has the split's prototype beside its channels. Training and
-    test trials are mapped each at their own Fisher mean; of the triangle, the
-    columns of the channels stay, those of the prototype alone go. ``trials`` are
-    packed (one row each), ``prototypes`` have (recording_id, split, p), p as samples by channels.
+    With ``prototypes`` (recording_id, split, p) a super-trial has the split's
+    prototype beside its channels; without, the trials stand alone. Covariances
+    are made where a trial lies, once for each of its splits, so that trials are
+    not repeated by split and only covariances move on. ``det`` divides by det^(1/n).
     """
     if estimator not in _ESTIMATE:
         raise ValueError(f"unknown estimator {estimator!r}")
     make = _ESTIMATE[estimator]
-    rows = trials.join(splits.select("recording_id", "trial_no", "split", "role"), ["recording_id", "trial_no"]).join(prototypes, ["recording_id", "split"])
+    length = F.size("x").alias("_n")
+    sets = splits.groupBy("recording_id", "trial_no").agg(F.sort_array(F.collect_list(F.struct("split", "role"))).alias("_sets"))
+    rows = trials.select("recording_id", "trial_no", F.col("class").alias("label"), length, F.flatten("x").alias("_x")).join(sets, ["recording_id", "trial_no"])
+    if prototypes is None:
+        rows = rows.withColumn("_p", F.array(F.array().cast("array<double>")))  # no channels beside
+    else:
+        own = prototypes.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("split", F.flatten("p").alias("p")))).alias("_by"))
+        rows = rows.join(own, "recording_id").withColumn("_sets", F.filter("_sets", lambda s: F.map_contains_key("_by", s["split"]))).where(F.size("_sets") > 0)
+        rows = rows.withColumn("_p", F.transform("_sets", lambda s: F.element_at("_by", s["split"])))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("trial_no")
-        x = np.stack([np.stack(v) for v in group["x"]])
-        p = np.stack(group["p"].iloc[0])
-        c = make(np.concatenate((x, np.broadcast_to(p, (len(x), *p.shape))), axis=2))
-        v = manifold.tangent_vectors(c, manifold.fisher_mean(c), channels)
-        return pd.DataFrame({"recording_id": group["recording_id"], "split": group["split"], "role": group["role"], "trial_no": group["trial_no"], "label": group["class"], "v": list(v)})
-
-    return rows.groupBy("recording_id", "split", "role").applyInPandas(one, "recording_id long, split int, role string, trial_no long, label int, v array<double>")
-
-
-def prototypes(trials: DataFrame, splits: DataFrame, target: int) -> DataFrame:
-    """(recording_id, split, p): the mean of the target class over each split's training trials."""
-    train = splits.where((F.col("role") == "train") & (F.col("class") == target)).select("recording_id", "trial_no", "split")
-    long = trials.join(train, ["recording_id", "trial_no"]).select("recording_id", "split", "dt", F.posexplode("x").alias("_c", "_v"))
-    means = long.groupBy("recording_id", "split", "dt", "_c").agg(F.avg("_v").alias("_v"))
-    rows = means.groupBy("recording_id", "split", "dt").agg(F.sort_array(F.collect_list(F.struct("_c", "_v"))).alias("_a"))
-    rows = rows.select("recording_id", "split", "dt", F.transform("_a", lambda s: s["_v"]).alias("_p"))
+    @F.pandas_udf("array<double>")
+    def packed(n: pd.Series, x: pd.Series, made: pd.Series, p: pd.Series) -> pd.Series:
+        n, x, made, p = n.to_numpy(), x.to_numpy(), made.to_numpy(), p.to_numpy()
+        out = np.empty(len(n), object)
+        shapes = pd.DataFrame({"n": n, "x": [len(v) for v in x], "k": made, "p": [len(v) for v in p]})
+        for (length, cells, k, more), at in shapes.groupby(["n", "x", "k", "p"]).indices.items():
+            step = max(1, CELLS // (k * cells + more))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                whole = np.repeat(np.concatenate(x[part]).reshape(len(part), 1, length, -1), k, axis=1)
+                if more:
+                    whole = np.concatenate((whole, np.concatenate(p[part]).reshape(len(part), k, length, -1)), axis=3)
+                c = make(whole.reshape(len(part) * k, length, -1))
+                for i, row in zip(part, cov.pack(cov.unit_determinant(c) if det else c).reshape(len(part), -1), strict=True):
+                    out[i] = row
+        return pd.Series(out)
+
+    made = F.lit(1) if prototypes is None else F.size("_sets")
+    rows = rows.select("recording_id", "trial_no", "label", "_sets", packed("_n", "_x", made, F.flatten("_p")).alias("_c"))
+    if prototypes is None:  # a trial's covariance is the same in all of its splits
+        rows = rows.withColumn("_c", F.array("_c"))
+        paired = F.transform("_sets", lambda s: F.struct(s["split"].alias("split"), s["role"].alias("role"), F.col("_c")[0].alias("c")))
+    else:
+        paired = F.zip_with("_sets", _cut("_c", F.size("_sets")), lambda s, c: F.struct(s["split"].alias("split"), s["role"].alias("role"), c.alias("c")))
+    rows = rows.select("recording_id", "trial_no", "label", F.explode(paired).alias("_s"))
+    return rows.select("recording_id", "_s.split", "_s.role", "trial_no", "label", "_s.c")
+
+
+def _cut(flat: str, parts: Column) -> Column:
+    """An array as equally long parts."""
+    width = (F.size(flat) / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.slice(flat, i * width + 1, width))
+
+
+def tangent_features(trials: DataFrame, prototypes: DataFrame | None, splits: DataFrame, channels: int, estimator: str = "lw", det: bool = False) -> DataFrame:
+    """(recording_id, split, role, trial_no, label, v): tangent vectors of ``super_covariances``.
+
+    Training and test trials are mapped each at their own Fisher mean; of the
+    triangle, the columns of the channels stay, those of the prototype alone go
+    (without prototypes: the whole triangle). ``trials`` are packed (one row
+    each), ``prototypes`` have (recording_id, split, p), p as samples by channels.
+    Means of many groups are found side by side in one call.
+    """
+    found = super_covariances(trials, prototypes, splits, estimator, det)
+    keys = ["recording_id", "split", "role"]
+    rows = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("trial_no", "label", "c"))).alias("_a"))
+    rows = rows.select(*keys, "_a.trial_no", "_a.label", F.flatten("_a.c").alias("_c"))
+
+    @F.pandas_udf("array<double>")
+    def mapped(trials_of: pd.Series, c: pd.Series) -> pd.Series:
+        sizes, c = trials_of.to_numpy(), c.to_numpy()
+        out = np.empty(len(c), object)
+        wide = np.array([len(v) for v in c]) // sizes
+        for width in np.unique(wide):
+            at = np.flatnonzero(wide == width)
+            # as many groups at a time as keep the cells within bounds, one at least
+            for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes[at] * width) // (CELLS // 4))) + 1):
+                whole = cov.unpack(np.concatenate(c[part]).reshape(-1, width))
+                start = np.concatenate(([0], np.cumsum(sizes[part])[:-1]))
+                base = manifold.fisher_means(whole, start)
+                v = manifold.tangent_vectors(whole, np.repeat(base, sizes[part], axis=0), channels)
+                for i, own in zip(part, np.split(v, start[1:]), strict=True):
+                    out[i] = own.ravel()
+        return pd.Series(out)
+
+    rows = rows.select(*keys, "trial_no", "label", mapped(F.size("trial_no"), "_c").alias("_v"))
+    rows = rows.select(*keys, F.explode(F.arrays_zip("trial_no", "label", _cut("_v", F.size("trial_no")).alias("v"))).alias("_r"))
+    return rows.select(*keys, "_r.trial_no", "_r.label", "_r.v")
+
+
+def prototypes(trials: DataFrame, splits: DataFrame, target: int, channels: int, *, wl: int | None = None, adaptive: bool = False, components: int | None = None) -> DataFrame:
+    """(recording_id, split, p): the target class's mean over each split's training trials, samples by channels.
+
+    ``wl`` (the window's length) frees the mean of overlapping windows of all
+    classes; ``adaptive`` weights trials by their inverse power; ``components``
+    keeps the prototype's own leading principal components, the largest last.
+    A split without training trials of the target has no prototype.
+    """
+    if components is not None and not 1 <= components <= channels:
+        raise ValueError(f"{components} components of {channels} channels")
+    by = ("recording_id", "split")
+    train = splits.where(F.col("role") == "train").select("recording_id", "trial_no", "split")
+    if wl is None:
+        train = splits.where((F.col("role") == "train") & (F.col("class") == target)).select("recording_id", "trial_no", "split")
+    rows = (trial_ops.powered(trials) if adaptive else trials).join(train, ["recording_id", "trial_no"])
+    if wl is None:
+        rows = rows.groupBy(*by, "dt").agg(arrays.mean("x", channels, "weight" if adaptive else None).alias("_p"))
+    else:
+        if adaptive:  # relative to the mean of the class in its split, as the equations couple classes
+            rows = rows.withColumn("weight", F.col("weight") / F.avg("weight").over(Window.partitionBy(*by, "class")))
+        marks = rows.where("dt = 0")
+        histogram = trial_ops.lag_histogram(marks.withColumnRenamed("onset", "t"), wl, marks if adaptive else None, by)
+        found = overlap.corrected_means(histogram, trial_ops.toeplitz_rhs(rows, channels, by=by), wl, by=by)
+        rows = trial_ops.wide_mean(found.where(F.col("class") == target), by).select(*by, "dt", F.col("m").alias("_p"))
     packed = F.sort_array(F.collect_list(F.struct("dt", "_p")))
-    return rows.groupBy("recording_id", "split").agg(packed.alias("_a")).select("recording_id", "split", F.transform("_a", lambda s: s["_p"]).alias("p"))
+    rows = rows.groupBy(*by).agg(packed.alias("_a")).select(*by, F.transform("_a", lambda s: s["_p"]).alias("p"))
+    if components is None:
+        return rows
+
+    @F.pandas_udf("array<array<double>>")
+    def reduced(p: pd.Series) -> pd.Series:
+        def one(v) -> list:
+            x = np.stack(v)
+            turn = np.linalg.eigh(cov.scm(x))[1][:, -components:]
+            first = np.take_along_axis(turn, np.abs(turn).argmax(axis=0)[None], axis=0)
+            return list(x @ (turn * np.sign(first)))  # a component's largest weight is positive
+
+        return p.map(one)
 
+    return rows.withColumn("p", reduced("p"))
 
-def packed_means(means: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(..., domain, w): the bootstrap means of a domain, bootstraps by coordinates."""
-    rows = means.groupBy(*by, "domain", "label", "boot").agg(F.sort_array(F.collect_list(F.struct("coord", "mean"))).alias("_a"))
-    rows = rows.select(*by, "domain", "label", "boot", F.transform("_a", lambda s: s["mean"]).alias("_v"))
-    packed = F.sort_array(F.collect_list(F.struct("label", "boot", "_v")))
-    return rows.groupBy(*by, "domain").agg(packed.alias("_a")).select(*by, "domain", F.transform("_a", lambda s: s["_v"]).alias("w"))
+
+def packed_means(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(..., domain, w): ``features.bootstrap_vectors`` of a domain, bootstraps by coordinates, ordered by (label, boot)."""
+    packed = F.sort_array(F.collect_list(F.struct("label", "boot", "v")))
+    return vectors.groupBy(*by, "domain").agg(packed.alias("_a")).select(*by, "domain", F.transform("_a", lambda s: s["v"]).alias("w"))
 
 
 def _matrices(group: pd.DataFrame) -> tuple[list, list[np.ndarray]]:
@@ -226,22 +327,16 @@ def canonical_ranking(packed: DataFrame, by: tuple[str, ...]) -> DataFrame:
     them, than the dimensions of both together; with fewer, two vectors always
     agree on some direction and the correlation is 1.
     """
-    a = packed.select(*by, F.col("domain").alias("target"), F.col("w").alias("_a"))
-    b = packed.select(*by, F.col("domain").alias("source"), F.col("w").alias("_b"))
-
     @F.pandas_udf("double")
     def first(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([float(al.canonical(np.stack(p).T, np.stack(q).T)[0]) for p, q in zip(x, y, strict=True)])
 
-    rows = a.join(b, list(by)).where("target <> source").select(*by, "target", "source", first("_a", "_b").alias("correlation"))
+    rows = domain_pairs(packed, by, ordered=True).select(*by, F.col("domain_a").alias("target"), F.col("domain_b").alias("source"), first("a", "b").alias("correlation"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by, "target").orderBy(F.desc("correlation"), "source")))
 
 
 def covariance_pairs(packed: DataFrame, by: tuple[str, ...], components: int = 8) -> DataFrame:
     """(..., domain_a, domain_b, component, value): maximum covariance analysis of every pair of domains."""
-    a = packed.select(*by, F.col("domain").alias("domain_a"), F.col("w").alias("_a"))
-    b = packed.select(*by, F.col("domain").alias("domain_b"), F.col("w").alias("_b"))
-
     @F.pandas_udf("array<double>")
     def values(x: pd.Series, y: pd.Series) -> pd.Series:
         def pair(p, q) -> list[float]:
@@ -251,5 +346,21 @@ def covariance_pairs(packed: DataFrame, by: tuple[str, ...], components: int = 8
 
         return pd.Series([pair(p, q) for p, q in zip(x, y, strict=True)])
 
-    rows = a.join(b, list(by)).where("domain_a < domain_b").select(*by, "domain_a", "domain_b", F.posexplode(values("_a", "_b")).alias("component", "value"))
+    rows = domain_pairs(packed, by).select(*by, F.col("domain_b").alias("domain_a"), F.col("domain_a").alias("domain_b"), F.posexplode(values("b", "a")).alias("component", "value"))
     return rows.withColumn("component", F.col("component") + 1)
+
+
+def covariance_sets(packed: DataFrame, by: tuple[str, ...], components: int = 8, tol: float = 1e-8) -> DataFrame:
+    """(..., domain, rounds, b): maximum covariance analysis of all domains of a group, two or more.
+
+    ``b`` has one array for each component; ``features.apply_model`` applies it to
+    training and test vectors alike. Filters are orthonormal; components fall by shared covariance.
+    """
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        domains, w = _matrices(group)
+        found = al.orthogonal_alignment(w, components, tol)
+        keys = [group[c].iloc[0] for c in by]
+        return pd.DataFrame([[*keys, d, found.rounds, u.T.tolist()] for d, u in zip(domains, found.u, strict=True)], columns=[*by, "domain", "rounds", "b"])
+
+    return packed.groupBy(*by).applyInPandas(one, _schema(packed, by) + f"domain {_kind(packed, 'domain')}, rounds int, b array<array<double>>")

@@ -49,14 +49,23 @@ def trace_normalised(covs: DataFrame, channels: int) -> DataFrame:
     return covs.withColumn("_tr", trace).withColumn("c", F.transform("c", lambda v: v / F.col("_tr"))).drop("_tr")
 
 
-def super_trials(trials: DataFrame, prototypes: DataFrame, splits: DataFrame) -> DataFrame:
-    """Trials of every split with the split's prototype beside each sample: x has both, channels first.
+def explained_variance(covs: DataFrame, mixing: np.ndarray, filters: np.ndarray) -> DataFrame:
+    """(..., source, variance, unit_variance): the variance that each source explains of packed covariances.
 
-    ``prototypes`` has (recording_id, split, dt, p); ``splits`` names the role of each trial.
+    Source i has row i of ``mixing`` as its pattern a and row i of ``filters`` as its
+    filter b: ``variance`` is |a|^2 b'Cb, ``unit_variance`` the same with a and b of length one.
     """
-    rows = trials.join(splits.select(*_TRIAL, "split", "role"), list(_TRIAL))
-    rows = rows.join(prototypes, ["recording_id", "split", "dt"])
-    return rows.withColumn("x", F.concat("x", "p")).drop("p")
+    keys = [n for n in covs.columns if n not in ("n", "c")]
+    pairs = _pairs(filters.shape[1])
+
+    def quadratic(b: np.ndarray) -> Column:
+        return sum((F.col("c")[at] * float(b[i] * b[j] * (1 if i == j else 2)) for at, (i, j) in enumerate(pairs)), F.lit(0.0))
+
+    found = [
+        F.struct(F.lit(i + 1).alias("source"), (quadratic(b) * float(a @ a)).alias("variance"), quadratic(b / np.linalg.norm(b)).alias("unit_variance"))
+        for i, (a, b) in enumerate(zip(mixing, filters, strict=True))
+    ]
+    return covs.select(*keys, F.explode(F.array(*found)).alias("_s")).select(*keys, "_s.*")
 
 
 def packed_trials(trials: DataFrame, by: tuple[str, ...] = _TRIAL) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import arrays
+
 
 #: Parts in which the rows of a class are numbered.
 PARTS = 64
@@ -38,30 +42,30 @@ def draws(features: DataFrame, n_boot: int, boot_size: int, seed: int = 1, by: t
     return placed.join(wanted, [*own, "_at"]).select(*own, "boot", "draw", "trial_no")
 
 
-def bootstrap_means(features: DataFrame, drawn: DataFrame, by: tuple[str, ...] = ("domain",)) -> DataFrame:
-    """(..., label, boot, coord, mean): the mean vector of every bootstrap, one row a coordinate."""
+def bootstrap_vectors(features: DataFrame, drawn: DataFrame, by: tuple[str, ...] = ("domain",), size: int | None = None) -> DataFrame:
+    """(..., label, boot, v): the mean vector of every bootstrap; ``size`` is the length of ``v``, if known."""
     own = [*by, "label"]
     rows = drawn.join(features.select(*own, "trial_no", "v"), [*own, "trial_no"])
-    return rows.select(*own, "boot", F.posexplode("v").alias("_i", "_v")).groupBy(*own, "boot", (F.col("_i") + 1).alias("coord")).agg(F.avg("_v").alias("mean"))
+    return rows.groupBy(*own, "boot").agg(arrays.mean("v", size).alias("v"))
+
 
+def bootstrap_means(features: DataFrame, drawn: DataFrame, by: tuple[str, ...] = ("domain",), size: int | None = None) -> DataFrame:
+    """(..., label, boot, coord, mean): ``bootstrap_vectors``, one row a coordinate."""
+    rows = bootstrap_vectors(features, drawn, by, size).select(*by, "label", "boot", F.posexplode("v").alias("coord", "mean"))
+    return rows.withColumn("coord", F.col("coord") + 1)
 
-def centred(features: DataFrame) -> DataFrame:
+
+def centred(features: DataFrame, size: int | None = None) -> DataFrame:
     """Vectors minus their domain's mean vector, then over the mean norm of what is left.
 
     Means are aggregates by coordinate; they come back as one short row per domain.
     """
-    means = _mean_vectors(features)
+    means = features.groupBy("domain").agg(arrays.mean("v", size).alias("_m"))
     rows = features.join(means, "domain")
     rows = rows.withColumn("v", F.zip_with("v", "_m", lambda a, b: a - b)).drop("_m")
     return norm_scaled(rows, ("domain",))
 
 
-def _mean_vectors(features: DataFrame) -> DataFrame:
-    long = features.select("domain", F.posexplode("v").alias("_i", "_v")).groupBy("domain", "_i").agg(F.avg("_v").alias("_v"))
-    packed = F.array_sort(F.collect_list(F.struct("_i", "_v")))
-    return long.groupBy("domain").agg(packed.alias("_a")).select("domain", F.transform("_a", lambda s: s["_v"]).alias("_m"))
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
@@ -73,12 +77,35 @@ def norm_scaled(features: DataFrame, by: tuple[str, ...] = ("domain",)) -> DataF
     return rows.withColumn("v", F.transform("v", lambda x: x / F.col("_s"))).drop("_s")
 
 
-def cross_covariances(means: DataFrame) -> DataFrame:
-    """(domain_a, domain_b, coord_a, coord_b, c), a > b: sums over bootstraps of products of coordinates."""
-    a = means.select(F.col("domain").alias("domain_a"), "label", "boot", F.col("coord").alias("coord_a"), F.col("mean").alias("_a"))
-    b = means.select(F.col("domain").alias("domain_b"), "label", "boot", F.col("coord").alias("coord_b"), F.col("mean").alias("_b"))
-    pairs = a.join(b, ["label", "boot"]).where("domain_a > domain_b")
-    return pairs.groupBy("domain_a", "domain_b", "coord_a", "coord_b").agg(F.sum(F.col("_a") * F.col("_b")).alias("c"))
+def domain_pairs(packed: DataFrame, by: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """(..., domain_a, domain_b, a, b): the packed matrices of every two domains of a group, b the smaller id unless ``ordered``.
+
+    A group's ids, not its matrices, are gathered and dealt to each domain; the
+    other matrix then comes by an equality join on the whole key.
+    """
+    keys = [*by, "_all"]
+    rows = packed.withColumn("_all", F.lit(0))
+    known = rows.groupBy(*keys).agg(F.collect_set("domain").alias("_ids"))
+    other = F.col("domain_b") != F.col("domain_a") if ordered else F.col("domain_b") < F.col("domain_a")
+    a = rows.join(known, keys).select(*keys, F.col("domain").alias("domain_a"), F.col("w").alias("a"), F.explode("_ids").alias("domain_b")).where(other)
+    b = rows.select(*keys, F.col("domain").alias("domain_b"), F.col("w").alias("b"))
+    return a.join(b, [*keys, "domain_b"]).select(*by, "domain_a", "domain_b", "a", "b")
+
+
+def cross_covariances(packed: DataFrame) -> DataFrame:
+    """(domain_a, domain_b, coord_a, coord_b, c), a > b: sums over bootstraps of products of coordinates.
+
+    ``packed`` has (domain, w), w as bootstraps by coordinates in one order for all
+    domains (``alignment.packed_means``): one matrix product for each pair of domains.
+    """
+
+    @F.pandas_udf("array<double>")
+    def product(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([(np.stack(p).T @ np.stack(q)).ravel() for p, q in zip(a, b, strict=True)], dtype=object)
+
+    width = F.size(F.col("b")[0])
+    rows = domain_pairs(packed).select("domain_a", "domain_b", width.alias("_n"), F.posexplode(product("a", "b")).alias("_i", "c"))
+    return rows.select("domain_a", "domain_b", (F.floor(F.col("_i") / F.col("_n")) + 1).cast("int").alias("coord_a"), (F.col("_i") % F.col("_n") + 1).alias("coord_b"), "c")
 
 
 def apply_model(features: DataFrame, model: DataFrame, on: tuple[str, ...] = ("domain",)) -> DataFrame:
@@ -94,8 +121,7 @@ def apply_models(features: DataFrame, models: DataFrame, on: tuple[str, ...]) ->
     return features.join(models, list(on)).withColumn("v", F.transform("b", dot)).drop("b")
 
 
-def column_normalised(samples: DataFrame) -> DataFrame:
+def column_normalised(samples: DataFrame, channels: int) -> DataFrame:
     """Samples whose channels are divided by their sum over the recording."""
-    long = samples.select("recording_id", F.posexplode("x").alias("_i", "_v")).groupBy("recording_id", "_i").agg(F.sum("_v").alias("_s"))
-    sums = long.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_a")).select("recording_id", F.transform("_a", lambda s: s["_s"]).alias("_s"))
+    sums = samples.groupBy("recording_id").agg(arrays.total("x", channels).alias("_s"))
     return samples.join(sums, "recording_id").withColumn("x", F.zip_with("x", "_s", lambda a, b: a / b)).drop("_s")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import arrays
+
 _TRIAL = ("recording_id", "trial_no")
 
 
@@ -38,7 +40,7 @@ def project(trials: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def adaptive_weights(trials: DataFrame, means: DataFrame | None = None) -> DataFrame:
-    """(recording_id, trial_no, class, weight): inverse power, relative to the class mean of it.
+    """(recording_id, trial_no, class, weight): inverse power (null if it is 0), relative to the class mean of it.
 
     With ``means(recording_id, class, dt, m)`` the power is that of the trial minus its class mean.
     """
@@ -47,24 +49,39 @@ def adaptive_weights(trials: DataFrame, means: DataFrame | None = None) -> DataF
         trials = trials.join(means, ["recording_id", "class", "dt"])
         x = F.zip_with("x", "m", lambda a, b: a - b)
     rows = trials.groupBy(*_TRIAL, "class").agg(F.sum(power(x)).alias("_p"))
-    rows = rows.withColumn("_w", 1 / F.col("_p"))
+    rows = rows.withColumn("_w", F.try_divide(F.lit(1.0), "_p"))
     return rows.select(*_TRIAL, "class", (F.col("_w") / F.avg("_w").over(Window.partitionBy("recording_id", "class"))).alias("weight"))
 
 
 def norm_weights(trials: DataFrame) -> DataFrame:
     """As ``adaptive_weights``, by inverse norm."""
-    rows = trials.groupBy(*_TRIAL, "class").agg((1 / F.sqrt(F.sum(power(F.col("x"))))).alias("_w"))
+    rows = trials.groupBy(*_TRIAL, "class").agg(F.try_divide(F.lit(1.0), F.sqrt(F.sum(power(F.col("x"))))).alias("_w"))
     return rows.select(*_TRIAL, "class", (F.col("_w") / F.avg("_w").over(Window.partitionBy("recording_id", "class"))).alias("weight"))
 
 
-def class_mean(trials: DataFrame, weights: DataFrame | None = None, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    """(..., class, dt, channel, mean): arithmetic, or weighted by ``weights(recording_id, trial_no, weight)``."""
+def class_mean(trials: DataFrame, weights: DataFrame | None = None, by: tuple[str, ...] = ("recording_id",), channels: int | None = None) -> DataFrame:
+    """(..., class, dt, channel, mean): arithmetic, or weighted by ``weights(recording_id, trial_no, weight)``.
+
+    ``channels`` is the length of ``x``, if known.
+    """
     if weights is not None:
         trials = trials.join(weights.select(*_TRIAL, "weight"), list(_TRIAL))
-    keep = [*by, "class", "dt"]
-    long = trials.select(*keep, *(["weight"] if weights is not None else []), F.posexplode("x").alias("_c", "_v"))
-    mean = F.avg("_v") if weights is None else F.sum(F.col("weight") * F.col("_v")) / F.sum("weight")
-    return long.groupBy(*keep, (F.col("_c") + 1).alias("channel")).agg(mean.alias("mean"))
+    return _by_channel(trials, [*by, "class", "dt"], arrays.mean("x", channels, None if weights is None else "weight"), "mean")
+
+
+def powered(trials: DataFrame) -> DataFrame:
+    """Trials with ``weight``, the inverse power of the trial (null if it has none), in one pass."""
+    return trials.withColumn("weight", F.try_divide(F.lit(1.0), F.sum(power(F.col("x"))).over(Window.partitionBy(*_TRIAL))))
+
+
+def adaptive_mean(trials: DataFrame, by: tuple[str, ...] = ("recording_id",), channels: int | None = None) -> DataFrame:
+    """As ``class_mean`` with ``adaptive_weights``, reading the trials once: a class's common factor cancels in its mean."""
+    return _by_channel(powered(trials), [*by, "class", "dt"], arrays.mean("x", channels, "weight"), "mean")
+
+
+def _by_channel(trials: DataFrame, keys: list[str], found: Column, name: str) -> DataFrame:
+    rows = trials.groupBy(*keys).agg(found.alias("_a")).select(*keys, F.posexplode("_a").alias("channel", name))
+    return rows.withColumn("channel", F.col("channel") + 1)
 
 
 def wide_mean(means: DataFrame, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
@@ -73,25 +90,27 @@ def wide_mean(means: DataFrame, by: tuple[str, ...] = ("recording_id",)) -> Data
     return means.groupBy(*by, "class", "dt").agg(packed.alias("_a")).select(*by, "class", "dt", F.transform("_a", lambda s: s["mean"]).alias("m"))
 
 
-def lag_histogram(marks: DataFrame, wl: int, weights: DataFrame | None = None) -> DataFrame:
-    """(recording_id, class_i, class_j, lag, w): sums of weight products of onset pairs 0 <= lag < wl apart.
+def lag_histogram(marks: DataFrame, wl: int, weights: DataFrame | None = None, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """(..., class_i, class_j, lag, w): sums of weight products of onset pairs 0 <= lag < wl apart.
 
     The first rows of the block Toeplitz normal matrix. Onsets are cut into
     bands of ``wl`` samples, so the pairs meet by equality in two bands.
     """
-    m = marks.select("recording_id", F.col("class").alias("c"), F.col("t"), F.lit(1.0).alias("w")) if weights is None else weights.select("recording_id", F.col("class").alias("c"), F.col("onset").alias("t"), F.col("weight").alias("w"))
+    m = marks.select(*by, F.col("class").alias("c"), F.col("t"), F.lit(1.0).alias("w")) if weights is None else weights.select(*by, F.col("class").alias("c"), F.col("onset").alias("t"), F.col("weight").alias("w"))
     band = F.floor(F.col("t") / wl)
-    a = m.select("recording_id", F.col("c").alias("class_i"), F.col("t").alias("ta"), F.col("w").alias("wa"), F.explode(F.array(band, band + 1)).alias("b"))
-    b = m.select("recording_id", F.col("c").alias("class_j"), F.col("t").alias("tb"), F.col("w").alias("wb"), band.alias("b"))
+    a = m.select(*by, F.col("c").alias("class_i"), F.col("t").alias("ta"), F.col("w").alias("wa"), F.explode(F.array(band, band + 1)).alias("b"))
+    b = m.select(*by, F.col("c").alias("class_j"), F.col("t").alias("tb"), F.col("w").alias("wb"), band.alias("b"))
     lag = F.col("tb") - F.col("ta")
-    pairs = a.join(b, ["recording_id", "b"]).where((lag >= 0) & (lag < wl))
-    return pairs.groupBy("recording_id", "class_i", "class_j", lag.cast("int").alias("lag")).agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
+    pairs = a.join(b, [*by, "b"]).where((lag >= 0) & (lag < wl))
+    return pairs.groupBy(*by, "class_i", "class_j", lag.cast("int").alias("lag")).agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
 
 
-def toeplitz_rhs(trials: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(recording_id, class, dt, channel, total): weighted sums of windows, the right side of the overlap equations."""
+def toeplitz_rhs(trials: DataFrame, channels: int, weights: DataFrame | None = None, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """(..., class, dt, channel, total): weighted sums of windows, the right side of the overlap equations.
+
+    Without ``weights`` a column ``weight`` of the trials counts, if there is one.
+    """
     if weights is not None:
         trials = trials.join(weights.select(*_TRIAL, "weight"), list(_TRIAL))
-    w = F.col("weight") if weights is not None else F.lit(1.0)
-    long = trials.select("recording_id", "class", "dt", w.alias("_w"), F.posexplode("x").alias("_c", "_v"))
-    return long.groupBy("recording_id", "class", "dt", (F.col("_c") + 1).alias("channel")).agg(F.sum(F.col("_w") * F.col("_v")).alias("total"))
+    weight = "weight" if "weight" in trials.columns else None
+    return _by_channel(trials, [*by, "class", "dt"], arrays.total("x", channels, weight), "total")

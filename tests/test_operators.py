@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortwave.functions import alignment as al
+from cohortwave.functions import covariances as cov
+from cohortwave.functions import manifold
 from cohortwave.jobs import alignment_queries as queries
 from cohortwave.jobs import pipeline
 from cohortwave.operators import alignment, covariance, features, markers, overlap, rejection, selection, spectra, splits, trials
@@ -30,7 +33,7 @@ def test_overlap_correction_recovers_planted_responses(spark):
     samples = _recording(spark, stim, x)
     marks = markers.stim_to_marks(samples, wl)
     cut = trials.extract(samples, trials.numbered(marks), wl)
-    got = overlap.corrected_means(trials.lag_histogram(marks, wl), trials.toeplitz_rhs(cut), wl).collect()
+    got = overlap.corrected_means(trials.lag_histogram(marks, wl), trials.toeplitz_rhs(cut, 1), wl).collect()
     assert len(got) == 2 * wl
     assert all(abs(r["mean"] - shape[r["class"]][r["dt"]]) < 1e-5 for r in got)
 
@@ -275,3 +278,112 @@ def test_no_accuracy_without_rows_to_train_on(spark):
     rows = [(1, 1, "test", i, 1 + i % 2, [float(i)]) for i in range(4)] + [(1, 2, role, i, 1 + i % 2, [float(i % 2)]) for i in range(4) for role in ("train", "test")]
     frame = spark.createDataFrame(rows, "study int, domain int, role string, trial_no int, label int, v array<double>")
     assert {r.domain: r.acc for r in alignment.trained_alone(frame, ("study",)).collect()} == {1: None, 2: 1.0}
+
+
+def _trial_frames(spark, seed=5, channels=3, wl=6, n=14):
+    rng = np.random.default_rng(seed)
+    x = {(r, k): rng.normal(size=(wl, channels)) for r in (1, 2) for k in range(1, n + 1)}
+    label = lambda k: 1 + k % 2
+    rows = [(r, k, label(k), d, [float(c) for c in v]) for (r, k), w in x.items() for d, v in enumerate(w)]
+    cut = spark.createDataFrame(rows, "recording_id long, trial_no long, class int, dt int, x array<double>")
+    sets = [(r, k, label(k), s, "train" if (k + s) % 3 else "test") for r, k in x for s in (1, 2)]
+    return x, label, cut, sets, spark.createDataFrame(sets, "recording_id long, trial_no long, class int, split int, role string")
+
+
+def test_tangent_features_equal_a_plain_loop(spark):
+    x, label, cut, sets, frame = _trial_frames(spark)
+    packed = covariance.packed_trials(cut)
+    for with_prototype in (True, False):
+        made = alignment.prototypes(cut, frame, 2, 3) if with_prototype else None
+        for name, make, det in (("lw", cov.ledoit_wolf, False), ("scm", cov.scm, False), ("oas", cov.oas, True), ("nrtme", cov.regularised_tyler, False)):
+            if with_prototype and name == "scm":
+                continue  # six samples of six channels: singular
+            got = {(r.recording_id, r.split, r.role, r.trial_no): r.v for r in alignment.tangent_features(packed, made, frame, 3, name, det).collect()}
+            assert len(got) == len(sets)
+            for rec in (1, 2):
+                for split in (1, 2):
+                    p = np.mean([x[rec, k] for r, k, c, s, role in sets if (r, s, role, c) == (rec, split, "train", 2)], axis=0)
+                    for role in ("train", "test"):
+                        own = [k for r, k, c, s, o in sets if (r, s, o) == (rec, split, role)]
+                        c = make(np.stack([np.hstack((x[rec, k], p)) if with_prototype else x[rec, k] for k in own]))
+                        c = cov.unit_determinant(c) if det else c
+                        want = manifold.tangent_vectors(c, manifold.fisher_mean(c), 3)
+                        assert np.allclose([got[rec, split, role, k] for k in own], want, atol=1e-7)
+
+
+def test_covariances_need_a_prototype_of_their_split(spark):
+    _, _, cut, sets, frame = _trial_frames(spark)
+    made = alignment.prototypes(cut, frame.where("split = 1"), 2, 3)
+    got = alignment.super_covariances(covariance.packed_trials(cut), made, frame).collect()
+    assert {r.split for r in got} == {1} and len(got) == len(sets) / 2
+    with pytest.raises(ValueError):
+        alignment.super_covariances(cut, made, frame, "other")
+
+
+def test_prototype_options(spark):
+    wl, n = 4, 300
+    rng = np.random.default_rng(8)
+    shape = {1: rng.normal(size=(wl, 2)), 2: rng.normal(size=(wl, 2))}
+    stim, x = np.zeros(n, int), np.zeros((n, 2))
+    for at in sorted(rng.choice(n - wl, 70, replace=False)):
+        stim[at] = rng.integers(1, 3)
+        x[at : at + wl] += shape[stim[at]]
+    samples = _recording(spark, stim, x)
+    numbered = trials.numbered(markers.stim_to_marks(samples, wl))
+    cut = trials.extract(samples, numbered, wl)
+    whole = numbered.select("recording_id", "trial_no", "class", F.lit(1).alias("split"), F.lit("train").alias("role"))
+    freed = np.array(alignment.prototypes(cut, whole, 2, 2, wl=wl).first().p)
+    assert np.abs(freed - shape[2]).max() < 1e-5
+    plain = np.array(alignment.prototypes(cut, whole, 2, 2).first().p)
+    assert np.abs(plain - shape[2]).max() > 0.1  # windows overlap
+    own = [x[t : t + wl] for t in np.flatnonzero(stim == 2) if t + wl <= n]
+    w = np.array([1 / (v**2).sum() for v in own])
+    weighted = np.array(alignment.prototypes(cut, whole, 2, 2, adaptive=True).first().p)
+    assert np.allclose(weighted, np.tensordot(w / w.sum(), own, 1))
+    one = np.array(alignment.prototypes(cut, whole, 2, 2, components=1).first().p)
+    vector = np.linalg.eigh(cov.scm(plain))[1][:, -1:]
+    assert np.allclose(np.abs(one), np.abs(plain @ vector))
+    with pytest.raises(ValueError):
+        alignment.prototypes(cut, whole, 2, 2, components=3)
+
+
+def test_adaptive_mean_equals_weights_joined(spark, small):
+    from cohortwave.jobs import signal_queries
+
+    rows = signal_queries.line_trials(spark, small)
+    key = lambda r: (r.recording_id, r["class"], r.dt, r.channel)
+    want = {key(r): r.mean for r in trials.class_mean(rows, trials.adaptive_weights(rows)).collect()}
+    for channels in (None, 4):
+        got = {key(r): r.mean for r in trials.adaptive_mean(rows, channels=channels).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_trial_of_zeros_has_no_weight(spark):
+    rows = [(1, 1, 1, 0, [0.0]), (1, 1, 1, 1, [0.0]), (1, 2, 1, 0, [2.0]), (1, 2, 1, 1, [4.0])]
+    cut = spark.createDataFrame(rows, "recording_id long, trial_no long, class int, dt int, x array<double>")
+    assert sorted((r.dt, r.mean) for r in trials.adaptive_mean(cut, channels=1).collect()) == [(0, 2.0), (1, 4.0)]
+    assert {r.trial_no: r.weight for r in trials.adaptive_weights(cut).collect()} == {1: None, 2: 1.0}
+
+
+def test_orthogonal_alignment_finds_shared_components():
+    rng = np.random.default_rng(4)
+    hidden = rng.normal(size=(3, 400)) * np.array([[3.0], [2.0], [1.0]])
+    turns = [np.linalg.qr(rng.normal(size=(6, 6)))[0][:, :3] for _ in range(4)]
+    t = [q @ hidden + 0.01 * rng.normal(size=(6, 400)) for q in turns]
+    found = al.orthogonal_alignment(t, 3)
+    for u, x in zip(found.u, t, strict=True):
+        assert np.allclose(u.T @ u, np.eye(3), atol=1e-9)
+        assert np.corrcoef(u[:, 0] @ x, hidden[0])[0, 1] ** 2 > 0.98
+    first = found.u[0].T @ t[0]
+    assert all((np.einsum("ka,ka->k", first, u.T @ x) > 0).all() for u, x in zip(found.u, t, strict=True))
+    # two domains: the singular vectors of their cross-covariance
+    pair = al.orthogonal_alignment(t[:2], 3, tol=1e-14)
+    left = np.linalg.svd(t[0] @ t[1].T)[0][:, :3]
+    assert np.allclose(np.abs(left.T @ pair.u[0]), np.eye(3), atol=1e-2)
+
+
+def test_domain_pairs_are_all_pairs_once(spark):
+    frame = spark.createDataFrame([(g, d, [[float(d)]]) for g in (1, 2) for d in (3, 4, 5)], "seed int, domain int, w array<array<double>>")
+    got = sorted((r.seed, r.domain_a, r.domain_b, r.a[0][0], r.b[0][0]) for r in features.domain_pairs(frame, ("seed",)).collect())
+    assert got == [(g, a, b, float(a), float(b)) for g in (1, 2) for a in (3, 4, 5) for b in (3, 4, 5) if b < a]
+    assert features.domain_pairs(frame, ("seed",), ordered=True).count() == 12
