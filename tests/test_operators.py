@@ -387,3 +387,22 @@ def test_domain_pairs_are_all_pairs_once(spark):
     got = sorted((r.seed, r.domain_a, r.domain_b, r.a[0][0], r.b[0][0]) for r in features.domain_pairs(frame, ("seed",)).collect())
     assert got == [(g, a, b, float(a), float(b)) for g in (1, 2) for a in (3, 4, 5) for b in (3, 4, 5) if b < a]
     assert features.domain_pairs(frame, ("seed",), ordered=True).count() == 12
+
+
+def test_cached_stage_runs_once_for_each_configuration(spark, tmp_path):
+    runs = []
+
+    def stage(config, context):
+        runs.append(config.seed)
+        return {"out": context["samples"].withColumn("seed", F.lit(config.seed))}
+
+    context = {"samples": spark.range(3).toDF("t")}
+    kept = pipeline.cached(stage, f"file://{tmp_path}/kept", "out")
+    for seed in (1, 1, 2, 1):
+        got = pipeline.run([kept], pipeline.Config(seed=seed), context)["out"]
+        assert sorted((r.t, r.seed) for r in got.collect()) == [(0, seed), (1, seed), (2, seed)]
+    assert runs == [1, 2]
+    for mark in tmp_path.glob("kept/*/out/_SUCCESS"):
+        mark.unlink()
+    pipeline.run([kept], pipeline.Config(seed=2), context)
+    assert runs == [1, 2, 2]
