@@ -311,12 +311,38 @@ def band_pass(spark, sf_dir):
 )
 SELECT recording_id, class, bin, {", ".join(f"round(avg((a{i} * a{j} + b{i} * b{j}) / energy), 7) + 0.0 AS c{i}{j}" for i in range(1, 5) for j in range(1, 5))} FROM waves GROUP BY recording_id, class, bin""")
 def mean_cospectra(spark, sf_dir):
-    samples = line_samples(spark, sf_dir)
-    cut = trials.extract(samples, trials.numbered(markers.stim_to_marks(samples, 16)), 16)
-    rows = spectra.mean_cospectra(covariance.packed_trials(cut))
+    rows = spectra.mean_cospectra(covariance.packed_trials(_line_trials(spark, sf_dir, 16)), 16, CHANNELS)
     return rows.select("recording_id", "class", "bin", *[(F.round(F.col("c")[4 * i + j], 7) + 0.0).alias(f"c{i + 1}{j + 1}") for i in range(4) for j in range(4)])
 
 
+@query(f"""WITH {_trials(LINE_SAMPLES)}, bins(band, k, w) AS (VALUES (1, 1, 2.0), (1, 2, 2.0), (1, 3, 2.0), (2, 3, 2.0), (2, 4, 1.0)), d AS (SELECT unnest(range(0, {WL}))::INT AS dt), raw AS (
+  SELECT band, d.dt, s.dt AS s, sum(w / {WL} * cos(2 * pi() * k * (d.dt - s.dt) / {WL})) AS re, sum(w / {WL} * sin(2 * pi() * k * (d.dt - s.dt) / {WL})) AS im
+  FROM bins CROSS JOIN d CROSS JOIN d s GROUP BY band, d.dt, s.dt
+), kernel AS (
+  SELECT band, d.dt, s, sum((2 - abs(raw.dt - d.dt)) * re) / sum(2 - abs(raw.dt - d.dt)) AS re, sum((2 - abs(raw.dt - d.dt)) * im) / sum(2 - abs(raw.dt - d.dt)) AS im
+  FROM raw JOIN d ON abs(raw.dt - d.dt) < 2 GROUP BY band, d.dt, s
+), cells AS (SELECT *, unnest(x) AS v, unnest([1, 2, 3, 4]) AS channel FROM trials), waves AS (
+  SELECT recording_id, trial_no, class, band, k.dt, channel, sqrt(pow(sum(re * v), 2) + pow(sum(im * v), 2)) AS a FROM cells JOIN kernel k ON k.s = cells.dt GROUP BY recording_id, trial_no, class, band, k.dt, channel
+)
+SELECT recording_id, class, band, band * 2.0::DOUBLE AS frequency, dt, channel, round(avg(a), 7) AS amplitude FROM waves GROUP BY recording_id, class, band, dt, channel""")
+def time_frequency(spark, sf_dir):
+    """Eight samples a second, bands of 2 Hz around 2 and 4."""
+    rows = spectra.time_frequency(covariance.packed_trials(_line_trials(spark, sf_dir, WL)), WL, CHANNELS, 8.0, 2.0)
+    return rows.withColumn("amplitude", F.round("amplitude", 7))
+
+
+@query()
+def source_separation(spark, sf_dir):
+    cut = _line_trials(spark, sf_dir, 16)
+    means = trials.wide_mean(trials.class_mean(cut, channels=CHANNELS))
+    return spectra.separated(spectra.mean_cospectra(covariance.packed_trials(cut), 16, CHANNELS), means, CHANNELS)
+
+
+def _line_trials(spark, sf_dir: str, wl: int) -> DataFrame:
+    samples = line_samples(spark, sf_dir)
+    return trials.extract(samples, trials.numbered(markers.stim_to_marks(samples, wl)), wl)
+
+
 def _leadfield(channels: int = 64, voxels: int = 12) -> np.ndarray:
     return np.random.default_rng(5).normal(size=(channels, 3 * voxels))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import covariance, markers, overlap, rejection, selection, splits, trials
+from ..sources import ascii, recordings
 from ..sources.ascii import numbers
 from ..sources.tables import EMBEDDING_FEATURES, EVENT_SAMPLES, LABEL_PREDICTIONS, LINE_SAMPLES, embedding_features, event_samples, label_predictions, line_samples
+from ..streaming.scoring import shared_path
 
 WL = 8
 QUERIES: dict = {}
@@ -224,7 +226,29 @@ def reject_peak(spark, sf_dir):
     return rejection.reject_peaks(event_samples(spark, sf_dir), WL, 1.2)
 
 
-@query()
+def _hits(name: str, bad: str) -> str:
+    """The windows that a scan rejects among the bad ones: the first, then the first behind it, and so on."""
+    return f"""{name}(recording_id, t) AS (
+  SELECT recording_id, min(t) FROM {bad} GROUP BY recording_id
+  UNION ALL
+  SELECT h.recording_id, min(b.t) FROM {name} h JOIN {bad} b ON b.recording_id = h.recording_id AND b.t >= h.t + {WL} GROUP BY h.recording_id, h.t
+)"""
+
+
+@query(f"""WITH RECURSIVE {RANKED % (("ln(1 + sqrt(x * x))",) * 2)}, lows AS (
+  SELECT recording_id, any_value(middle) AS middle, min(frms) FILTER (frms > middle / 100) AS low FROM middles WHERE n // 2 > {WL} GROUP BY recording_id
+), limits AS (SELECT recording_id, low, middle + (middle - low) * 1.0 AS high FROM lows), scanned AS (
+  SELECT recording_id, t, stim, n, min(frms) OVER w AS least, max(frms) OVER w AS most FROM ranked
+  WINDOW w AS (PARTITION BY recording_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {WL - 1} FOLLOWING)
+), bad_low AS (
+  SELECT recording_id, t FROM scanned JOIN limits USING (recording_id) WHERE stim > 0 AND t + {WL - 1} <= n AND least < low
+), {_hits("hit_low", "bad_low")}, once AS (
+  SELECT s.*, EXISTS (SELECT 1 FROM hit_low h WHERE h.recording_id = s.recording_id AND h.t BETWEEN s.t - {WL - 1} AND s.t) AS gone FROM scanned s
+), bad_high AS (
+  SELECT recording_id, t FROM once JOIN limits USING (recording_id) WHERE stim > 0 AND NOT gone AND t + {WL - 1} <= n AND most > high
+), {_hits("hit_high", "bad_high")}
+SELECT recording_id, t, stim,
+  CASE WHEN gone OR EXISTS (SELECT 1 FROM hit_high h WHERE h.recording_id = o.recording_id AND h.t BETWEEN o.t - {WL - 1} AND o.t) THEN 0 ELSE stim END AS clean FROM once o""")
 def reject_scan(spark, sf_dir):
     return rejection.reject(event_samples(spark, sf_dir), WL, 1.0)
 
@@ -342,9 +366,31 @@ def _estimated(spark, sf_dir, estimator, det=False):
     return covariance.estimate(covariance.packed_trials(line_trials(spark, sf_dir)), estimator, det)
 
 
-@query()
+def _shrunk_sql(size: int) -> str:
+    """Covariances of LINE_TRIALS shrunk toward a constant correlation, entries as in ``_spread``."""
+    every = range(1, size + 1)
+    s = lambda i, j: f"s{max(i, j)}{min(i, j)}"
+    root = lambda i, j: f"sqrt({s(i, i)} * {s(j, j)})"
+    off = [(i, j) for i in every for j in every if i != j]
+    low = [(i, j) for i in every for j in every if j <= i]
+    spread = lambda i, j: f"(q{max(i, j)}{min(i, j)} - {s(i, j)} * {s(i, j)})"
+    rho = " + ".join(spread(i, i) for i in every) + " + r * (" + " + ".join(f"sqrt({s(j, j)} / {s(i, i)}) * (u{i}{j} - {s(i, i)} * {s(i, j)})" for i, j in off) + ")"
+    gamma = " + ".join(f"pow(r * {root(i, j)} - {s(i, j)}, 2)" for i, j in off)
+    entry = lambda i, j: s(i, i) if i == j else f"delta * r * {root(i, j)} + (1 - delta) * {s(i, j)}"
+    return f"""WITH {LINE_TRIALS}, centred AS (
+  SELECT recording_id, trial_no, class, {", ".join(f"x[{i}] - avg(x[{i}]) OVER (PARTITION BY recording_id, trial_no) AS d{i}" for i in every)} FROM trials
+), sums AS (
+  SELECT recording_id, trial_no, class, count(*) AS n, {", ".join(f"avg(d{i} * d{j}) AS s{i}{j}, avg(d{i} * d{i} * d{j} * d{j}) AS q{i}{j}" for i, j in low)},
+    {", ".join(f"avg(d{i} * d{i} * d{i} * d{j}) AS u{i}{j}" for i, j in off)} FROM centred GROUP BY ALL
+), r AS (SELECT *, ({" + ".join(f"{s(i, j)} / {root(i, j)}" for i, j in off)}) / {size * (size - 1)} AS r FROM sums), g AS (
+  SELECT *, {gamma} AS gamma, {" + ".join(spread(i, j) for i in every for j in every)} - ({rho}) AS gain FROM r
+), d AS (SELECT *, CASE WHEN gamma > 0 THEN least(1.0, greatest(0.0, gain / gamma / n)) ELSE 0.0 END AS delta FROM g)
+SELECT recording_id, trial_no, class, n, {", ".join(f"round({entry(i, j)}, 7) + 0.0 AS c{k + 1}" for k, (i, j) in enumerate(low))} FROM d"""
+
+
+@query(_shrunk_sql(4))
 def cov_ledoit_wolf(spark, sf_dir):
-    return _estimated(spark, sf_dir, "lw")
+    return _spread(_estimated(spark, sf_dir, "lw"), 4, 7)
 
 
 @query()
@@ -393,6 +439,27 @@ def select_top_n(spark, sf_dir):
     return selection.best_files(scores, 12)
 
 
+@query("SELECT c_custkey AS file, c_acctbal AS score FROM customer ORDER BY score, file LIMIT 12")
+def select_bottom_n(spark, sf_dir):
+    scores = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("file"), F.col("c_acctbal").alias("score"))
+    return selection.best_files(scores, 12, descending=False)
+
+
+@query("SELECT o_orderkey AS file, o_totalprice / 500000 AS score FROM orders WHERE o_totalprice / 500000 < 0.3")
+def select_below(spark, sf_dir):
+    scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("file"), (F.col("o_totalprice") / 500000).alias("score"))
+    return selection.beyond(scores, 0.3, above=False)
+
+
+@query("""SELECT o_orderkey AS stem, o_custkey AS subject, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS session, 1 AS run
+FROM orders ORDER BY stem LIMIT 50""")
+def recording_info(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    session = F.row_number().over(trials.Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    files = orders.select(F.col("o_orderkey").alias("stem"), F.col("o_custkey").alias("subject"), session.alias("session"), F.lit(1).alias("run"))
+    return recordings.info(files, 50)
+
+
 @query("SELECT o_orderkey AS file, o_totalprice / 500000 AS score FROM orders WHERE o_totalprice / 500000 > 0.7")
 def select_threshold(spark, sf_dir):
     scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("file"), (F.col("o_totalprice") / 500000).alias("score"))
@@ -444,3 +511,25 @@ def read_ascii(spark, sf_dir):
     line = F.concat_ws("   ", *[F.regexp_replace(F.col(c).cast("decimal(18,2)").cast("string"), r"\.", ",") for c in ("l_quantity", "l_extendedprice", "l_discount")])
     rows = li.select("l_orderkey", "l_linenumber", "l_partkey", numbers(F.concat(F.lit(" "), line, F.lit(" "))).alias("x"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(F.col("x")[i], 6).alias(f"x{i + 1}") for i in range(3)])
+
+
+@query("""SELECT CASE l_returnflag WHEN 'A' THEN 1 ELSE 3 END AS file, l_orderkey::DOUBLE AS x1, round(l_extendedprice, 2) AS x2, round(l_discount, 2) AS x3
+FROM lineitem WHERE l_returnflag IN ('A', 'R')""")
+def read_many_ascii(spark, sf_dir):
+    """Three matrices written as text and read again, the second of them skipped."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("x", F.array(F.col("l_orderkey").cast("double"), "l_extendedprice", "l_discount"))
+    folder = shared_path(spark, "ascii")
+    paths = [f"{folder}/{flag}" for flag in "ANR"]
+    for flag, path in zip("ANR", paths, strict=True):
+        ascii.write_matrix(li.where(F.col("l_returnflag") == flag), path)
+    rows = ascii.read_matrices(spark, paths, skip=(2,))
+    return rows.select("file", *[F.round(F.col("x")[i], 2 if i else 0).alias(f"x{i + 1}") for i in range(3)])
+
+
+@query("SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier")
+def read_xml(spark, sf_dir):
+    """Suppliers written as XML and read again."""
+    path = shared_path(spark, "xml")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    rows.write.format("xml").option("rowTag", "supplier").save(path)
+    return recordings.read_xml(spark, path, "supplier", rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))

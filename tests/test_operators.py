@@ -406,3 +406,63 @@ def test_cached_stage_runs_once_for_each_configuration(spark, tmp_path):
         mark.unlink()
     pipeline.run([kept], pipeline.Config(seed=2), context)
     assert runs == [1, 2, 2]
+
+
+def test_text_files_by_line_row_range_and_ordinal(spark, tmp_path):
+    samples = _recording(spark, [0] * 6, range(6))
+    paths = [str(tmp_path / name) for name in "abc"]
+    for path, ends in zip(paths, ((1, 2), (3, 4), (5, 9)), strict=True):
+        text.write_matrix(samples, path, between=ends)
+    got = text.read_matrices(spark, paths, skip=(2,)).collect()
+    assert sorted((r.file, r.x) for r in got) == [(1, [0.0]), (1, [1.0]), (3, [4.0]), (3, [5.0])]
+    assert text.read_matrices(spark, paths, skip=(1, 2, 3)).collect() == []
+    text.write_lines(spark.createDataFrame([("Fz",), (None,)], "value string").coalesce(1), str(tmp_path / "lines"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["Fz", ""]
+    text.write_vector(spark.createDataFrame([(" 1 2 ",)], "value string"), str(tmp_path / "vector"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "vector")).collect()] == ["12"]
+    with pytest.raises(Exception, match="already exists"):
+        text.write_lines(spark.createDataFrame([("x",)], "value string"), str(tmp_path / "lines"))
+
+
+def test_folders_xml_and_first_files(spark, tmp_path):
+    for name in ("db_a", "db_b", "other"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "db_file").write_text("x")
+    assert [r.name for r in recordings.list_folders(spark, str(tmp_path), "db").collect()] == ["db_a", "db_b"]
+    (tmp_path / "montage.xml").write_text("<all><channel><name>Fz</name><place>1</place></channel><channel><name>Cz</name></channel></all>")
+    found = recordings.read_xml(spark, str(tmp_path / "montage.xml"), "channel", "name string, place int").collect()
+    assert sorted((r.name, r.place) for r in found) == [("Cz", None), ("Fz", 1)]
+    files = spark.createDataFrame([("b", 2, 1, 1), ("a", 1, 1, 1), ("c", 3, 1, 1)], "stem string, subject int, session int, run int")
+    assert [r.stem for r in recordings.info(files, 2).collect()] == ["a", "b"]
+    assert recordings.info(files, 0).count() == 3
+
+
+def test_amplitude_of_a_tone_and_shape_of_trials(spark):
+    wl, rate = 32, 32.0
+    tone = np.stack([3 * np.sin(2 * np.pi * 8 * np.arange(wl) / rate + 0.7), np.zeros(wl)], axis=1)
+    packed = spark.createDataFrame([(1, 1, k, [[float(c) for c in row] for row in tone]) for k in range(3)], "recording_id long, class int, trial_no long, x array<array<double>>")
+    got = spectra.time_frequency(packed, wl, 2, rate, 4.0, 12.0, smoothing=False).collect()
+    assert len(got) == 3 * wl * 2 and {(r.band, r.frequency) for r in got} == {(1, 4.0), (2, 8.0), (3, 12.0)}
+    assert all(abs(r.amplitude - (3.0 if r.frequency == 8.0 and r.channel == 1 else 0.0)) < 1e-9 for r in got)
+    with pytest.raises(Exception, match="a trial of 32 samples"):
+        spectra.time_frequency(packed, 16, 2, rate, 4.0).collect()
+
+
+def test_separation_finds_planted_sources(spark):
+    rng, channels, wl = np.random.default_rng(8), 3, 64
+    mixing = rng.normal(size=(channels, channels))
+    t = np.arange(wl)
+    rows = []
+    for k in range(60):
+        source = np.stack([np.sin(2 * np.pi * f * t / wl + rng.uniform(0, 6.3)) for f in (5, 11, 19)], axis=1) + 0.05 * rng.normal(size=(wl, channels))
+        source[:, 1] += np.exp(-((t - 20) ** 2) / 20)
+        rows += [(1, k, 1, int(d), v.tolist()) for d, v in enumerate(source @ mixing.T)]
+    cut = spark.createDataFrame(rows, "recording_id long, trial_no long, class int, dt int, x array<double>")
+    means = trials.wide_mean(trials.class_mean(cut, channels=channels))
+    got = spectra.separated(spectra.mean_cospectra(covariance.packed_trials(cut), wl, channels), means, channels).orderBy("component").collect()
+    found = np.array([r["pattern"] for r in got])
+    like = np.abs(found / np.linalg.norm(found, axis=1, keepdims=True) @ (mixing / np.linalg.norm(mixing, axis=0)))
+    assert sorted(like.argmax(axis=1)) == [0, 1, 2] and like.max(axis=1).min() > 0.99
+    assert like[0].argmax() == 1 and got[0]["ratio"] > got[1]["ratio"] >= got[2]["ratio"]
+    empty = spectra.separated(spectra.mean_cospectra(covariance.packed_trials(cut), wl, channels), means.where("false"), channels)
+    assert empty.collect() == []
