@@ -5,7 +5,7 @@ import pytest
 
 from cohortwave.functions import alignment as al
 from cohortwave.functions import covariances as cov
-from cohortwave.functions import filters, linear, manifold
+from cohortwave.functions import filters, linear, manifold, separation
 
 RNG = np.random.default_rng(0)
 
@@ -153,3 +153,23 @@ def test_inverse_solutions():
 def test_mean_normalised():
     x, rounds = filters.mean_normalised(RNG.uniform(1, 2, (6, 5)))
     assert rounds < 100 and np.allclose(x.mean(axis=0), 1, atol=1e-6) and np.allclose(x.mean(axis=1), 1)
+
+
+@pytest.mark.parametrize("n", [1, 5, 128, 300])
+def test_filter_blocks_equal_a_plain_recursion(n):
+    x = np.random.default_rng(n).normal(size=(n, 2))
+    for b, a in filters.butterworth_band(1, 20, 128.0):
+        plain, before, after = np.empty_like(x), [x[0], x[0]], [b.sum() / a.sum() * x[0]] * 2
+        for t in range(n):
+            plain[t] = b[0] * x[t] + b[1] * before[0] + b[2] * before[1] - a[1] * after[0] - a[2] * after[1]
+            before, after = [x[t], before[0]], [plain[t], after[0]]
+        assert np.allclose(filters._run(b, a, x), plain, atol=1e-10)
+
+
+def test_rotations_diagonalise_what_can_be():
+    rng = np.random.default_rng(4)
+    q = np.linalg.qr(rng.normal(size=(5, 5)))[0]
+    c = np.stack([q @ np.diag(rng.normal(size=5)) @ q.T for _ in range(6)])
+    v = separation.joint_diagonaliser(c)
+    found = v.T @ c @ v
+    assert np.abs(found - found * np.eye(5)).max() < 1e-8 and np.allclose(v.T @ v, np.eye(5))
