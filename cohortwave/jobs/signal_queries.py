@@ -385,12 +385,12 @@ def _shrunk_sql(size: int) -> str:
 ), r AS (SELECT *, ({" + ".join(f"{s(i, j)} / {root(i, j)}" for i, j in off)}) / {size * (size - 1)} AS r FROM sums), g AS (
   SELECT *, {gamma} AS gamma, {" + ".join(spread(i, j) for i in every for j in every)} - ({rho}) AS gain FROM r
 ), d AS (SELECT *, CASE WHEN gamma > 0 THEN least(1.0, greatest(0.0, gain / gamma / n)) ELSE 0.0 END AS delta FROM g)
-SELECT recording_id, trial_no, class, n, {", ".join(f"round({entry(i, j)}, 7) + 0.0 AS c{k + 1}" for k, (i, j) in enumerate(low))} FROM d"""
+SELECT recording_id, trial_no, class, n, {", ".join(f"round({entry(i, j)}, 8) + 0.0 AS c{k + 1}" for k, (i, j) in enumerate(low))} FROM d"""
 
 
 @query(_shrunk_sql(4))
 def cov_ledoit_wolf(spark, sf_dir):
-    return _spread(_estimated(spark, sf_dir, "lw"), 4, 7)
+    return _spread(_estimated(spark, sf_dir, "lw"), 4)
 
 
 @query()
