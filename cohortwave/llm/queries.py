@@ -6,6 +6,7 @@ from .ann import op2_ivf_pq_search
 from .decontamination import op5_benchmark_decontamination
 from .language_id import op3_language_id
 from .line_dedup import op9_line_dedup
+from .merkle import op13_merkle_manifest
 from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
 from .quality import op10_quality_classifier
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
