@@ -9,6 +9,7 @@ from .line_dedup import op9_line_dedup
 from .merkle import op13_merkle_manifest
 from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
+from .periodic_runs import op11_periodic_runs
 from .quality import op10_quality_classifier
 from .sharding import op8_kd_sharding
 from .token_counts import op6_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
