@@ -142,7 +142,7 @@ def folded(shown: Column, path: Column) -> Column:
 
 @dataclass
 class Manifest:
-    """``leaves(_tree, _rank, _nodes, _digest, _row)``; the trees of the sources; the tree above them, whose ranks ``sources(_tree, _rank)`` has."""
+    """``leaves(_tree, _rank, _nodes, _digest, _row)``; the trees of the sources; the tree above them, whose ranks ``sources(_tree, _rank, _source)`` has."""
 
     leaves: DataFrame
     trees: Forest
@@ -152,7 +152,7 @@ class Manifest:
     def prove(self, requests: DataFrame) -> DataFrame:
         """``requests(_tree, _rank, ...)``, ranks from 0 in a source's tree, with ``_digest`` (the leaf), ``_path``, ``_subroot`` and ``_root``."""
         start = self.top.roots().select("_tree", "_height", "_digest", F.expr("cast(array() AS array<struct<l string, r string>>)").alias("_path"), F.col("_digest").alias("_root"))
-        tops = descended(self.top, start, self.sources.select(F.lit("").alias("_tree"), "_rank", F.col("_tree").alias("_source"))).select(F.col("_source").alias("_tree"), "_path", "_root")
+        tops = descended(self.top, start, self.sources).select(F.col("_source").alias("_tree"), "_path", "_root")
         starts = self.trees.roots().withColumn("_subroot", F.col("_digest")).join(tops, "_tree")
         return descended(self.trees, written(starts, "merkle-starts"), requests)
 
@@ -173,7 +173,7 @@ def manifest(docs: DataFrame, *carried: Column) -> Manifest:
     trees = grown(leaves.drop("_row"))
     roots = written(trees.roots(), "merkle-roots").withColumnsRenamed({"_tree": "_source"}).withColumn("_tree", F.lit(""))
     tops = ranked(roots, "_tree", ["_source"], "merkle-sources")
-    return Manifest(leaves, trees, tops.select(F.col("_source").alias("_tree"), "_rank"), grown(tops.select("_tree", "_rank", "_nodes", "_digest")))
+    return Manifest(leaves, trees, tops.select("_tree", "_rank", "_source"), grown(tops.select("_tree", "_rank", "_nodes", "_digest")))
 
 
 def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from .near_dedup import op7_simhash_near_dedup
 from .periodic_runs import op11_periodic_runs
 from .quality import op10_quality_classifier
 from .sharding import op8_kd_sharding
+from .suffix_dedup import op12_suffix_dedup
 from .token_counts import op6_token_counts
 from .warc import OP1_SQL, op1_warc_index
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
