@@ -9,6 +9,7 @@ from .line_dedup import op9_line_dedup
 from .merkle import op13_merkle_manifest
 from .mixing import OP4_SQL, op4_source_mixing
 from .near_dedup import op7_simhash_near_dedup
+from .oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from .periodic_runs import op11_periodic_runs
 from .quality import op10_quality_classifier
 from .sharding import op8_kd_sharding
@@ -35,4 +36,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": OP1_SQL,
     "op4_source_mixing": OP4_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_suffix_dedup": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
