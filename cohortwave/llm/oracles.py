@@ -47,9 +47,9 @@ FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN ranked r ON r.doc_id = t.doc_id
 
 _REPEATS_SQL = """
 WITH t AS (
-  SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents
 ), windows AS (
-  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS bytes FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM t)
+  SELECT doc_id, i, b[i + 1 : i + 50] AS bytes FROM (SELECT doc_id, b, unnest(range(n - 49)) AS i FROM t)
 ), firsts AS (
   SELECT bytes, min(doc_id) AS first FROM windows GROUP BY bytes HAVING min(doc_id) < max(doc_id)
 ), late AS (
@@ -59,10 +59,10 @@ WITH t AS (
 ), pieces AS (
   SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS behind FROM spans
 ), cut AS (
-  SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * behind + 1, 2 * (a - behind)), '' ORDER BY a) AS kept FROM pieces JOIN t USING (doc_id) GROUP BY doc_id
+  SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(b[behind + 1 : a]), '' ORDER BY a) AS kept FROM pieces JOIN t USING (doc_id) GROUP BY doc_id
 )
 SELECT t.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1 : n]))) AS kept_sha256
 FROM t LEFT JOIN cut USING (doc_id)
 """
 
