@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -42,6 +43,8 @@ SLICE_BYTES, BUCKET = 8 << 20, 200_000
 FREQUENT = 1 / 16
 #: Windows that are hashed at once.
 CHUNK = 1 << 16
+#: Bytes of an anchor's hash that are sent: which anchors repeat is a proposal.
+KEY = 6
 #: A null id counts as the largest.
 NO_ID = (1 << 63) - 1
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -284,13 +287,18 @@ def _ask(rows: pa.Table, buckets: int) -> pa.Table:
     """Step 1, a slice: its anchors, by bucket."""
     keys, _, info = _own(rows).anchors()
     parts = _by_bucket(bucket_of(keys, buckets))
+    short = keys.view(np.uint8).reshape(-1, 8)[:, 8 - KEY :]
     number = rows["_slice"][0].as_py()
-    return _table(bucket=[b for b, _, _ in parts], slice=[number] * len(parts), keys=[keys[a:z].tobytes() for _, a, z in parts], info=[info[a:z].tobytes() for _, a, z in parts])
+    return _table(bucket=[b for b, _, _ in parts], slice=[number] * len(parts), keys=[short[a:z].tobytes() for _, a, z in parts], info=[info[a:z].tobytes() for _, a, z in parts])
 
 
 def _answer(rows: pa.Table, frequent: float) -> pa.Table:
     """Step 1, a bucket: 0 for an anchor of one document, 1 for a repeated one, 2 for a very frequent one."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
+    keys = []
+    for packed_keys in rows["keys"].to_pylist():
+        whole = np.zeros((len(packed_keys) // KEY, 8), np.uint8)
+        whole[:, 8 - KEY :] = np.frombuffer(packed_keys, np.uint8).reshape(-1, KEY)
+        keys.append(whole.view(np.uint64)[:, 0])
     info = np.concatenate([np.frombuffer(k, np.uint8) for k in rows["info"].to_pylist()])
     values, of, slices = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     counts = np.bincount(of, weights=2.0 ** (info // 2 - 1.0), minlength=len(values))
@@ -325,11 +333,13 @@ def _send(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     bodies = []
     for a, z in spans:
         held = np.arange(ROW) < out.size[a:z, None]
-        bodies.append(out.size[a:z].astype(np.uint8).tobytes() + own.rows(out.start[a:z], out.size[a:z])[held].tobytes())
+        body = out.size[a:z].astype(np.uint8).tobytes() + own.rows(out.start[a:z], out.size[a:z])[held].tobytes()
+        bodies.append(zstandard.compress(body, 1))
     return _table(bucket=every, slice=[number] * len(every), status=[told.get(b, b"") for b in every], firsts=[out.doc[a:z].tobytes() for a, z in spans], rows=bodies)
 
 
 def _unpacked(body: bytes, many: int) -> np.ndarray:
+    body = zstandard.decompress(body)
     sizes = np.frombuffer(body, np.uint8, many)
     rows = np.zeros((many, ROW), np.uint8)
     rows[np.arange(ROW) < sizes[:, None]] = np.frombuffer(body, np.uint8, offset=many)
