@@ -32,8 +32,8 @@ BREAK = "\r\n"
 ARCHIVE_RECORDS = 4096
 #: Captures that one range merges, about.
 RANGE_ROWS = 50_000
-#: The table has no capture times: page n is taken as captured n seconds after this.
-FIRST_CAPTURE = 1_700_000_000
+#: The table has no capture times: page n is taken as captured n seconds after this, counted anew after ``TIMES`` of them (4300 years).
+FIRST_CAPTURE, TIMES = 1_700_000_000, 1 << 37
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -141,7 +141,7 @@ def record_column() -> Column:
     block = F.concat(http, F.when(response, html).otherwise(""))
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
     # of no time zone, so that a session's own changes nothing
-    moment = F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {FIRST_CAPTURE} + coalesce(page_id, 0))")
+    moment = F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {FIRST_CAPTURE} + pmod(coalesce(page_id, 0L), {TIMES}L))")
     date = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(":"), "payload_digest", F.lit(">"))
     fields = [
@@ -275,8 +275,10 @@ def capture_history(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFr
     """Archive ``pages`` under ``path``, read the archives back and merge their index.
 
     One row per page: the index columns. A null html is an empty payload; a null
-    URL has the empty key and comes first; a null page_id is kept. Rows that
-    repeat are archived each. An empty table gives an empty history.
+    URL has the empty key and comes first; a null page_id is kept. Any LONG is a
+    page_id: ids that differ by a multiple of ``TIMES`` share a time and follow in
+    their own order. Rows that repeat are archived each. An empty table gives an
+    empty history.
     """
     write_archives(planned(pages, least_bytes), path)
     return merge_runs(capture_runs(pages.sparkSession, path))
