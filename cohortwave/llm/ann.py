@@ -115,18 +115,19 @@ def with_codebooks(coarse: Quantiser, sample: np.ndarray) -> Quantiser:
     return replace(model, margin=float(np.quantile(np.maximum(0, last[:, None] - true), WITHIN)))
 
 
-def valid_vectors(table: DataFrame) -> DataFrame:
+def valid_vectors(table: DataFrame, length: int | None = None) -> DataFrame:
     """(vec_id, vector); null, empty, zero, and not wholly finite vectors have no part.
 
-    Of vectors of several lengths, those of the commonest count (of equals, the
-    shortest). Of rows that repeat a vec_id with another vector, the one of the
+    Of vectors of several lengths, those of ``length`` count, or else of the
+    commonest (of equals, the shortest). Of rows that repeat a vec_id with another vector, the one of the
     least vector counts.
     """
     whole = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = table.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda x: x != 0))
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if length is not None:
-        rows = rows.where(F.size("embedding") == length["n"])
+    if length is None:
+        common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        length = common["n"] if common else 0
+    rows = rows.where(F.size("embedding") == length)
     rows = written(rows.select("vec_id", F.col("embedding").alias("vector")), "vectors")
     again = written(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated-ids")
     if again.isEmpty():
@@ -193,8 +194,10 @@ def search(table: DataFrame, asked: DataFrame, k: int = NEIGHBOURS, sample_rows:
 
     ``table`` and ``asked`` have vec_id and embedding. A query's own vec_id is no
     candidate. Ties go to the smaller vec_id. Rows that repeat count once, and
-    one vec_id is one vector (see ``valid_vectors``). Without valid vectors the
-    result is empty.
+    one vec_id is one vector (see ``valid_vectors``). Queries of another length
+    than the table's vectors have no part. A query that meets fewer than ``k``
+    candidates in its cells is searched for again in all of them. Without valid
+    vectors the result is empty.
     """
     spark = table.sparkSession
     rows = valid_vectors(table)
@@ -222,7 +225,7 @@ def search(table: DataFrame, asked: DataFrame, k: int = NEIGHBOURS, sample_rows:
                 yield pd.DataFrame({"cell": cells, "codes": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x.astype(kind)], "ids": b["ids"]})
 
     index = written(vectors.mapInPandas(coded, "cell int, codes binary, vector binary, ids array<long>"), "index")
-    queries = valid_vectors(asked).distinct()
+    queries = written(valid_vectors(asked, sample.shape[1]).distinct(), "queries")
     model = replace(model, probes=_probes(index, queries, model, kind, k, recall))
     first, parts = _blocks(len(model.centres), {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()})
     release(vectors)
@@ -230,6 +233,26 @@ def search(table: DataFrame, asked: DataFrame, k: int = NEIGHBOURS, sample_rows:
     cells = spark.createDataFrame(list(zip(range(len(first)), first.tolist(), parts.tolist(), strict=True)), "cell int, first int, parts int")
     index = index.join(F.broadcast(cells), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vector"), "parts")).cast("int")).drop("first", "parts")
 
+    found = written(_ranked(_searched(index, queries, model, first, parts, kind, k), k), "nearest")
+    # those whose cells hold too few candidates look into all cells
+    whole = rows.select("vec_id").distinct().count()
+    many = found.groupBy("query_id").count()
+    short = queries.join(many.where(F.col("count") >= min(k, whole - 1)), F.col("vec_id") == F.col("query_id"), "left_anti")
+    short = written(short, "short-queries")
+    if model.probes >= len(model.centres) or short.isEmpty():
+        return found
+    again = _searched(index, short, replace(model, probes=len(model.centres)), first, parts, kind, k)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_ranked(again, k))
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(index: DataFrame, queries: DataFrame, model: Quantiser, first: np.ndarray, parts: np.ndarray, kind: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each block that a query meets, its ``k`` best candidates there."""
+
     def probed(batches):
         for b in batches:
             if len(b):
@@ -284,9 +307,7 @@ def search(table: DataFrame, asked: DataFrame, k: int = NEIGHBOURS, sample_rows:
                 out.append(pd.DataFrame({"query_id": own[row[best]], "vec_id": found[best], "score": score[best]}))
         return pd.concat(out, ignore_index=True)
 
-    pairs = index.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInPandas(scored, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return index.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInPandas(scored, "query_id long, vec_id long, score double")
 
 
 def _leading(row: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int, ties: bool) -> np.ndarray:
