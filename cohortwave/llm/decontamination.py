@@ -38,8 +38,10 @@ RADIUS = 15
 BLOCKS, FLIPS = 4, 3
 #: Words of benchmark items that one pass over the documents takes.
 PASS_WORDS = 1 << 17
-#: Windows that are fingerprinted in one step, and bytes of text that are cut into words at a time.
-STEP, SEGMENT = 1 << 14, 1 << 22
+#: Windows that are fingerprinted in one step, bytes of text that are cut into words at a time, pairs that are compared at once.
+STEP, SEGMENT, PAIRS = 1 << 14, 1 << 22, 1 << 20
+#: Items of a length that are compared one after the other.
+FEW = 16
 _NEAR = np.array([sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(16), n)], np.uint16)
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 
@@ -91,10 +93,10 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 @dataclass
 class _Length:
-    """The items of one length: ids, shingles, fingerprints and the block index."""
+    """The items of one length: their numbers in the benchmark, shingles, fingerprints and the block index."""
 
     words: int
-    ids: list[int] = field(default_factory=list)
+    numbers: list[int] = field(default_factory=list)
     grams: list[Counter] = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
 
@@ -102,33 +104,68 @@ class _Length:
         self.size = min(SHINGLE, self.words)
         self.width = self.words - self.size + 1
 
-    def add(self, item: int, words: tuple[bytes, ...], codes: np.ndarray) -> None:
-        self.ids.append(item)
+    def add(self, number: int, words: tuple[bytes, ...], codes: np.ndarray) -> None:
+        self.numbers.append(number)
         self.grams.append(_grams(words, self.size))
         self.prints.append(int(_fingerprints(_running(_shingles(codes, self.size)), self.width)[0]))
 
     @cached_property
-    def index(self) -> np.ndarray:
+    def index(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block (first, many, items): the items filed under value v are ``items[first[v]]`` and the ``many[v] - 1`` after it."""
+        values = np.array(self.prints, np.uint64).view(np.uint16).reshape(-1, BLOCKS)
+        lists = []
+        for block in range(BLOCKS):
+            filed = (values[:, block, None] ^ _NEAR).ravel()
+            many = np.bincount(filed, minlength=1 << 16)
+            items = np.repeat(np.arange(len(values), dtype=np.int32), len(_NEAR))[np.argsort(filed, kind="stable")]
+            lists.append(((np.cumsum(many) - many).astype(np.int32), many.astype(np.int32), items))
+        return lists
+
+    @cached_property
+    def filed(self) -> np.ndarray:
         """Whether any item is filed under a block value: small enough to stay in a core's cache for a step."""
-        filed = np.zeros((BLOCKS, 1 << 16), bool)
-        for values in np.array(self.prints, np.uint64).view(np.uint16).reshape(-1, BLOCKS):
-            for block, value in enumerate(values):
-                filed[block, value ^ _NEAR] = True
-        return filed
+        return np.stack([many > 0 for _, many, _ in self.index])
 
-    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(item's number, windows within the radius of it), by the block index."""
+    def passed(self, prints: np.ndarray) -> np.ndarray:
+        """The windows of which some block value is filed."""
         values = prints.view(np.uint16).reshape(-1, BLOCKS)
-        met = self.index[0].take(values[:, 0])
+        met = self.filed[0].take(values[:, 0])
         for block in range(1, BLOCKS):
-            met |= self.index[block].take(values[:, block])
-        some = np.flatnonzero(met)
-        if len(some):
+            met |= self.filed[block].take(values[:, block])
+        return np.flatnonzero(met)
+
+    def met(self, prints: np.ndarray, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, items) of ``some`` windows and the items that are filed under a block value of theirs, in parts."""
+        values = prints.view(np.uint16).reshape(-1, BLOCKS)
+        for block, (first, many, items) in enumerate(self.index):
+            own = values[some, block]
+            sizes = many.take(own).astype(np.int64)
+            for part in np.array_split(np.flatnonzero(sizes), 1 + int(sizes.sum()) // PAIRS):
+                size = sizes[part]
+                ahead = np.cumsum(size) - size
+                yield np.repeat(some[part], size), items[np.arange(size.sum()) + np.repeat(first.take(own[part]) - ahead, size)]
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item's number here, windows within the radius of it), by the block index.
+
+        A few items are compared with all windows that the index lets pass, more of
+        them with those only that share a block value as filed: both find the same.
+        """
+        some = self.passed(prints)
+        if len(some) and len(self.prints) <= FEW:
             own = prints[some]
             for item, print_ in enumerate(self.prints):
                 close = np.bitwise_count(own ^ np.uint64(print_)) <= RADIUS
                 if close.any():
                     yield item, some[close]
+        elif len(some):
+            filed, found = np.array(self.prints, np.uint64), []
+            for window, item in self.met(prints, some):
+                close = np.bitwise_count(prints[window] ^ filed[item]) <= RADIUS
+                found.append(item[close].astype(np.int64) * len(prints) + window[close])
+            item, window = np.divmod(np.unique(np.concatenate(found)), len(prints))
+            cuts = np.flatnonzero(np.diff(item)) + 1
+            yield from zip(item[np.append(0, cuts)].tolist() if len(item) else (), np.split(window, cuts), strict=False)
 
 
 class Benchmark:
@@ -145,10 +182,10 @@ class Benchmark:
     def lengths(self) -> dict[int, _Length]:
         if self._lengths is None:
             self._lengths = {}
-            for item, text in self.items:
+            for number, (_, text) in enumerate(self.items):
                 words = tuple(words_of(text.encode() if text else None))
                 if words:
-                    self._lengths.setdefault(len(words), _Length(len(words))).add(item, words, _codes(words))
+                    self._lengths.setdefault(len(words), _Length(len(words))).add(number, words, _codes(words))
         return self._lengths
 
     def _segments(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[tuple[int, int, int, bool]]]]:
@@ -184,7 +221,7 @@ class Benchmark:
         if self.lengths:
             for words, stretches in self._segments(texts):
                 self._search(words, stretches, best)
-        return [sorted((item, at, far, -alike) for item, (alike, at, far) in own.items()) for own in best]
+        return [[(self.items[n][0], at, far, -alike) for n, (alike, at, far) in sorted(own.items())] for own in best]
 
     def _search(self, words: list[bytes], stretches: list[tuple[int, int, int, bool]], best: list[dict]) -> None:
         codes = _codes(words)
@@ -205,7 +242,7 @@ class Benchmark:
                 if alike >= SIMILARITY:
                     print_ = _fingerprints(_running(_shingles(codes[now : now + size], own.size)), size - own.size + 1)
                     found = (-alike, first + now - int(start[part]), int(np.bitwise_count(print_[0] ^ np.uint64(own.prints[item]))))
-                    best[number][own.ids[item]] = min(best[number].get(own.ids[item], found), found)
+                    best[number][own.numbers[item]] = min(best[number].get(own.numbers[item], found), found)
 
         for size in {own.size for own in self.lengths.values()}:
             lengths = [own for own in self.lengths.values() if own.size == size]
@@ -240,7 +277,7 @@ def benchmarks(items: DataFrame, pass_words: int = PASS_WORDS) -> list[Benchmark
     groups, own, held = [], [], 0
     for r in items.select("item_id", "text").orderBy("item_id").toLocalIterator():
         own.append((r["item_id"], r["text"]))
-        held += len((r["text"] or "").split())
+        held += len(words_of((r["text"] or "").encode()))
         if held >= pass_words:
             groups.append(Benchmark(own))
             own, held = [], 0
@@ -265,7 +302,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``at`` is the first word, from 0, of the item's most similar window among those
     that the index proposes and those beside them, the first of equals. Items of fewer than five words are one shingle, found only
     word for word. A text shorter than an item is one window, compared as a
-    whole. Null, empty and blank texts and items match nothing. Rows that repeat
+    whole. Items of null or repeated item_id are items of their own: each that a
+    document holds gives a row. Null, empty and blank texts and items match nothing. Rows that repeat
     get a result each; empty tables give an empty result.
     """
     parts = []
