@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checked_lookup, packed, written
+from .merkle import ranked
 
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (3, 1, 2)
@@ -26,6 +27,8 @@ MOST = 2
 #: Bins of the keys: at least so many, and one for each so many rows, so that a bin is put in order by one task at any size.
 LEAST_BINS, BIN_ROWS = 4096, 50_000
 SEED = "mix-1"
+#: The order of a source's rows.
+PLACE = ("_key", "doc_id", "_size", "_hash")
 
 
 def word_count(text: Column) -> Column:
@@ -72,10 +75,14 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _key (the sampling key), _place (of the key between 0 and 1) and _source (never null)."""
+    """``docs`` with _size, _hash (of the text), _key (the sampling key), _place (of the key between 0 and 1) and _source (never null).
+
+    A row without an id draws by its text.
+    """
     docs = docs.withColumn("_size", word_count(F.col("text")))
     weight = quality_weight(F.col("text"), F.col("_size")) if weight is None else weight
-    docs = docs.withColumn("_key", sampling_key(F.col("doc_id"), weight, seed))
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    docs = docs.withColumn("_key", sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))), weight, seed))
     docs = docs.withColumn("_place", 1 - F.exp(-F.col("_key")))
     return docs.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
 
@@ -83,10 +90,12 @@ def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) ->
 def budgets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row per source: _source, source_size, target, _epochs and _last.
 
-    ``rows``, already written, has doc_id, source, _source, _size, _key and _place.
-    ``_last`` is the place (key, doc_id, size) of the last document that the partial
-    epoch takes: null if it takes none. ``_bins`` is the number of bins, ``_end``
-    the bin in which the budget ends. The number changes no result.
+    ``rows``, already written, has doc_id, source, _source, _size, _hash, _key and _place.
+    ``_last`` is the place (key, doc_id, size, hash) of the last document that the
+    partial epoch takes, or one before all of its bin if it takes none there; of
+    the ``_run`` rows that share this place it takes ``_taken``. ``_bins`` is the
+    number of bins, ``_end`` the bin in which the budget ends. The number changes no
+    result.
     """
     bins = max(LEAST_BINS, rows.count() // BIN_ROWS)
     rows = rows.withColumn("_bin", _bin(F.lit(bins)))
@@ -99,12 +108,16 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     ends = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).join(targets, "_source")
     ends = written(ends.where("_ahead < _rest and _ahead + _sum >= _rest").select("_source", F.col("_bin").alias("_end"), "_ahead", "_rest"), "mix-ends")
     # only the documents of the bin in which a budget ends are put in order
-    cut = checked_lookup(rows, ends, "_source", F.xxhash64("doc_id")).where("_bin = _end")
-    place = F.struct("_key", "doc_id", "_size")
-    upto = F.sum("_size").over(Window.partitionBy("_source").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_ahead")
-    cut = cut.withColumn("_over", upto - F.col("_rest"))
-    cut = cut.where("_size > 0 and _over <= _size - _over").groupBy("_source").agg(F.max(place).alias("_in"))
-    last = ends.join(cut, "_source", "left").select("_source", F.coalesce("_in", F.struct((F.col("_end") / F.lit(bins)).alias("_key"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(-1).cast("long").alias("_size"))).alias("_last"), "_end")
+    cut = checked_lookup(rows, ends, "_source", F.xxhash64("doc_id", "_hash")).where("_bin = _end and _size > 0")
+    # rows that share a place are one run, taken by number
+    cut = cut.groupBy("_source", F.struct(*PLACE).alias("_last"), "_ahead", "_rest").agg(F.count("*").alias("_run"))
+    upto = F.sum(F.col("_last._size") * F.col("_run")).over(Window.partitionBy("_source").orderBy("_last").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_ahead")
+    behind, size = F.col("_rest") - (F.col("_upto") - F.col("_last._size") * F.col("_run")), F.col("_last._size")
+    over = F.col("_upto") - F.col("_rest")
+    taken = F.when(F.col("_run") == 1, (over <= size - over).cast("long")).otherwise(F.least(F.floor((2 * behind + size) / (2 * size)), F.col("_run")))
+    cut = cut.withColumn("_upto", upto).withColumn("_taken", taken).where("_taken > 0").groupBy("_source").agg(F.max(F.struct("_last", "_run", "_taken")).alias("_in"))
+    none = F.struct((F.col("_end") / F.lit(bins)).alias("_key"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(-1).cast("long").alias("_size"), F.lit(0).cast("long").alias("_hash"))
+    last = ends.join(cut, "_source", "left").select("_source", F.coalesce("_in._last", none).alias("_last"), F.coalesce("_in._run", F.lit(1)).alias("_run"), F.coalesce("_in._taken", F.lit(1)).alias("_taken"), "_end")
     return written(targets.join(last, "_source", "left").drop("_rest").withColumn("_bins", F.lit(bins)), "mix-budgets")
 
 
@@ -113,10 +126,20 @@ def _bin(bins: Column) -> Column:
 
 
 def with_copies(rows: DataFrame, budget: DataFrame) -> DataFrame:
-    """``rows`` with source_size, target and _copies: how often the mix takes each."""
-    rows = checked_lookup(rows, budget, "_source", F.xxhash64("doc_id")).withColumn("_bin", _bin(F.col("_bins")))
-    part = (F.col("_bin") < F.col("_end")) | ((F.col("_bin") == F.col("_end")) & (F.struct("_key", "doc_id", "_size") <= F.col("_last")))
-    return rows.withColumn("_copies", (F.col("_epochs") + F.coalesce(part, F.lit(False)).cast("int")).cast("long"))
+    """``rows`` with source_size, target and _copies: how often the mix takes each.
+
+    Where a budget ends among rows that share a place, these are numbered, by as
+    many tasks as they need, and the first ones are taken.
+    """
+    rows = checked_lookup(rows, budget, "_source", F.xxhash64("doc_id", "_hash")).withColumn("_bin", _bin(F.col("_bins")))
+    within = (F.col("_bin") < F.col("_end")) | ((F.col("_bin") == F.col("_end")) & (F.struct(*PLACE) <= F.col("_last")))
+    copies = lambda part: (F.col("_epochs") + F.coalesce(part, F.lit(False)).cast("int")).cast("long")
+    if budget.where("_taken < _run").isEmpty():
+        return rows.withColumn("_copies", copies(within))
+    split = F.coalesce((F.col("_taken") < F.col("_run")) & (F.col("_bin") == F.col("_end")) & F.struct(*PLACE).eqNullSafe(F.col("_last")), F.lit(False))
+    equal = ranked(rows.where(split), "_source", [], "mix-equal")
+    whole = rows.where(~split).withColumn("_copies", copies(within))
+    return whole.unionByName(equal.withColumn("_copies", copies(F.col("_rank") < F.col("_taken"))).select(*whole.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, weight: Column | None = None, seed: str = SEED) -> DataFrame:
@@ -124,8 +147,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     ``weight`` is a quality weight of a row, above 0: any column of ``docs``, such
     as a classifier's score. A null or empty text has size 0; a null source is a source of its own, last
-    in order. Repeated rows share a key and are told apart by nothing: the cut
-    falls beside them, or on equal rows. An empty table gives an empty mix. A
+    in order. Rows that repeat everything share a place in the order; where the
+    budget ends among them, as many are taken as it asks for. An empty table gives an empty mix. A
     rerun over the same rows takes the same documents.
     """
     # the rows travel in a struct, so that columns of any name come out as they went in
@@ -154,7 +177,7 @@ WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+    -ln((('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, '')))), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
     / ((CASE WHEN size < 50 THEN 0.5 ELSE 1.0 END) * (CASE WHEN coalesce(length(text)::DOUBLE / greatest(size, 1) BETWEEN 4 AND 11, false) THEN 1.0 ELSE 0.5 END)) AS key
   FROM d
 ), s AS (
