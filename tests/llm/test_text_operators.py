@@ -597,3 +597,66 @@ def test_forget_deletes_what_was_written(spark):
     common.forget(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path)
+
+
+def test_vector_search_of_mixed_lengths_and_small_clusters(spark):
+    rng = np.random.default_rng(4)
+    mixed = [(i, rng.normal(size=4 if i % 20 == 0 else 8).tolist()) for i in range(200)] + [(1000 + 20 * i, rng.normal(size=8).tolist()) for i in range(3)]
+    table = spark.createDataFrame(mixed, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 20 = 0")).toPandas()
+    assert sorted(set(got.query_id)) == [1000, 1020, 1040] and (got.groupby("query_id").size() == 20).all()
+    # far clusters of five vectors: the cells that a query probes hold fewer than it asks for
+    centres = rng.normal(size=(80, 16)) * 50
+    rows = [(i, (centres[i // 5] + rng.normal(size=16)).tolist()) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 20 = 0"), recall=0.05).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and len(set(got.query_id)) == 20
+
+
+def test_page_ids_over_all_of_long(spark, tmp_path):
+    ids = [-(1 << 63), -1, 0, 1, 3 * 10**11, 9 * 10**18, (1 << 63) - 1, (1 << 37) + 1]
+    frame = spark.createDataFrame([(i, "http://a.example/", f"p{i}") for i in ids], "page_id long, url string, html string")
+    got = warc.capture_history(frame, str(tmp_path / "all")).toPandas()
+    assert sorted(got.page_id) == sorted(ids) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", t) for t in got.captured)
+    assert list(zip(got.captured, got.page_id, strict=True)) == sorted(zip(got.captured, got.page_id, strict=True))
+
+
+def test_items_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (_text(rng, 30) for _ in range(3))
+    items = spark.createDataFrame([(None, a), (7, b), (7, c), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{_text(rng, 9)} {a} {b} {c}"), (2, b), (3, _text(rng, 60))], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect())
+    assert got == Counter([(1, None), (1, 7), (1, 7), (2, 7)])
+    assert [r.doc_id for r in decontamination.decontaminate(docs, items).collect()] == [3]
+
+
+def test_many_items_of_a_length_are_compared_by_lists():
+    rng = np.random.default_rng(6)
+    own = decontamination._Length(40)
+    own.prints = rng.integers(0, 1 << 63, 5000).tolist()
+    filed = np.array(own.prints, np.uint64)
+    asked = filed[rng.integers(0, 5000, 3000)]
+    for row, flips in enumerate(rng.integers(0, 20, 3000)):
+        for bit in rng.choice(64, flips, replace=False):
+            asked[row] ^= np.uint64(1 << int(bit))
+    want = {(i, int(w)) for i, p in enumerate(filed) for w in np.flatnonzero(np.bitwise_count(asked ^ p) <= decontamination.RADIUS)}
+    assert {(i, int(w)) for i, rows in own.near(asked) for w in rows} == want and len(want) > 2000
+    assert sum(len(w) for w, _ in own.met(asked, own.passed(asked))) < 0.06 * 5000 * 3000
+    few = decontamination._Length(40)
+    few.prints = own.prints[:10]
+    assert {(i, int(w)) for i, rows in few.near(asked) for w in rows} == {k for k in want if k[0] < 10}
+
+
+@pytest.mark.parametrize("kind", ["null ids, own texts", "null ids, one text", "one id, own texts"])
+def test_mix_meets_its_target_without_ids(spark, kind):
+    rng = random.Random(15)
+    same = _text(rng, 40)
+    rows = [(None if "null" in kind else 5, same if "one text" in kind else _text(rng, 40), "a") for _ in range(500)] + [(10 + i, _text(rng, 40), "a") for i in range(100)] + [(1000 + i, _text(rng, 40), "b") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mixing.mix(frame, weights=(1, 4), share=0.5)
+    taken = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    sizes = spark.createDataFrame([("a", 24_000), ("b", 12_000)], "source string, source_size long")
+    for r in mixing.source_targets(sizes, (1, 4), 0.5).collect():
+        assert abs(taken[r.source] - r.target) <= 40
+    assert Counter(map(tuple, mixing.mix(frame, weights=(1, 4), share=0.5).collect())) == Counter(map(tuple, mixed.collect()))
