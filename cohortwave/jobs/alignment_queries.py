@@ -298,11 +298,6 @@ def mca_pairs(spark, sf_dir):
     return alignment.covariance_pairs(embedding_groups(spark, sf_dir), ("seed",))
 
 
-@query()
-def band_pass(spark, sf_dir):
-    return spectra.band_pass(line_samples(spark, sf_dir), 1.0, 16.0, 128.0)
-
-
 @query(f"""WITH {_trials(LINE_SAMPLES, 16)}, centred AS (
   SELECT recording_id, trial_no, class, dt, pow(sin(pi() * (dt + 0.5) / 16), 2) AS w, {", ".join(f"x[{i}] - avg(x[{i}]) OVER (PARTITION BY recording_id, trial_no) AS y{i}" for i in range(1, 5))} FROM trials
 ), waves AS (

@@ -148,10 +148,11 @@ def extract_trials(spark, sf_dir):
 
 
 @query(f"""WITH {LINE_TRIALS}
-SELECT recording_id, trial_no, class, dt, round(0.5 * x[1] + 0.25 * x[2] - x[3] + 2.0 * x[4], 8) AS value FROM trials""")
+SELECT recording_id, trial_no, class, {", ".join(f"round(sum(0.5 * x[1] + 0.25 * x[2] - x[3] + 2.0 * x[4]) FILTER (dt = {k}), 8) AS v{k}" for k in range(WL))} FROM trials GROUP BY recording_id, trial_no, class""")
 def trial_channel_projection(spark, sf_dir):
+    """One row a trial."""
     rows = trials.project(line_trials(spark, sf_dir), [0.5, 0.25, -1.0, 2.0])
-    return rows.withColumn("value", F.round("value", 8))
+    return rows.groupBy("recording_id", "trial_no", "class").agg(*[F.round(F.sum(F.when(F.col("dt") == k, F.col("value"))), 8).alias(f"v{k}") for k in range(WL)])
 
 
 @query(f"""WITH {EVENT_TRIALS}
@@ -250,7 +251,8 @@ def _hits(name: str, bad: str) -> str:
 SELECT recording_id, t, stim,
   CASE WHEN gone OR EXISTS (SELECT 1 FROM hit_high h WHERE h.recording_id = o.recording_id AND h.t BETWEEN o.t - {WL - 1} AND o.t) THEN 0 ELSE stim END AS clean FROM once o""")
 def reject_scan(spark, sf_dir):
-    return rejection.reject(event_samples(spark, sf_dir), WL, 1.0)
+    # blocks of a few windows, so that the scan passes from one to the next
+    return rejection.reject(event_samples(spark, sf_dir), WL, 1.0, width=4 * WL)
 
 
 @query(f"""WITH {LINE_SAMPLES}, cells AS (SELECT recording_id, unnest(x) AS v FROM samples), ranked AS (
@@ -261,10 +263,10 @@ def reject_scan(spark, sf_dir):
 ), centre AS (
   SELECT recording_id, avg(greatest(low, least(high, v))) AS middle, any_value(spread) AS spread FROM cells JOIN ends USING (recording_id) GROUP BY recording_id
 )
-SELECT recording_id, t, stim, {", ".join(f"round((x[{i}] - middle) / spread, 8) + 0.0 AS x{i}" for i in range(1, 5))} FROM samples JOIN centre USING (recording_id)""")
+SELECT recording_id, t, {", ".join(f"round((x[{i}] - middle) / spread, 8) + 0.0 AS x{i}" for i in range(1, 5))} FROM samples JOIN centre USING (recording_id)""")
 def standardise(spark, sf_dir):
     rows = rejection.standardise(line_samples(spark, sf_dir))
-    return rows.select("recording_id", "t", "stim", *[(F.round(F.col("x")[i], 8) + 0.0).alias(f"x{i + 1}") for i in range(4)])
+    return rows.select("recording_id", "t", *[(F.round(F.col("x")[i], 8) + 0.0).alias(f"x{i + 1}") for i in range(4)])
 
 
 SPLITS = f"""{EVENT_MARKS}, numbered AS (

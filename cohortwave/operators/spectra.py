@@ -11,18 +11,6 @@ from ..functions import filters, separation
 from .arrays import mean
 
 
-def band_pass(samples: DataFrame, low: float, high: float, rate: float, order: int = 4) -> DataFrame:
-    """Samples band-passed without phase shift. A recording is read by one task: the filter is recursive."""
-    sections = filters.butterworth_band(low, high, rate, order)
-
-    def one(rec: pd.DataFrame) -> pd.DataFrame:
-        rec = rec.sort_values("t")
-        rec["x"] = list(filters.zero_phase(np.stack(rec["x"].to_numpy()), sections))
-        return rec[["recording_id", "t", "stim", "x"]]
-
-    return samples.groupBy("recording_id").applyInPandas(one, "recording_id long, t long, stim int, x array<double>")
-
-
 def _whole(trial: np.ndarray, wl: int, channels: int) -> np.ndarray:
     """A packed trial as a matrix; another shape is an error."""
     v = np.stack(trial)

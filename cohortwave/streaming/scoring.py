@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import apply_model, norm
+from ..sources.stored import shared_path
+
+__all__ = ["feature_stream", "score_stream", "shared_path"]
 
 
 def feature_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -27,18 +28,3 @@ def score_stream(stream: DataFrame, model: DataFrame, out: str, checkpoint: str)
     """
     aligned = apply_model(stream, model).select("domain", "trial_no", "label", F.round(norm("v"), 8).alias("energy"))
     return aligned.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; without one, an error on a cluster."""
-    import re
-    import tempfile
-
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwave-"))
-        folder = context.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from cohortwave.functions import covariances as cov
 from cohortwave.functions import manifold
 from cohortwave.jobs import alignment_queries as queries
 from cohortwave.jobs import pipeline
-from cohortwave.operators import alignment, covariance, features, markers, overlap, rejection, selection, spectra, splits, trials
+from cohortwave.operators import alignment, covariance, features, markers, overlap, rejection, scans, selection, spectra, splits, trials
 from cohortwave.sources import ascii as text
 from cohortwave.sources import recordings
 
@@ -190,7 +190,7 @@ def test_summary_of_one_split_has_no_deviation(spark):
 def test_band_pass_and_sources(spark):
     t = np.arange(256)
     samples = _recording(spark, np.zeros(256), np.stack([np.sin(t / 3), np.ones(256)], axis=1))
-    got = np.stack(spectra.band_pass(samples, 2, 20, 128.0).orderBy("t").toPandas()["x"])
+    got = np.stack(scans.band_pass(samples, 2, 20, 128.0).orderBy("t").toPandas()["x"])
     assert np.abs(got[:, 1]).max() < 1e-6 and got[:, 0].std() > 0.3
     field = RNG.normal(size=(5, 24))
     planted = [field[:, 3 * v : 3 * v + 3] @ RNG.normal(size=3) for v in range(8)]
