@@ -25,23 +25,45 @@ def fisher_mean(c: np.ndarray, weights: np.ndarray | None = None, tol: float = 1
     return g
 
 
-def fisher_means(c: np.ndarray, start: np.ndarray, tol: float = 1e-8, rounds: int = 100) -> np.ndarray:
-    """``fisher_mean`` of each run of a stack; runs begin at ``start`` and are solved side by side."""
+def fisher_maps(c: np.ndarray, start: np.ndarray, weights: np.ndarray | None = None, tol: float = 1e-8, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(means, logs): the Fisher mean of each run of a stack, and log(g^-1/2 C g^-1/2) of every matrix at its run's mean g.
+
+    Runs begin at ``start`` and are solved side by side, from their log-Euclidean
+    means on. The logs are those that a run's last step was taken from.
+    """
     size = np.diff(np.append(start, len(c)))
-    g = np.add.reduceat(c, start) / size[:, None, None]
+    w = np.ones(len(c)) if weights is None else np.asarray(weights, float)
+    w = w / np.repeat(np.add.reduceat(w, start), size)
+    w = w[:, None, None]
+    logs = spectral(c, np.log)
+    g = spectral(np.add.reduceat(w * logs, start), np.exp)
     owner, open_ = np.repeat(np.arange(len(start)), size), np.arange(len(start))
     for _ in range(rounds):
-        own = c if len(open_) == len(start) else c[np.isin(owner, open_)]
+        own = slice(None) if len(open_) == len(start) else np.isin(owner, open_)
         root, back = spectral(g[open_], np.sqrt), spectral(g[open_], lambda v: 1 / np.sqrt(v))
         each = np.repeat(back, size[open_], axis=0)
-        first = np.append(0, np.cumsum(size[open_])[:-1])
-        step = np.add.reduceat(spectral(each @ own @ each, np.log), first) / size[open_, None, None]
-        new = root @ spectral(step, np.exp) @ root
-        g[open_] = (new + np.swapaxes(new, -1, -2)) / 2
-        open_ = open_[np.linalg.norm(step, axis=(-2, -1)) > tol * np.sqrt(c.shape[-1])]
+        logs[own] = spectral(each @ c[own] @ each, np.log)
+        step = np.add.reduceat(w[own] * logs[own], np.append(0, np.cumsum(size[open_])[:-1]))
+        far = np.linalg.norm(step, axis=(-2, -1)) > tol * np.sqrt(c.shape[-1])
+        new = (root @ spectral(step, np.exp) @ root)[far]
+        open_ = open_[far]
         if not len(open_):
             break
-    return g
+        g[open_] = (new + np.swapaxes(new, -1, -2)) / 2
+    return g, logs
+
+
+def fisher_means(c: np.ndarray, start: np.ndarray, tol: float = 1e-8, rounds: int = 100) -> np.ndarray:
+    """``fisher_mean`` of each run of a stack; runs begin at ``start`` and are solved side by side."""
+    return fisher_maps(c, start, None, tol, rounds)[0]
+
+
+def vectorised(s: np.ndarray, columns: int | None = None) -> np.ndarray:
+    """(k, features): lower triangles of symmetric matrices, off-diagonals times sqrt 2, column by column; the first ``columns`` alone."""
+    n = s.shape[-1]
+    at = [(i, j) for j in range(n if columns is None else columns) for i in range(j, n)]
+    rows, cols = np.array(at).T
+    return s[:, rows, cols] * np.where(rows == cols, 1.0, np.sqrt(2))
 
 
 def tangent_vectors(c: np.ndarray, base: np.ndarray, columns: int | None = None) -> np.ndarray:
@@ -50,8 +72,4 @@ def tangent_vectors(c: np.ndarray, base: np.ndarray, columns: int | None = None)
     Column by column; ``columns`` keeps the first ones only. ``base`` is one matrix, or one for each.
     """
     back = spectral(base, lambda v: 1 / np.sqrt(v))
-    s = spectral(back @ c @ back, np.log)
-    n = c.shape[-1]
-    at = [(i, j) for j in range(n if columns is None else columns) for i in range(j, n)]
-    rows, cols = np.array(at).T
-    return s[:, rows, cols] * np.where(rows == cols, 1.0, np.sqrt(2))
+    return vectorised(spectral(back @ c @ back, np.log), columns)

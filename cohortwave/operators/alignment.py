@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import alignment as al
 from ..functions import covariances as cov
 from ..functions import linear, manifold
-from . import arrays, overlap
+from . import arrays, fisher, overlap
 from . import trials as trial_ops
 from .features import domain_pairs
 from .selection import balanced_accuracy
@@ -79,40 +79,20 @@ def _cut(flat: str, parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.slice(flat, i * width + 1, width))
 
 
-def tangent_features(trials: DataFrame, prototypes: DataFrame | None, splits: DataFrame, channels: int, estimator: str = "lw", det: bool = False) -> DataFrame:
+def tangent_features(trials: DataFrame, prototypes: DataFrame | None, splits: DataFrame, channels: int, estimator: str = "lw", det: bool = False, balanced: bool = False, most: int = fisher.MOST) -> DataFrame:
     """(recording_id, split, role, trial_no, label, v): tangent vectors of ``super_covariances``.
 
     Training and test trials are mapped each at their own Fisher mean; of the
     triangle, the columns of the channels stay, those of the prototype alone go
     (without prototypes: the whole triangle). ``trials`` are packed (one row
     each), ``prototypes`` have (recording_id, split, p), p as samples by channels.
-    Means of many groups are found side by side in one call.
+    With ``balanced`` all classes weigh alike in a mean. Sets of more than ``most``
+    trials never meet in a task (``fisher``).
     """
+    keys = ("recording_id", "split", "role")
     found = super_covariances(trials, prototypes, splits, estimator, det)
-    keys = ["recording_id", "split", "role"]
-    rows = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("trial_no", "label", "c"))).alias("_a"))
-    rows = rows.select(*keys, "_a.trial_no", "_a.label", F.flatten("_a.c").alias("_c"))
-
-    @F.pandas_udf("array<double>")
-    def mapped(trials_of: pd.Series, c: pd.Series) -> pd.Series:
-        sizes, c = trials_of.to_numpy(), c.to_numpy()
-        out = np.empty(len(c), object)
-        wide = np.array([len(v) for v in c]) // sizes
-        for width in np.unique(wide):
-            at = np.flatnonzero(wide == width)
-            # as many groups at a time as keep the cells within bounds, one at least
-            for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes[at] * width) // (CELLS // 4))) + 1):
-                whole = cov.unpack(np.concatenate(c[part]).reshape(-1, width))
-                start = np.concatenate(([0], np.cumsum(sizes[part])[:-1]))
-                base = manifold.fisher_means(whole, start)
-                v = manifold.tangent_vectors(whole, np.repeat(base, sizes[part], axis=0), channels)
-                for i, own in zip(part, np.split(v, start[1:]), strict=True):
-                    out[i] = own.ravel()
-        return pd.Series(out)
-
-    rows = rows.select(*keys, "trial_no", "label", mapped(F.size("trial_no"), "_c").alias("_v"))
-    rows = rows.select(*keys, F.explode(F.arrays_zip("trial_no", "label", _cut("_v", F.size("trial_no")).alias("v"))).alias("_r"))
-    return rows.select(*keys, "_r.trial_no", "_r.label", "_r.v")
+    found = fisher.class_weights(found, keys) if balanced else found.withColumn("weight", F.lit(1.0))
+    return fisher.tangent_vectors(found, splits.groupBy(*keys).count(), keys, ("trial_no", "label"), channels, most=most)
 
 
 def prototypes(trials: DataFrame, splits: DataFrame, target: int, channels: int, *, wl: int | None = None, adaptive: bool = False, components: int | None = None) -> DataFrame:
