@@ -236,7 +236,7 @@ def _hits(name: str, bad: str) -> str:
 )"""
 
 
-@query(f"""WITH RECURSIVE {RANKED % (("ln(1 + sqrt(x * x))",) * 2)}, lows AS (
+_SCAN = f"""WITH RECURSIVE {RANKED % (("ln(1 + sqrt(x * x))",) * 2)}, lows AS (
   SELECT recording_id, any_value(middle) AS middle, min(frms) FILTER (frms > middle / 100) AS low FROM middles WHERE n // 2 > {WL} GROUP BY recording_id
 ), limits AS (SELECT recording_id, low, middle + (middle - low) * 1.0 AS high FROM lows), scanned AS (
   SELECT recording_id, t, stim, n, min(frms) OVER w AS least, max(frms) OVER w AS most FROM ranked
@@ -249,9 +249,17 @@ def _hits(name: str, bad: str) -> str:
   SELECT recording_id, t FROM once JOIN limits USING (recording_id) WHERE stim > 0 AND NOT gone AND t + {WL - 1} <= n AND most > high
 ), {_hits("hit_high", "bad_high")}
 SELECT recording_id, t, stim,
-  CASE WHEN gone OR EXISTS (SELECT 1 FROM hit_high h WHERE h.recording_id = o.recording_id AND h.t BETWEEN o.t - {WL - 1} AND o.t) THEN 0 ELSE stim END AS clean FROM once o""")
+  CASE WHEN gone OR EXISTS (SELECT 1 FROM hit_high h WHERE h.recording_id = o.recording_id AND h.t BETWEEN o.t - {WL - 1} AND o.t) THEN 0 ELSE stim END AS clean FROM once o"""
+
+
+@query(_SCAN)
 def reject_scan(spark, sf_dir):
-    # blocks of a few windows, so that the scan passes from one to the next
+    return rejection.reject(event_samples(spark, sf_dir), WL, 1.0)
+
+
+@query(_SCAN)
+def reject_scan_blocks(spark, sf_dir):
+    """The same scan over blocks of a few windows, so that it passes from one to the next."""
     return rejection.reject(event_samples(spark, sf_dir), WL, 1.0, width=4 * WL)
 
 

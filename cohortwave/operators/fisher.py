@@ -21,8 +21,8 @@ from ..functions import manifold
 from ..sources.stored import discard, stored
 from . import arrays
 
-#: Rows of a group that may meet in a task, and of a bin of groups, about.
-MOST, BIN = 20_000, 20_000
+#: Rows of a group that may meet in a task, and of a bin of groups, about: bins are many, so that tasks share them evenly.
+MOST, BIN = 20_000, 2_000
 #: Matrix cells that one call holds at a time.
 CELLS = 1_000_000
 
