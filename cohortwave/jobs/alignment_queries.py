@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alignment, covariance, features, markers, spectra, splits, trials
+from ..operators import alignment, covariance, features, fisher, markers, spectra, splits, trials
+from ..operators.selection import balanced_accuracy
+from ..sources import recordings
+from ..sources.stored import shared_path
 from ..sources.tables import EMBEDDING_FEATURES, LINE_SAMPLES, embedding_features, line_samples
 from ..functions import filters
 from . import pipeline
@@ -373,7 +378,35 @@ def inverse_minimum_norm(spark, sf_dir):
     return _strongest(spark, sf_dir, "minimum_norm")
 
 
+RAW = pipeline.Config(window=WL, channels=CHANNELS, n_splits=2, n_boot=40, boot_size=10, white_dim=12, study=STUDY, band=(1.0, 16.0, 128.0), reject=1.0)
+
+
 @query()
 def group_pipeline_raw(spark, sf_dir):
-    config = pipeline.Config(window=WL, channels=CHANNELS, n_splits=2, n_boot=40, boot_size=10, white_dim=12, study=STUDY, band=(1.0, 16.0, 128.0), reject=1.0)
-    return pipeline.run([pipeline.prepare, *pipeline.GROUP_PIPELINE], config, {"samples": line_samples(spark, sf_dir)})["summary"]
+    return pipeline.run([pipeline.prepare, *pipeline.GROUP_PIPELINE], RAW, {"samples": line_samples(spark, sf_dir)})["summary"]
+
+
+@query()
+def files_to_accuracy(spark, sf_dir):
+    """Recordings written as files, and from the files to accuracies: selection, reading, preparing, the group pipeline on eight coordinates, balanced means."""
+    samples, folder = line_samples(spark, sf_dir), shared_path(spark, "recordings")
+    stem = F.concat(F.lit("subject_"), F.lpad(F.col("recording_id").cast("string"), 8, "0"))
+    about = samples.select("recording_id").distinct().select(
+        stem.alias("stem"), F.col("recording_id").cast("int").alias("subject"), *[F.lit(1).alias(c) for c in ("session", "run")], F.lit(128).alias("sampling_rate"), F.lit(WL).alias("window_length"),
+        F.lit(0).alias("offset"), F.array(*[F.lit(f"C{i}") for i in range(CHANNELS)]).alias("sensors"), F.create_map(F.lit("NonTarget"), F.lit(1), F.lit("Target"), F.lit(2)).alias("labels"), F.lit("line items").alias("database"),
+    )
+    recordings.write_recordings(samples.withColumn("stem", stem), about, folder).write.format("noop").mode("overwrite").save()
+    config, context = pipeline.from_files(spark, folder, replace(RAW, sub_dim=8, balanced=True))
+    return pipeline.run([pipeline.prepare, *pipeline.GROUP_PIPELINE], config, context)["summary"]
+
+
+@query()
+def nearest_mean_sets(spark, sf_dir):
+    """Trials' covariances told apart by the nearest class mean, trained on all recordings of a study but the last."""
+    rows = covariance.estimate(covariance.packed_trials(_line_trials(spark, sf_dir, WL)), "lw")
+    study = F.floor(F.col("recording_id") / STUDY).cast("int")
+    rows = splits.last_against_rest(rows.select(study.alias("study"), "recording_id", "trial_no", F.col("class").alias("label"), "c"), "study", "recording_id")
+    keep = ("recording_id", "trial_no", "truth")
+    test = rows.where("role = 'test'").withColumnRenamed("label", "truth")
+    found = fisher.nearest_mean(rows.where("role = 'train'"), test, ("study",), keep, CHANNELS)
+    return balanced_accuracy(found, ("study",))

@@ -90,3 +90,18 @@ moved AS (SELECT recording_id, t AS place, greatest(1, least(round_even(t * 2 /
 SELECT recording_id, t, arg_max(stim, place) AS stim, count(*) - 1 AS clashes FROM moved GROUP BY recording_id, t""")
 def resample_polyphase_stim(spark, sf_dir):
     return scans.resampled_stim(event_samples(spark, sf_dir), 2, 3)
+
+
+def _scaled_sql(rounds: int) -> str:
+    """Rounds of channel factors, each from the sample factors that the last ones give."""
+    mean = lambda c: "(" + " + ".join(f"x[{i}] * {c}.c{i}" for i in range(1, CHANNELS + 1)) + f") / {CHANNELS}"
+    parts = [f"c1 AS (SELECT recording_id, {', '.join(f'1 / avg(x[{i}]) AS c{i}' for i in range(1, CHANNELS + 1))} FROM samples GROUP BY recording_id)"]
+    for n in range(2, rounds + 1):
+        parts.append(f"c{n} AS (SELECT recording_id, {', '.join(f'1 / avg(x[{i}] / ({mean(f"c{n - 1}")})) AS c{i}' for i in range(1, CHANNELS + 1))} FROM samples JOIN c{n - 1} USING (recording_id) GROUP BY recording_id)")
+    last = f"c{rounds}"
+    return f"WITH {LINE_SAMPLES}, {', '.join(parts)} SELECT recording_id, t, {', '.join(f'round(x[{i}] * {last}.c{i} / ({mean(last)}), 8) + 0.0 AS x{i}' for i in range(1, CHANNELS + 1))} FROM samples JOIN {last} USING (recording_id)"
+
+
+@query(_scaled_sql(5))
+def mean_normalise(spark, sf_dir):
+    return _columns(scans.scaled_both_ways(line_samples(spark, sf_dir), CHANNELS, 5, 0.0))

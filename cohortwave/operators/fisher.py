@@ -135,3 +135,34 @@ def tangent_vectors(rows: DataFrame, counts: DataFrame, by: tuple[str, ...], kee
         return found
     base = base_points(large, by, int((np.sqrt(8 * wide["n"] + 1) - 1) / 2), tol)
     return found.unionByName(_logs(large, by, base, keep).mapInPandas(along, schema))
+
+
+def distances(rows: DataFrame, means: DataFrame, by: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """(by, keep, candidate, distance): how far each of ``rows(by, keep, c)`` is from each mean of its group.
+
+    ``means(by, candidate, back)`` have the inverse square roots of the means. The
+    distance is affine-invariant: the norm of the logarithms of the eigenvalues
+    of the one relative to the other.
+    """
+
+    @F.pandas_udf("double")
+    def far(c: pd.Series, back: pd.Series) -> pd.Series:
+        each = cov.unpack(np.stack(back))
+        return pd.Series(np.sqrt((np.log(np.linalg.eigvalsh(each @ cov.unpack(np.stack(c)) @ each)) ** 2).sum(axis=-1)))
+
+    return rows.join(means.select(*by, "candidate", "back"), list(by)).select(*by, *keep, "candidate", far("c", "back").alias("distance"))
+
+
+def nearest_mean(train: DataFrame, test: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], channels: int, tol: float = 1e-8) -> DataFrame:
+    """(by, keep, predicted, distance): the class whose Fisher mean is nearest, a classifier that needs no tangent map.
+
+    ``train(by, label, c)`` makes one mean a group and class, ``test(by, keep, c)``
+    is told apart by them; of equal distances the smaller label counts. Test rows of a
+    group without training rows have no answer and are left out.
+    """
+    own = (*by, "label")
+    known = stored(train.select(*own, F.lit(1.0).alias("weight"), "c"), "fisher-rows")
+    means = base_points(known, own, channels, tol).withColumnRenamed("label", "candidate")
+    met = distances(test, means, by, keep)
+    best = met.groupBy(*by, *keep).agg(F.min(F.struct("distance", "candidate")).alias("_b"))
+    return best.select(*by, *keep, F.col("_b.candidate").alias("predicted"), F.col("_b.distance").alias("distance"))

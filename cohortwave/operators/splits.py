@@ -42,6 +42,12 @@ def first_against_rest(rows: DataFrame, group: str, order: list[str]) -> DataFra
     return rows.withColumn("role", F.when(place == 1, "train").otherwise("test"))
 
 
+def last_against_rest(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows`` with role: those of the last ``order`` of each group test, the others train."""
+    last = rows.groupBy(group).agg(F.max(order).alias("_last"))
+    return rows.join(last, group).withColumn("role", F.when(F.col(order) == F.col("_last"), "test").otherwise("train")).drop("_last")
+
+
 def overlaps(splits: DataFrame) -> DataFrame:
     """(recording_id, split_a, split_b, shared): test trials that two splits share, a < b."""
     test = splits.where("role = 'test'").select("recording_id", "trial_no", "split")

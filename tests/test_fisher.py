@@ -53,3 +53,18 @@ def test_runs_side_by_side_equal_one_at_a_time():
     for mean, a, b in zip(means, start, [*start[1:], 30], strict=True):
         assert np.allclose(mean, manifold.fisher_mean(c[a:b], w[a:b]), atol=1e-7)
         assert np.allclose(manifold.vectorised(logs[a:b], 2), manifold.tangent_vectors(c[a:b], mean, 2), atol=1e-6)
+
+
+def test_nearest_mean_equals_a_plain_loop(spark):
+    c, rows = _groups(spark, (24, 40))
+    train, test = rows.where("i % 2 = 0"), rows.where("i % 2 = 1").withColumnRenamed("label", "truth")
+    got = {(r.g, r.i): (r.predicted, r.distance) for r in fisher.nearest_mean(train, test, ("g",), ("i", "truth"), 4).collect()}
+    assert len(got) == 32
+    for g, own in c.items():
+        label = np.array([1 + (i % 3 == 0) for i in range(len(own))])
+        learned = np.arange(len(own)) % 2 == 0
+        means = {v: manifold.fisher_mean(own[learned & (label == v)]) for v in (1, 2)}
+        for i in range(1, len(own), 2):
+            far = {v: np.sqrt((np.log(np.linalg.eigvals(np.linalg.solve(m, own[i])).real) ** 2).sum()) for v, m in means.items()}
+            best = min(far, key=lambda v: (far[v], v))
+            assert got[g, i][0] == best and abs(got[g, i][1] - far[best]) < 1e-6
