@@ -507,14 +507,6 @@ def accuracy_summary(spark, sf_dir):
     return found.select("domain", F.round("mean", 8).alias("mean"), F.round("deviation", 8).alias("deviation"), "place")
 
 
-@query(f"""WITH {EMBEDDING_FEATURES}, e AS (
-  SELECT trial_no, (trial_no % 21)::INT AS voxel, list_transform(range(0, 21), lambda k: list_sum(list_transform(v[(k * 3 + 1)::INT:(k * 3 + 3)::INT], lambda a: a * a))) AS e FROM features
-)
-SELECT voxel, count(*) AS rows, count(*) FILTER (list_position(e, list_max(e)) - 1 = voxel) AS hits, round(avg(ln(list_sum(e) / e[voxel + 1])), 8) AS spread FROM e GROUP BY voxel""")
-def psf_errors(spark, sf_dir):
-    return selection.point_spread(embedding_features(spark, sf_dir), 21).withColumn("spread", F.round("spread", 8))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity, 6) AS x1, round(l_extendedprice, 6) AS x2, round(l_discount, 6) AS x3 FROM lineitem")
 def read_ascii(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -50,17 +50,3 @@ def accuracy_summary(accuracies: DataFrame) -> DataFrame:
     """(domain, mean, deviation, place) over splits; the deviation of one split is null, places go down by mean."""
     rows = accuracies.groupBy("domain").agg(F.avg("acc").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("acc")).alias("deviation"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "domain")).cast("long"))
-
-
-def point_spread(vectors: DataFrame, voxels: int) -> DataFrame:
-    """(voxel, rows, hits, spread): how the energy of coordinate triplets gathers at the true voxel.
-
-    A row's true voxel is its id modulo ``voxels``. hits: rows whose largest
-    triplet is the true one; spread: mean log of all energy over the true one's.
-    """
-    energy = F.transform(F.sequence(F.lit(0), F.lit(voxels - 1)), lambda k: F.aggregate(F.slice("v", k * 3 + 1, 3), F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.withColumn("_e", energy).withColumn("voxel", (F.col("trial_no") % voxels).cast("int"))
-    true = F.element_at("_e", F.col("voxel") + 1)
-    best = F.array_position("_e", F.array_max("_e")) - 1
-    whole = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    return rows.groupBy("voxel").agg(F.count("*").alias("rows"), F.sum((best == F.col("voxel")).cast("long")).alias("hits"), F.avg(F.log(whole / true)).alias("spread"))

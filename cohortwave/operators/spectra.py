@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters, separation
+from . import tomography
 from .arrays import mean
 
 
@@ -82,16 +83,19 @@ def separated(cospectra: DataFrame, means: DataFrame, channels: int, share: floa
     return rows.groupBy("recording_id").applyInPandas(one, "recording_id long, component int, ratio double, filter array<double>, pattern array<double>")
 
 
-def sources(samples: DataFrame, leadfield: np.ndarray, method: str = "sloreta", alpha: float = 1.0) -> DataFrame:
+def sources(samples: DataFrame, leadfield: np.ndarray, method: str = "sloreta", alpha: float = 1.0, weights: np.ndarray | None = None) -> DataFrame:
     """(recording_id, t, voxel, power): the strongest voxel of every sample and its power.
 
     The inverse is computed once, from the lead field; applying it is one product a batch.
+    ``weights`` (one for each column) are for the minimum norm alone.
     """
     makers = {"minimum_norm": filters.minimum_norm, "sloreta": filters.standardised_low_resolution, "eloreta": filters.exact_low_resolution}
     if method not in makers:
         raise ValueError(f"unknown method {method!r}")
     centred = leadfield - leadfield.mean(axis=0)
-    inverse = makers[method](centred, alpha)
+    if weights is not None and method != "minimum_norm":
+        raise ValueError(f"{method} takes no weights")
+    inverse = makers[method](centred, alpha) if weights is None else tomography.weighted_minimum_norm(centred, weights, alpha)
 
     @F.pandas_udf("voxel int, power double")
     def strongest(x: pd.Series) -> pd.DataFrame:

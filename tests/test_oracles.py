@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cohortwave.jobs import alignment_queries, scan_queries, signal_queries, stream_queries
+from cohortwave.jobs import alignment_queries, scan_queries, signal_queries, stream_queries, tomography_queries
 
-SQL = signal_queries.ORACLE_SQL | scan_queries.ORACLE_SQL | alignment_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
+SQL = signal_queries.ORACLE_SQL | scan_queries.ORACLE_SQL | tomography_queries.ORACLE_SQL | alignment_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
 
 
 def _cell(v):
