@@ -196,9 +196,21 @@ def train_elastic_net(spark, sf_dir):
     return alignment.trained_alone(study_features(spark, sf_dir), GROUP, "enlr")
 
 
+def _whole_vectors(spark, sf_dir: str) -> DataFrame:
+    study = F.floor(F.col("recording_id") / STUDY).cast("int")
+    return tangent_vectors_whole(spark, sf_dir).select(study.alias("study"), "split", F.col("recording_id").alias("domain"), "trial_no", "label", "v")
+
+
 @query()
 def cross_validation(spark, sf_dir):
-    return alignment.cross_validated(study_features(spark, sf_dir).where("role = 'train'"), GROUP, 5)
+    """Over all trials of a recording, mapped at one mean."""
+    return alignment.cross_validated(_whole_vectors(spark, sf_dir).withColumn("role", F.lit("train")), GROUP, 5)
+
+
+@query()
+def penalised_path(spark, sf_dir):
+    """Logistic classifiers of each recording along a path of penalties, and the one that folds choose."""
+    return alignment.penalty_paths(_whole_vectors(spark, sf_dir), GROUP)
 
 
 @query()

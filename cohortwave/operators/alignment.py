@@ -276,26 +276,50 @@ def cross_validated(features: DataFrame, by: tuple[str, ...], folds: int = 10, c
     return found.withColumn("place", F.row_number().over(order)) if by else found
 
 
-def trained_at_scale(features: DataFrame, rounds: int = 50) -> DataFrame:
-    """(split, domain, acc): one classifier a split for features of any number, balanced accuracy by domain.
+def penalty_paths(features: DataFrame, by: tuple[str, ...], target: int = 2, mix: float = 0.5, many: int = 20) -> DataFrame:
+    """(..., domain, step, strength, deviance, chosen): the penalties of each domain's logistic classifier, and which one folds choose.
 
-    The splits are few; each fit runs on the whole cluster.
+    ``target`` against the other classes. A domain of one class has no path. Domains side by side, one a task.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = [*by, "domain", "step", "strength", "deviance", "chosen"]
+        rows = rows.sort_values("trial_no")
+        y = np.where(rows["label"] == target, 1.0, -1.0)
+        if len(set(y)) < 2:
+            return pd.DataFrame(columns=columns)
+        strengths, lost, _ = linear.chosen_penalty(np.stack(rows["v"].to_numpy()), y, mix, many)
+        keys = [rows[c].iloc[0] for c in (*by, "domain")]
+        return pd.DataFrame([[*keys, i + 1, s, d, i == lost.argmin()] for i, (s, d) in enumerate(zip(strengths, lost, strict=True))], columns=columns)
+
+    schema = _schema(features, (*by, "domain")) + "step int, strength double, deviance double, chosen boolean"
+    return features.groupBy(*by, "domain").applyInPandas(one, schema)
+
+
+def trained_at_scale(features: DataFrame, rounds: int = 50, target: int = 2) -> DataFrame:
+    """(split, domain, acc): one classifier a split for features of any number, ``target`` against the rest, balanced accuracy by domain.
+
+    The splits are few; each fit runs on the whole cluster. A split without two
+    classes to learn from has no accuracy (null); an empty table gives no rows.
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    rows = features.select("split", "domain", "role", "label", array_to_vector("v").alias("features"), (F.col("label") == 2).cast("double").alias("target"))
+    rows = features.select("split", "domain", "role", "label", array_to_vector("v").alias("features"), (F.col("label") == target).cast("double").alias("target"))
     found = []
     for split in [r["split"] for r in rows.select("split").distinct().orderBy("split").collect()]:
         own = rows.where(F.col("split") == split)
         train = own.where("role = 'train'")
         counts = {r["target"]: r["count"] for r in train.groupBy("target").count().collect()}
-        weight = F.when(F.col("target") == 1, sum(counts.values()) / (2 * counts.get(1.0, 1))).otherwise(sum(counts.values()) / (2 * counts.get(0.0, 1)))
+        if len(counts) < 2:
+            found.append(own.where("role = 'test'").select("split", "domain", F.lit(None).cast("double").alias("acc")).distinct())
+            continue
+        weight = F.when(F.col("target") == 1, sum(counts.values()) / (2 * counts[1.0])).otherwise(sum(counts.values()) / (2 * counts[0.0]))
         model = LinearSVC(labelCol="target", weightCol="weight", maxIter=rounds, regParam=1e-4).fit(train.withColumn("weight", weight))
         scored = model.transform(own.where("role = 'test'")).select("split", "domain", F.col("target").alias("truth"), F.col("prediction").alias("predicted"))
         found.append(balanced_accuracy(scored, ("split", "domain")).select("split", "domain", F.col("balanced_accuracy").alias("acc")))
-    whole = found[0]
-    for one in found[1:]:
+    whole = rows.select("split", "domain", F.lit(None).cast("double").alias("acc")).limit(0)
+    for one in found:
         whole = whole.unionByName(one)
     return whole
 
