@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import scoring
+from ..operators.features import norm
+from ..sources.tables import embedding_features
+from ..streaming import fitting, scoring
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,3 +28,17 @@ ORACLE_SQL["stream_scores"] = """WITH p AS (
   SELECT domain, trial_no, label, list_sum(list_transform(range(1, 65), lambda i: v[i] * cos((domain * k * i)::DOUBLE))) AS y FROM p CROSS JOIN (SELECT unnest(range(1, 9)) AS k) ks
 )
 SELECT domain, trial_no, label, round(sqrt(sum(y * y)), 8) AS energy FROM a GROUP BY domain, trial_no, label"""
+
+
+def stream_fit(spark, sf_dir):
+    """Domain 4 fitted to domains 1 to 3 as its trials stream in: its filters' energy, coordinate by coordinate."""
+    size, bins, table = 64, 8, embedding_features(spark, sf_dir)
+    group = fitting.complete(fitting.running_means(table.where("domain < 4"), size, bins), 2, bins)
+    stream = scoring.feature_stream(spark, sf_dir, "embeddings").where("domain = 4")
+    out, mark = scoring.shared_path(spark, "fit-out"), scoring.shared_path(spark, "fit-mark")
+    fitting.fit_stream(stream, group, out, mark, size, 2, bins, 1, 8).awaitTermination()
+    rows = fitting.models(spark, out).select("domain", F.posexplode("b").alias("coord", "f"))
+    return rows.select("domain", (F.col("coord") + 1).alias("coord"), F.round(norm("f"), 6).alias("energy"))
+
+
+QUERIES["stream_fit"] = stream_fit

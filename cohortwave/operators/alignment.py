@@ -192,7 +192,23 @@ def leave_one_out(packed: DataFrame, by: tuple[str, ...], size: int = 16, whiten
     One task per group and held-out domain. Whitening, too, knows nothing of the held-out domain.
     """
     held = packed.select(*by, F.col("domain").alias("held_out"))
-    rows = held.join(packed, list(by))
+    return _held_out(held.join(packed, list(by)), by, size, whitening, tol)
+
+
+def fitted(new: DataFrame, group: DataFrame, size: int = 16, whitening: str = "svd", tol: float = 1e-6) -> DataFrame:
+    """(domain, after, b): each domain of ``new`` fitted to a group that stays as it is.
+
+    Both have (domain, w), columns of ``w`` in one order; the group, of bounded
+    size, goes to every new domain, and comes out of each fit the same.
+    """
+    one = F.lit(0).alias("_all")
+    rows = new.select(one, F.col("domain").alias("held_out")).join(F.broadcast(group.select(one, "domain", "w")), "_all").select("held_out", "domain", "w")
+    rows = rows.unionByName(new.select(F.col("domain").alias("held_out"), "domain", "w"))
+    return _held_out(rows, (), size, whitening, tol).where("domain = held_out").select("domain", "after", "b")
+
+
+def _held_out(rows: DataFrame, by: tuple[str, ...], size: int, whitening: str, tol: float) -> DataFrame:
+    """Of each group (by, held_out), all domains but the one held out aligned and that one fitted to them."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         out = group["held_out"].iloc[0]
@@ -211,8 +227,8 @@ def leave_one_out(packed: DataFrame, by: tuple[str, ...], size: int = 16, whiten
         after = float(al.non_diagonality(u, whole)[-1, :-1].mean())
         return pd.DataFrame([[*[group[c].iloc[0] for c in by], out, d, found.rounds, after, (f @ g).T.tolist()] for d, f, g in zip(names, filters, u, strict=True)], columns=[*by, "held_out", "domain", "rounds", "after", "b"])
 
-    kind = _kind(packed, "domain")
-    return rows.groupBy(*by, "held_out").applyInPandas(one, _schema(packed, by) + f"held_out {kind}, domain {kind}, rounds int, after double, b array<array<double>>")
+    kind = _kind(rows, "domain")
+    return rows.groupBy(*by, "held_out").applyInPandas(one, _schema(rows, by) + f"held_out {kind}, domain {kind}, rounds int, after double, b array<array<double>>")
 
 
 def _mean_off(a: np.ndarray) -> float:
