@@ -660,3 +660,17 @@ def test_mix_meets_its_target_without_ids(spark, kind):
     for r in mixing.source_targets(sizes, (1, 4), 0.5).collect():
         assert abs(taken[r.source] - r.target) <= 40
     assert Counter(map(tuple, mixing.mix(frame, weights=(1, 4), share=0.5).collect())) == Counter(map(tuple, mixed.collect()))
+
+
+def test_a_cut_falls_beside_copies_that_are_a_small_part_of_a_shard(spark):
+    rng = random.Random(23)
+    rows, i = [], 0
+    for _ in range(260):
+        text = _text(rng, rng.randrange(20, 60))
+        for _ in range(rng.choice((1, 1, 1, 2, 3))):
+            rows.append((i, text, rng.choice(("en", "fr")), f"s{rng.randrange(3)}"))
+            i += 1
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4), 3).toPandas()
+    assert (found.groupby("text")["_shard"].nunique() == 1).all() and found["text"].duplicated().sum() > 50
+    sums = found.groupby("_shard")["_size"].sum()
+    assert sums.max() < 1.1 * sums.min()
