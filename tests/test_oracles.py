@@ -43,3 +43,10 @@ def test_entry(spark):
 
 def test_every_query_is_callable_and_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_standardise_returns_the_stimuli_beside_every_sample(spark, small, con):
+    want = Counter((r.recording_id, r.t, r.stim) for r in signal_queries.line_samples(spark, small).collect())
+    got = entry.queries()["standardise"](spark, small)
+    assert Counter((r.recording_id, r.t, r.stim) for r in got.collect()) == want and len({k[2] for k in want}) == 3
+    assert con.sql(entry.oracle_sql()["standardise"]).columns == got.columns == ["recording_id", "t", "stim", "x1", "x2", "x3", "x4"]
