@@ -1,13 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
 Every window of a document that has as many words as a benchmark item gets the
-SimHash of its 5-word shingles, by running sums over the shingles' bits. The items'
-fingerprints of that length are in a multi-index: 64 bits in four blocks, each
-item filed under every block value within three bits of its own. Two fingerprints
-within 15 bits differ by three at most in one block at least, so the index misses
-none of them, while an unrelated window meets one item in twenty-five. What it
-proposes within the radius is verified by the exact weighted similarity of both
-shingle multisets, together with the windows a few words to either side.
+SimHash of its 5-word shingles, by counts of the shingles' bits that grow from
+length to length. The items' fingerprints of that length are in a multi-index: 64
+bits in four blocks, each item filed under every block value within three bits of
+its own. Two fingerprints within 15 bits differ by three at most in one block at
+least, so the index misses none of them, while an unrelated window meets one item
+in twenty-five. A few items are filed under all values, with the bits that differ:
+a window within the radius of one has four values whose least bits sum to 15 at
+most. What the index proposes within the radius is verified by the exact weighted
+similarity of both shingle multisets, together with the windows a few words to
+either side.
 
 The items must be few beside the corpus; they are counted, and reach the tasks in
 groups of bounded size, one pass for each.
@@ -23,7 +26,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -42,15 +44,53 @@ PASS_WORDS = 1 << 17
 STEP, SEGMENT, PAIRS = 1 << 14, 1 << 22, 1 << 20
 #: Items of a length that are compared one after the other.
 FEW = 16
+#: Widths from which counts are differences of running sums; below, planes of bits are added.
+WIDE = 128
 _NEAR = np.array([sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(16), n)], np.uint16)
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
+#: The five primes of XXH64, and the bytes from which on it works in stripes.
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+_STRIPE = 32
+#: How many bits of a byte are set.
+_SET = np.bitwise_count(np.arange(256, dtype=np.uint8))
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by)
+
+
+def _short_xxh64(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """XXH64 of the ``size`` bytes, fewer than a stripe, from each of the places ``at``."""
+    one, two, three, four, five = _PRIMES
+    read = lambda place, n: np.lib.stride_tricks.sliding_window_view(data, n)[at + place].view(f"<u{n}")[:, 0].astype(np.uint64)
+    h, place = np.full(len(at), SEED + int(five) + size, np.uint64), 0
+    while size - place >= 8:
+        h = _turned(h ^ _turned(read(place, 8) * two, 31) * one, 27) * one + four
+        place += 8
+    if size - place >= 4:
+        h = _turned(h ^ read(place, 4) * one, 23) * two + three
+        place += 4
+    for place in range(place, size):
+        h = _turned(h ^ data[at + place] * five, 11) * one
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
 
 
 def _codes(words: list[bytes] | tuple[bytes, ...]) -> np.ndarray:
-    """XXH64 of each word; words that repeat are hashed once."""
-    known = pa.array(words, pa.binary()).dictionary_encode()
-    unique = np.fromiter((xxh64_intdigest(w, SEED) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
-    return unique[known.indices.to_numpy()]
+    """XXH64 of each word, for all words of a size at once; words hold no space."""
+    data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    ends = np.flatnonzero(data == ord(" "))
+    start = np.concatenate(([0], ends[:-1] + 1))[: len(ends)]
+    sizes = np.minimum(ends - start, _STRIPE).astype(np.uint8)
+    order, many = np.argsort(sizes, kind="stable"), np.bincount(sizes, minlength=_STRIPE + 1)
+    codes = np.empty(len(words), np.uint64)
+    for size, own in enumerate(np.split(order, np.cumsum(many)[:-1])):
+        if size == _STRIPE:
+            codes[own] = np.fromiter((xxh64_intdigest(words[i], SEED) for i in own.tolist()), np.uint64, len(own))
+        elif len(own):
+            codes[own] = _short_xxh64(data, start[own], size)
+    return codes
 
 
 def _shingles(codes: np.ndarray, size: int) -> np.ndarray:
@@ -81,6 +121,61 @@ def _fingerprints(upto: np.ndarray, width: int, room: np.ndarray | None = None)
     return np.packbits(np.greater(set_, width // 2, out=set_.view(bool) if set_.itemsize == 1 else None), bitorder="little").view(np.uint64)
 
 
+def _plus(planes: list[np.ndarray], more: list[np.ndarray], most: int, room: np.ndarray) -> None:
+    """Add the counts ``more`` to ``planes``, of no fewer planes, in place; the last carry becomes a plane if sums up to ``most`` need it."""
+    many = len(planes[0])
+    carry, next_, both = (r[:many] for r in room[:3])
+    np.bitwise_and(planes[0], more[0], out=carry)
+    np.bitwise_xor(planes[0], more[0], out=planes[0])
+    for k, own in enumerate(planes[1:], 1):
+        if k < len(more):
+            np.bitwise_and(own, more[k], out=next_)
+            np.bitwise_xor(own, more[k], out=own)
+            np.bitwise_and(own, carry, out=both)
+            np.bitwise_or(next_, both, out=next_)
+        else:
+            np.bitwise_and(own, carry, out=next_)
+        np.bitwise_xor(own, carry, out=own)
+        carry, next_ = next_, carry
+    if most.bit_length() > len(planes):
+        planes.append(carry.copy())
+
+
+def _growing(hashes: np.ndarray, many: int, widths: list[int], room: np.ndarray) -> Iterator[np.ndarray]:
+    """SimHash of the hashes in a window at each of ``many`` places, for one width after the other, ascending.
+
+    Bit k of the 64 counts of a place is a word of plane k, so 64 counts are added
+    at once. Counts of 2**k neighbours are sums of two of half as many; those of a
+    width are the counts of the width before and of such neighbours behind it.
+    What is given out is used anew for the next width.
+    """
+    gaps = [b - a for a, b in zip([0, *widths], widths, strict=False)]
+    dyadic = [[hashes]]
+    while 2 ** len(dyadic) <= max(gaps):
+        half = len(hashes) - 2 ** len(dyadic) + 1
+        planes = [p[:half].copy() for p in dyadic[-1]]
+        _plus(planes, [p[-half:] for p in dyadic[-1]], 2 ** len(dyadic), room)
+        dyadic.append(planes)
+    counts: list[np.ndarray] = []
+    over, now = room[3, :many], 0
+    for width, gap in zip(widths, gaps, strict=True):
+        for k in reversed(range(len(dyadic))):
+            if gap >> k & 1:
+                more = [p[now : now + many] for p in dyadic[k]]
+                now += 1 << k
+                if len(counts) < len(more):
+                    counts, more = [p.copy() for p in more], counts
+                if more:
+                    _plus(counts, more, now, room)
+        # over half: from the first 0 bit of the half on, "or" where the half has a 0, "and" where it has a 1
+        half = width // 2
+        first = (half ^ half + 1).bit_length() - 1
+        found = counts[first]
+        for k, plane in enumerate(counts[first + 1 :], first + 1):
+            found = (np.bitwise_and if half >> k & 1 else np.bitwise_or)(found, plane, out=over)
+        yield found
+
+
 def _grams(words: list[bytes] | tuple[bytes, ...], size: int) -> Counter:
     return Counter(zip(*(words[i:] for i in range(size)), strict=False))
 
@@ -99,6 +194,7 @@ class _Length:
     numbers: list[int] = field(default_factory=list)
     grams: list[Counter] = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
+    hashes: list[set[int]] = field(default_factory=list)
 
     def __post_init__(self):
         self.size = min(SHINGLE, self.words)
@@ -107,7 +203,9 @@ class _Length:
     def add(self, number: int, words: tuple[bytes, ...], codes: np.ndarray) -> None:
         self.numbers.append(number)
         self.grams.append(_grams(words, self.size))
-        self.prints.append(int(_fingerprints(_running(_shingles(codes, self.size)), self.width)[0]))
+        hashes = _shingles(codes, self.size)
+        self.hashes.append(set(hashes.tolist()))
+        self.prints.append(int(_fingerprints(_running(hashes), self.width)[0]))
 
     @cached_property
     def index(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,17 +220,23 @@ class _Length:
         return lists
 
     @cached_property
-    def filed(self) -> np.ndarray:
-        """Whether any item is filed under a block value: small enough to stay in a core's cache for a step."""
-        return np.stack([many > 0 for _, many, _ in self.index])
+    def away(self) -> np.ndarray:
+        """For each block and value the bits in which the nearest item's value differs; of many items, FLIPS + 1 unless one is filed."""
+        if len(self.prints) > FEW:
+            return np.stack([np.where(many > 0, 0, FLIPS + 1).astype(np.uint8) for _, many, _ in self.index])
+        bytes_ = np.array(self.prints, "<u8").view(np.uint8).reshape(-1, BLOCKS, 2)
+        bits = _SET[bytes_[..., None] ^ np.arange(256, dtype=np.uint8)]
+        return np.stack([np.min([high[:, None] + low for low, high in bits[:, block]], axis=0).ravel() for block in range(BLOCKS)])
 
     def passed(self, prints: np.ndarray) -> np.ndarray:
-        """The windows of which some block value is filed."""
-        values = prints.view(np.uint16).reshape(-1, BLOCKS)
-        met = self.filed[0].take(values[:, 0])
-        for block in range(1, BLOCKS):
-            met |= self.filed[block].take(values[:, block])
-        return np.flatnonzero(met)
+        """The windows whose blocks are no more than the radius away, taken together: all within the radius of an item, and few others."""
+        value, bits, total = np.empty(len(prints), np.int64), np.empty(len(prints), np.uint8), np.zeros(len(prints), np.uint8)
+        for block in range(BLOCKS):
+            np.right_shift(prints, np.uint64(16 * block), out=value.view(np.uint64))
+            if block < BLOCKS - 1:
+                np.bitwise_and(value, 0xFFFF, out=value)
+            total += self.away[block].take(value, out=bits, mode="wrap")
+        return np.flatnonzero(total <= RADIUS)
 
     def met(self, prints: np.ndarray, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(windows, items) of ``some`` windows and the items that are filed under a block value of theirs, in parts."""
@@ -153,11 +257,9 @@ class _Length:
         """
         some = self.passed(prints)
         if len(some) and len(self.prints) <= FEW:
-            own = prints[some]
-            for item, print_ in enumerate(self.prints):
-                close = np.bitwise_count(own ^ np.uint64(print_)) <= RADIUS
-                if close.any():
-                    yield item, some[close]
+            close = np.bitwise_count(prints[some] ^ np.array(self.prints, np.uint64)[:, None]) <= RADIUS
+            for item in np.flatnonzero(close.any(axis=1)).tolist():
+                yield item, some[close[item]]
         elif len(some):
             filed, found = np.array(self.prints, np.uint64), []
             for window, item in self.met(prints, some):
@@ -168,6 +270,31 @@ class _Length:
             yield from zip(item[np.append(0, cuts)].tolist() if len(item) else (), np.split(window, cuts), strict=False)
 
 
+def _windows(hashes: np.ndarray, lengths: list[_Length]) -> Iterator[tuple[int, _Length, np.ndarray]]:
+    """(place, length, fingerprints of all its windows from there on) for the lengths, ascending, in each step."""
+    narrow, wide = [own for own in lengths if own.width < WIDE], [own for own in lengths if own.width >= WIDE]
+    if narrow:
+        widths = [own.width for own in narrow]
+        planes = np.empty((4, STEP + widths[-1]), np.uint64)
+    if wide:
+        widest = wide[-1].width
+        kind = np.int16 if widest < 1 << 15 else np.int32
+        room = np.empty((STEP, 64), kind)
+    for at in range(0, len(hashes), STEP):
+        if narrow:
+            many = min(STEP, len(hashes) - at)
+            near = hashes[at : at + many + widths[-1] - 1]
+            behind = np.zeros(many + widths[-1] - 1 - len(near), np.uint64)  # windows that reach there are cut off
+            for own, prints in zip(narrow, _growing(np.concatenate((near, behind)), many, widths, planes), strict=True):
+                if len(near) >= own.width:
+                    yield at, own, prints[: len(near) - own.width + 1]
+        if wide:
+            upto = _running(hashes[at : at + STEP + widest - 1], kind)
+            for own in wide:
+                if len(upto) > own.width:
+                    yield at, own, _fingerprints(upto[: STEP + own.width], own.width, room)
+
+
 class Benchmark:
     """Items ready to be searched for. Items without words cannot occur and are left out."""
 
@@ -234,8 +361,11 @@ class Benchmark:
             part = int(np.searchsorted(start, at, "right")) - 1
             reach = own.width // 8 if size == own.words else 0
             number, first = stretches[part][:2]
-            alike = weighted_similarity(_grams(words[at : at + size], own.size), own.grams[item])
-            if alike < 0.75 * SIMILARITY:
+            width = size - own.size + 1
+            shared = sum(map(own.hashes[item].__contains__, _shingles(codes[at : at + size], own.size).tolist()))
+            if shared < 0.75 * SIMILARITY * (own.width + width - shared):
+                return  # shingles that are equal have equal hashes: the similarity is no greater
+            if weighted_similarity(_grams(words[at : at + size], own.size), own.grams[item]) < 0.75 * SIMILARITY:
                 return
             for now in range(max(at - reach, int(start[part])), min(at + reach, int(start[part + 1]) - size) + 1):
                 alike = weighted_similarity(_grams(words[now : now + size], own.size), own.grams[item])
@@ -246,20 +376,13 @@ class Benchmark:
 
         for size in {own.size for own in self.lengths.values()}:
             lengths = [own for own in self.lengths.values() if own.size == size]
-            widest = max(own.width for own in lengths)
-            hashes, kind = _shingles(codes, size), np.int8 if widest < 1 << 7 else np.int16 if widest < 1 << 15 else np.int32
-            room = np.empty((STEP, 64), kind)
-            for at in range(0, len(hashes), STEP):
-                upto = _running(hashes[at : at + STEP + widest - 1], kind)
-                for own in lengths:
-                    if len(upto) > own.width:
-                        prints = _fingerprints(upto[: STEP + own.width], own.width, room)
-                        for item, rows in own.near(prints):
-                            done = -1  # windows side by side are verified once, with what lies beside them
-                            for row in rows[left[at + rows] >= own.words].tolist():
-                                if row > done:
-                                    keep(own, item, at + row, own.words)
-                                    done = row + own.width // 8
+            for at, own, prints in _windows(_shingles(codes, size), sorted(lengths, key=lambda own: own.width)):
+                for item, rows in own.near(prints):
+                    done = -1  # windows side by side are verified once, with what lies beside them
+                    for row in rows[left[at + rows] >= own.words].tolist():
+                        if row > done:
+                            keep(own, item, at + row, own.words)
+                            done = row + own.width // 8
         # a text that is shorter than an item is one window
         for part, (_, _, n, whole) in enumerate(stretches):
             if whole and SHINGLE <= n < max(self.lengths):

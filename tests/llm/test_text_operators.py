@@ -674,3 +674,39 @@ def test_a_cut_falls_beside_copies_that_are_a_small_part_of_a_shard(spark):
     assert (found.groupby("text")["_shard"].nunique() == 1).all() and found["text"].duplicated().sum() > 50
     sums = found.groupby("_shard")["_size"].sum()
     assert sums.max() < 1.1 * sums.min()
+
+
+def test_words_of_all_sizes_have_their_xxh64():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(33, 256, n).astype(np.uint8)) for n in rng.permutation(np.repeat(np.arange(1, 70), 3))]
+    assert decontamination._codes(words).tolist() == [xxh64_intdigest(w, 42) for w in words]
+    assert len(decontamination._codes([])) == 0
+
+
+@pytest.mark.parametrize("widths", [[1], [11, 12, 13, 15, 16, 31, 32, 33, 63, 64, 127], [1, 100, 101], [2, 40, 128, 300], [500]])
+@pytest.mark.parametrize("many", [5, 130, 999])
+def test_fingerprints_of_growing_widths_equal_those_of_running_sums(monkeypatch, widths, many):
+    monkeypatch.setattr(decontamination, "STEP", 256)
+    hashes = np.random.default_rng(4).integers(0, 1 << 64, many, np.uint64)
+    hashes[20:60] = hashes[20:21]
+    got = {}
+    for at, own, prints in decontamination._windows(hashes, [decontamination._Length(w + 4) for w in widths]):
+        got.setdefault(own.width, []).append((at, prints.copy()))
+    assert set(got) == {w for w in widths if w <= many}
+    for width, parts in got.items():
+        assert [at for at, _ in parts] == [*range(0, many - width + 1, 256)]
+        assert (np.concatenate([p for _, p in parts]) == decontamination._fingerprints(decontamination._running(hashes), width)).all()
+
+
+def test_the_index_of_a_few_items_proposes_few_windows_and_all_near_ones():
+    rng = np.random.default_rng(7)
+    own = decontamination._Length(40)
+    own.prints = rng.integers(0, 1 << 63, 5).tolist()
+    filed, asked = np.array(own.prints, np.uint64), rng.integers(0, 1 << 64, 50_000, np.uint64)
+    for row in range(0, 50_000, 50):
+        asked[row] = filed[row % 5]
+        for bit in rng.choice(64, row // 50 % 20, replace=False):
+            asked[row] ^= np.uint64(1 << int(bit))
+    near = np.flatnonzero((np.bitwise_count(asked[:, None] ^ filed) <= decontamination.RADIUS).any(axis=1))
+    assert len(near) >= 800 and set(near) <= set(own.passed(asked))
+    assert len(own.passed(asked)) < 0.05 * len(asked)
