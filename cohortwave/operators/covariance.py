@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import covariances as cov
 
@@ -78,11 +79,12 @@ def estimate(trials: DataFrame, estimator: str = "lw", det: bool = False) -> Dat
     """(recording_id, trial_no, class, n, c): the covariance of each packed trial by a named estimator.
 
     ``det`` divides by det^(1/p). One call takes a batch of trials as they lie,
-    those of a length together; nothing is shuffled.
+    those of a length together; nothing is shuffled. By ``lw`` a trial with a constant
+    channel has variances alone, as no correlation is known; the other entries are NaN.
     """
     if estimator not in ESTIMATORS:
         raise ValueError(f"unknown estimator {estimator!r}; known: {', '.join(ESTIMATORS)}")
-    make = {"scm": cov.scm, "oas": cov.oas, "lw": cov.ledoit_wolf, "tme": cov.tyler, "nrtme": cov.regularised_tyler}[estimator]
+    make = {"scm": cov.scm, "oas": cov.oas, "lw": cov.ledoit_wolf_each, "tme": cov.tyler, "nrtme": cov.regularised_tyler}[estimator]
 
     @F.pandas_udf("array<double>")
     def packed(x: pd.Series) -> pd.Series:
@@ -90,11 +92,20 @@ def estimate(trials: DataFrame, estimator: str = "lw", det: bool = False) -> Dat
         out = pd.Series([None] * len(x), index=x.index, dtype=object)
         for _, same in whole.groupby(whole.map(len)):
             c = make(np.stack(same.to_list()))
-            rows = cov.pack(cov.unit_determinant(c) if det else c)
+            if det:
+                known = np.isfinite(c).all(axis=(-2, -1))
+                c[known], c[~known] = cov.unit_determinant(c[known]), np.nan
+            rows = cov.pack(c)
             out.loc[same.index] = pd.Series(list(rows), index=same.index)
         return out
 
-    return trials.select(*_TRIAL, "class", F.size("x").cast("long").alias("n"), packed("x").alias("c"))
+    return trials.select(*_TRIAL, "class", F.size("x").cast("long").alias("n"), F.transform(packed("x"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias("c"))  # Arrow makes NaN null
+
+
+@F.pandas_udf(BooleanType())
+def definite(c: pd.Series) -> pd.Series:
+    """Whether packed covariances, all of one size, are positive definite."""
+    return pd.Series(cov.definite(cov.unpack(np.stack(c))))
 
 
 def rounded(c: Column, digits: int) -> Column:
