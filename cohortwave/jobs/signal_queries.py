@@ -61,13 +61,15 @@ def _event_marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def event_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, marks = _event_marks(spark, sf_dir)
-    return trials.extract(samples, trials.numbered(marks), WL)
+    return trials.unpacked(trials.packed_windows(event_samples(spark, sf_dir), WL))
+
+
+def packed_line_trials(spark: SparkSession, sf_dir: str, wl: int = WL) -> DataFrame:
+    return trials.packed_windows(line_samples(spark, sf_dir), wl)
 
 
 def line_trials(spark: SparkSession, sf_dir: str, wl: int = WL) -> DataFrame:
-    samples = line_samples(spark, sf_dir)
-    return trials.extract(samples, trials.numbered(markers.stim_to_marks(samples, wl)), wl)
+    return trials.unpacked(packed_line_trials(spark, sf_dir, wl))
 
 
 @query(f"WITH {EVENT_MARKS} SELECT recording_id, class, ord, t FROM marks")
@@ -166,7 +168,7 @@ SELECT t.recording_id, t.class, t.dt, c.channel::INT AS channel, round(sum(w.wei
 FROM trials t JOIN weights w USING (recording_id, trial_no) CROSS JOIN (SELECT unnest(range(1, 5)) AS channel) c
 GROUP BY t.recording_id, t.class, t.dt, c.channel""")
 def class_mean_weighted(spark, sf_dir):
-    return trials.adaptive_mean(line_trials(spark, sf_dir), channels=4).withColumn("mean", F.round("mean", 8))
+    return trials.adaptive_mean(packed_line_trials(spark, sf_dir), channels=4).withColumn("mean", F.round("mean", 8))
 
 
 @query(f"WITH {LINE_WEIGHTS} SELECT recording_id, trial_no, class, round(weight, 8) AS weight FROM weights")
@@ -197,8 +199,8 @@ def toeplitz_rhs(spark, sf_dir):
 
 @query()
 def overlap_corrected_mean(spark, sf_dir):
-    samples, marks = _event_marks(spark, sf_dir)
-    totals = trials.toeplitz_rhs(trials.extract(samples, trials.numbered(marks), WL), 1)
+    marks = _event_marks(spark, sf_dir)[1]
+    totals = trials.toeplitz_rhs(event_trials(spark, sf_dir), 1)
     return overlap.corrected_means(trials.lag_histogram(marks, WL), totals, WL)
 
 
@@ -373,7 +375,7 @@ def trace_normalise(spark, sf_dir):
 
 
 def _estimated(spark, sf_dir, estimator, det=False):
-    return covariance.estimate(covariance.packed_trials(line_trials(spark, sf_dir)), estimator, det)
+    return covariance.estimate(packed_line_trials(spark, sf_dir), estimator, det)
 
 
 def _shrunk_sql(size: int) -> str:
@@ -405,7 +407,7 @@ def cov_ledoit_wolf(spark, sf_dir):
 
 @query()
 def cov_tyler(spark, sf_dir):
-    return covariance.estimate(covariance.packed_trials(line_trials(spark, sf_dir, 16)), "tme")
+    return covariance.estimate(packed_line_trials(spark, sf_dir, 16), "tme")
 
 
 @query()
